@@ -35,7 +35,7 @@ def add_distance_delta(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("_row", F.row_number().over(inside))
         .withColumn("_previous", F.lag(odometer).over(inside))
-        .join(before, ["drive_id", CHUNK])
+        .join(before, ["drive_id", CHUNK], "left")
         .withColumn(DISTANCE, F.when(step < 0, F.lit(0.0)).otherwise(step))
         .drop("_row", "_previous", "_tail_before")
     )

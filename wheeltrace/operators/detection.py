@@ -99,13 +99,14 @@ def _join_runs(runs: DataFrame, open_runs: Column, width_us: int | None) -> Data
     cell = cell_start(start, width_us) if width_us else F.lit(0).cast("bigint")
     keys = [*_KEYS, "_open", "_cell"]
     in_cell = Window.partitionBy(*keys).orderBy("_start")
+    up_to_here = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = F.col("_start") - F.lag("last.moment_us").over(in_cell)
     return (
         runs.withColumn("_start", start)
         .withColumn("_open", open_runs)
         .withColumn("_cell", F.when(F.col("_open"), cell).otherwise(start))
         .withColumn("_new", F.when(gap <= EVENT_COOLDOWN_US, 0).otherwise(1))
-        .withColumn("_run", F.sum("_new").over(in_cell))
+        .withColumn("_run", F.sum("_new").over(up_to_here))
         .groupBy(*keys, "_run")
         .agg(*_merged())
         .drop("_open", "_cell", "_run")
@@ -142,8 +143,24 @@ def threshold_runs(
     return _join_runs(runs, _touches_edge(coarse_us), None)
 
 
+def _possible_matches(telemetry: DataFrame, rules: Sequence[EventRule]) -> DataFrame:
+    """Rows that may match, tested on the stored columns.
+
+    Plain comparisons of double columns reach the Parquet reader, which skips
+    row groups without any strong signal. The exact test follows on the
+    normalised values.
+    """
+    types = dict(telemetry.dtypes)
+    if any(rule.hit is not None or types.get(rule.column) != "double" for rule in rules):
+        return telemetry
+    possible = F.lit(False)
+    for rule in rules:
+        possible = possible | rule.matches(F.col(rule.column))
+    return telemetry.where(possible)
+
+
 def qualifying_runs(
-    samples: DataFrame,
+    telemetry: DataFrame,
     rules: Sequence[EventRule],
     fine_us: int = FINE_CELL_US,
     coarse_us: int = COARSE_CELL_US,
@@ -152,7 +169,11 @@ def qualifying_runs(
 
     A run of a single sample lasts the drive's median sample interval instead of zero.
     """
-    gate = drive_intervals(samples, fine_us).select("drive_id", "single_sample_counts")
+    measures = tuple(rule.column for rule in rules)
+    gate = drive_intervals(prepare_samples(telemetry), fine_us).select(
+        "drive_id", "single_sample_counts"
+    )
+    samples = prepare_samples(_possible_matches(telemetry, rules), measures)
     runs = threshold_runs(samples, rules, fine_us, coarse_us).withColumn(
         "_start_us", F.col("first.moment_us")
     )
@@ -181,8 +202,7 @@ def detect_events(
     The number in `event_id` counts the events of a type across all drives, in
     drive and time order.
     """
-    samples = prepare_samples(telemetry, tuple(rule.column for rule in rules))
-    runs = qualifying_runs(samples, rules, fine_us, coarse_us)
+    runs = qualifying_runs(telemetry, rules, fine_us, coarse_us)
     numbered = running_total(
         runs,
         ["event_type"],

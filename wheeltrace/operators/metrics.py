@@ -78,7 +78,7 @@ def drive_metrics(
     """
     samples = prepare_samples(telemetry)
     if events is None:
-        events = qualifying_runs(samples, DEFAULT_RULES, fine_us)
+        events = qualifying_runs(telemetry, DEFAULT_RULES, fine_us)
     rows = (
         _drive_totals(samples)
         .join(drive_intervals(samples, fine_us), "drive_id", "left")

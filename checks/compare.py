@@ -73,7 +73,7 @@ def main() -> None:
                 found = difference(result, expected)
                 verdict = f"ok ({len(result)})" if found is None else f"DIFFERS {found}"
         except Exception as error:  # noqa: BLE001
-            seconds, verdict = time.time() - started, f"ERROR {str(error)[:600]}"
+            seconds, verdict = time.time() - started, f"ERROR {' '.join(str(error).split())[:200]}"
         failed += verdict.startswith(("DIFFERS", "ERROR"))
         print(f"{name:24s} {seconds:6.2f}s {verdict}", flush=True)
     print(f"{len(names)} queries, {failed} failed")

@@ -8,10 +8,17 @@ impossible position or a missing reading. All rows of `events` take part.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wheeltrace.operators.canonical import to_telemetry
 from wheeltrace.operators.cleaning import clean, coerce_columns
+from wheeltrace.operators.detection import detect_events
+from wheeltrace.operators.metrics import drive_metrics
+from wheeltrace.operators.scale import checkpoint_folder
+from wheeltrace.sources.store import TelemetryStore
 
 # Rows per stretch of a derived "file", the stand-in for a CSV split.
 _ROWS_PER_CHUNK = 1_000_000
@@ -69,4 +76,54 @@ def coerced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical telemetry, computed from the raw rows."""
     return to_telemetry(clean(coerced_rows(spark, sf_dir)))
+
+
+_stores: dict[tuple[str, str], TelemetryStore] = {}
+_written: set[tuple[str, str]] = set()
+
+
+def store(spark: SparkSession, sf_dir: str, *tables: str) -> TelemetryStore:
+    """A store with the named tables for the data at `sf_dir`.
+
+    As in production, telemetry is written once, events and drive metrics are
+    computed from it once, and queries read the tables. A table is written when
+    a query of the session first needs it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        _stores[key] = TelemetryStore(
+            spark, f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}"
+        )
+    target = _stores[key]
+
+    def build(table: str, write: Callable[[], object]) -> None:
+        if (target.root, table) not in _written:
+            write()
+            _written.add((target.root, table))
+
+    if tables:
+        build("telemetry", lambda: target.write_telemetry(telemetry(spark, sf_dir)))
+    if "events" in tables or "metrics" in tables:
+        build("events", lambda: target.write_events(detect_events(target.telemetry())))
+    if "metrics" in tables:
+        build(
+            "metrics",
+            lambda: target.write_drive_metrics(
+                drive_metrics(target.telemetry(), target.events())
+            ),
+        )
+    return target
+
+
+def stored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir, "telemetry").telemetry()
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir, "events").events()
+
+
+def stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir, "metrics").drive_metrics()

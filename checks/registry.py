@@ -9,8 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.derived import coerced_rows, raw_rows, telemetry
+from checks.derived import (
+    coerced_rows,
+    raw_rows,
+    store,
+    stored_events,
+    stored_metrics,
+    stored_telemetry,
+    telemetry,
+)
 from wheeltrace.client import (
+    FleetClient,
     filter_events,
     filter_telemetry,
     first_events,
@@ -113,11 +122,11 @@ def distance_delta(spark, sf_dir):
 
 
 def _detector(detect: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: _flat(detect(telemetry(spark, sf_dir)))
+    return lambda spark, sf_dir: _flat(detect(stored_telemetry(spark, sf_dir)))
 
 
 def event_ordinals(spark, sf_dir):
-    events = detection.detect_events(telemetry(spark, sf_dir))
+    events = detection.detect_events(stored_telemetry(spark, sf_dir))
     return _flat(events).select(
         "event_id",
         "event_type",
@@ -128,27 +137,27 @@ def event_ordinals(spark, sf_dir):
 
 
 def sample_intervals(spark, sf_dir):
-    prepared = samples.prepare_samples(telemetry(spark, sf_dir))
+    prepared = samples.prepare_samples(stored_telemetry(spark, sf_dir))
     return samples.drive_intervals(prepared).select(
         "drive_id", "typical_interval_s", "single_sample_counts"
     )
 
 
 def duration_weights(spark, sf_dir):
-    return samples.duration_weights(samples.prepare_samples(telemetry(spark, sf_dir)))
+    return samples.duration_weights(samples.prepare_samples(stored_telemetry(spark, sf_dir)))
 
 
 def event_counts(spark, sf_dir):
-    return metrics.event_counts(detection.detect_events(telemetry(spark, sf_dir)))
+    return metrics.event_counts(stored_events(spark, sf_dir))
 
 
 def _drive_metrics(spark, sf_dir):
-    return metrics.drive_metrics(telemetry(spark, sf_dir))
+    return metrics.drive_metrics(stored_telemetry(spark, sf_dir))
 
 
 def ingest_summary(spark, sf_dir):
     counts = cleaning.quality_counts(coerced_rows(spark, sf_dir))
-    totals = ingest.telemetry_totals(telemetry(spark, sf_dir))
+    totals = ingest.telemetry_totals(stored_telemetry(spark, sf_dir))
     names = ["rows_ingested", "rows_served", "rows_dropped", "duplicate_rows_removed"]
     return totals.select(
         *[counts.select(name).scalar().alias(name) for name in names], "*"
@@ -156,17 +165,17 @@ def ingest_summary(spark, sf_dir):
 
 
 def telemetry_filter(spark, sf_dir):
-    rows = telemetry(spark, sf_dir)
+    rows = stored_telemetry(spark, sf_dir)
     return _flat(filter_telemetry(rows, autopilot_state="ACTIVE_NOMINAL", min_speed_kph=60))
 
 
 def telemetry_first_rows(spark, sf_dir):
-    return _flat(first_telemetry(telemetry(spark, sf_dir), 1000))
+    return _flat(first_telemetry(stored_telemetry(spark, sf_dir), 1000))
 
 
 def telemetry_time_range(spark, sf_dir):
     rows = filter_telemetry(
-        telemetry(spark, sf_dir),
+        stored_telemetry(spark, sf_dir),
         start_time="2024-01-01T00:00:10",
         end_time="2024-01-01T01:00:30+01:00",
     )
@@ -174,28 +183,28 @@ def telemetry_time_range(spark, sf_dir):
 
 
 def sample_records(spark, sf_dir):
-    return reports.sample_rows(telemetry(spark, sf_dir)).select(
+    return reports.sample_rows(stored_telemetry(spark, sf_dir)).select(
         "drive_id", "source_file", "speed_kph", "brake_applied", "timestamp"
     )
 
 
 def events_filter(spark, sf_dir):
-    events = detection.detect_events(telemetry(spark, sf_dir))
+    events = stored_events(spark, sf_dir)
     return _flat(filter_events(events, event_type="sharp_steering", min_severity_score=0.5))
 
 
 def events_first_rows(spark, sf_dir):
-    return _flat(first_events(detection.detect_events(telemetry(spark, sf_dir)), 1000))
+    return _flat(first_events(stored_events(spark, sf_dir), 1000))
 
 
 def drive_metrics_one(spark, sf_dir):
-    return _flat(_drive_metrics(spark, sf_dir).where(F.col("drive_id") == RIGHT_DRIVE))
+    return _flat(stored_metrics(spark, sf_dir).where(F.col("drive_id") == RIGHT_DRIVE))
 
 
 def param_sql(spark, sf_dir):
     return read_only_sql(
         spark,
-        {"telemetry": telemetry(spark, sf_dir)},
+        {"telemetry": stored_telemetry(spark, sf_dir)},
         """
         SELECT road_class, count(*) AS samples, max(speed_kph) AS top_speed_kph
         FROM telemetry WHERE speed_kph >= ? AND rainy = ? GROUP BY road_class
@@ -205,12 +214,12 @@ def param_sql(spark, sf_dir):
 
 
 def drive_profile(spark, sf_dir):
-    rows = telemetry(spark, sf_dir)
-    return _flat(merge_drive_profile(metrics.drive_summary(rows), metrics.drive_metrics(rows)))
+    summary = metrics.drive_summary(stored_telemetry(spark, sf_dir))
+    return _flat(merge_drive_profile(summary, stored_metrics(spark, sf_dir)))
 
 
 def event_summary(spark, sf_dir):
-    summary = insights.summarize_events(detection.detect_events(telemetry(spark, sf_dir)))
+    summary = insights.summarize_events(stored_events(spark, sf_dir))
     entries = F.transform(
         F.map_entries("event_counts"),
         lambda entry: F.concat_ws("=", entry["key"], entry["value"].cast("string")),
@@ -225,7 +234,7 @@ def event_summary(spark, sf_dir):
 
 
 def _comparison(spark, sf_dir):
-    rows = _drive_metrics(spark, sf_dir)
+    rows = stored_metrics(spark, sf_dir)
     return insights.compare_metrics(
         rows.where(F.col("drive_id") == LEFT_DRIVE), rows.where(F.col("drive_id") == RIGHT_DRIVE)
     )
@@ -243,46 +252,37 @@ def comparison_findings(spark, sf_dir):
 
 
 def notable_metrics(spark, sf_dir):
-    found = insights.find_notable_metrics(_drive_metrics(spark, sf_dir))
+    found = insights.find_notable_metrics(stored_metrics(spark, sf_dir))
     return found.withColumn("threshold", F.round("threshold", 6))
 
 
 def event_insights(spark, sf_dir):
-    summary = insights.summarize_events(detection.detect_events(telemetry(spark, sf_dir)))
+    summary = insights.summarize_events(stored_events(spark, sf_dir))
     return insights.event_findings(summary).select(
         "position", "insight.name", "insight.summary", "insight.severity"
     )
 
 
 def busiest_drive(spark, sf_dir):
-    found = insights.highest_rate_finding(_drive_metrics(spark, sf_dir))
+    found = insights.highest_rate_finding(stored_metrics(spark, sf_dir))
     return found.select("insight.name", "insight.summary", "insight.severity")
 
 
+def _client(spark, sf_dir) -> FleetClient:
+    return FleetClient(store(spark, sf_dir, "telemetry", "events", "metrics"))
+
+
 def drive_report(spark, sf_dir):
-    rows = telemetry(spark, sf_dir)
-    events = detection.detect_events(rows)
-    measured = metrics.drive_metrics(rows, events)
-    one = filter_telemetry(rows, drive_id=LEFT_DRIVE)
-    profile = merge_drive_profile(metrics.drive_summary(one), measured)
-    own = filter_events(events, drive_id=LEFT_DRIVE)
-    return reports.as_json(reports.drive_report(profile, own, measured, LEFT_DRIVE))
+    report = reports.analyze_drive(_client(spark, sf_dir), LEFT_DRIVE, event_limit=None)
+    return reports.as_json(report)
 
 
 def fleet_report(spark, sf_dir):
-    rows = telemetry(spark, sf_dir)
-    events = detection.detect_events(rows)
-    return reports.as_json(reports.fleet_report(rows, events, metrics.drive_metrics(rows, events)))
+    return reports.as_json(reports.analyze_fleet(_client(spark, sf_dir), event_limit=None))
 
 
 def comparison_report(spark, sf_dir):
-    rows = _drive_metrics(spark, sf_dir)
-    report = reports.comparison_report(
-        rows.where(F.col("drive_id") == LEFT_DRIVE),
-        rows.where(F.col("drive_id") == RIGHT_DRIVE),
-        LEFT_DRIVE,
-        RIGHT_DRIVE,
-    )
+    report = reports.generate_analysis(_client(spark, sf_dir), LEFT_DRIVE, RIGHT_DRIVE)
     return reports.as_json(report)
 
 
@@ -317,16 +317,14 @@ def ingest_csv(spark, sf_dir):
 
 def overview(spark, sf_dir):
     """Ingest the logs into a store, compute all metrics and build the overview page."""
-    from wheeltrace.client import FleetClient
-
-    store = TelemetryStore(spark, _scratch(spark, "store"))
-    result = ingest.ingest_folder(spark, _write_logs(spark, sf_dir), store)
-    return reports.overview_json(reports.overview(FleetClient(store), result))
+    target = TelemetryStore(spark, _scratch(spark, "ingested"))
+    result = ingest.ingest_folder(spark, _write_logs(spark, sf_dir), target)
+    return reports.overview_json(reports.overview(FleetClient(target), result))
 
 
 def queries() -> dict[str, Query]:
     return {
-        "drive_summary": lambda s, d: _flat(metrics.drive_summary(telemetry(s, d))),
+        "drive_summary": lambda s, d: _flat(metrics.drive_summary(stored_telemetry(s, d))),
         "split_state": split_state,
         "truthy_state": truthy_state,
         "elapsed_seconds": elapsed,
@@ -347,9 +345,9 @@ def queries() -> dict[str, Query]:
         "duration_weights": duration_weights,
         "event_counts": event_counts,
         "drive_metrics": lambda s, d: _flat(_drive_metrics(s, d)),
-        "fleet_metrics": lambda s, d: metrics.fleet_metrics(_drive_metrics(s, d)),
+        "fleet_metrics": lambda s, d: metrics.fleet_metrics(stored_metrics(s, d)),
         "metric_summary": lambda s, d: insights.summarize_metrics(
-            metrics.fleet_metrics(_drive_metrics(s, d))
+            metrics.fleet_metrics(stored_metrics(s, d))
         ),
         "ingest_summary": ingest_summary,
         "telemetry_filter": telemetry_filter,
@@ -359,13 +357,13 @@ def queries() -> dict[str, Query]:
         "events_filter": events_filter,
         "events_first_rows": events_first_rows,
         "drive_metrics_one": drive_metrics_one,
-        "drive_names": lambda s, d: reports.drive_names(_drive_metrics(s, d)),
+        "drive_names": lambda s, d: reports.drive_names(stored_metrics(s, d)),
         "param_sql": param_sql,
         "drive_profile": drive_profile,
         "event_summary": event_summary,
         "compare_drives": _comparison,
         "comparison_findings": comparison_findings,
-        "trends": lambda s, d: insights.analyze_trends(_drive_metrics(s, d)),
+        "trends": lambda s, d: insights.analyze_trends(stored_metrics(s, d)),
         "notable_metrics": notable_metrics,
         "event_insights": event_insights,
         "busiest_drive": busiest_drive,

@@ -102,14 +102,17 @@ def _join_runs(runs: DataFrame, open_runs: Column, width_us: int | None) -> Data
     up_to_here = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = F.col("_start") - F.lag("last.moment_us").over(in_cell)
     return (
-        runs.withColumn("_start", start)
-        .withColumn("_open", open_runs)
-        .withColumn("_cell", F.when(F.col("_open"), cell).otherwise(start))
+        runs.select(
+            *_KEYS,
+            *_MERGE,
+            start.alias("_start"),
+            open_runs.alias("_open"),
+            F.when(open_runs, cell).otherwise(start).alias("_cell"),
+        )
         .withColumn("_new", F.when(gap <= EVENT_COOLDOWN_US, 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(up_to_here))
         .groupBy(*keys, "_run")
         .agg(*_merged())
-        .drop("_open", "_cell", "_run")
     )
 
 
@@ -135,9 +138,7 @@ def threshold_runs(
     """
     if coarse_us % fine_us or fine_us <= 2 * EVENT_COOLDOWN_US:
         raise ValueError("cells must nest and be wider than two cooldowns")
-    runs = (
-        candidate_samples(samples, rules).groupBy(*_KEYS, "moment_us").agg(*_merged())
-    ).drop("moment_us")
+    runs = candidate_samples(samples, rules).groupBy(*_KEYS, "moment_us").agg(*_merged())
     runs = _join_runs(runs, F.lit(True), fine_us)
     runs = _join_runs(runs, _touches_edge(fine_us), coarse_us)
     return _join_runs(runs, _touches_edge(coarse_us), None)
@@ -174,8 +175,8 @@ def qualifying_runs(
         "drive_id", "single_sample_counts"
     )
     samples = prepare_samples(_possible_matches(telemetry, rules), measures)
-    runs = threshold_runs(samples, rules, fine_us, coarse_us).withColumn(
-        "_start_us", F.col("first.moment_us")
+    runs = threshold_runs(samples, rules, fine_us, coarse_us).select(
+        *_KEYS, *_MERGE, F.col("first.moment_us").alias("_start_us")
     )
     length = F.col("last.moment_us") - F.col("first.moment_us")
     long_enough = F.when(

@@ -84,12 +84,11 @@ def sample_intervals(samples: DataFrame, cell_us: int = FINE_CELL_US) -> DataFra
     near_start = F.col("moment_us") - own <= MAX_SAMPLE_GAP_US
     cells = F.when(near_start, F.array(own, own - cell_us)).otherwise(F.array(own))
     in_cell = Window.partitionBy("drive_id", "_cell").orderBy("moment_us")
+    gap = F.lead("moment_us").over(in_cell) - F.col("moment_us")
     paused = (
-        instants.withColumn("_cell", F.explode(cells))
-        .withColumn("_next", F.lead("moment_us").over(in_cell))
-        .where(F.col("_cell") == own)
-        .withColumn("_gap", F.col("_next") - F.col("moment_us"))
-        .withColumn("_gap", F.when(F.col("_gap") <= MAX_SAMPLE_GAP_US, F.col("_gap")))
+        instants.select("*", own.alias("_own"), F.explode(cells).alias("_cell"))
+        .select("*", F.when(gap <= MAX_SAMPLE_GAP_US, gap).alias("_gap"))
+        .where(F.col("_cell") == F.col("_own"))
     )
     # Samples of one instant follow each other without a pause; the last of
     # them is followed by the pause to the next instant.

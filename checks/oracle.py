@@ -7,14 +7,20 @@ rule), not from the Spark plans.
 from __future__ import annotations
 
 
-def _round(value: str, digits: int) -> str:
-    """Round half up on the decimal form, as Spark does."""
+def _half_up(value: str, digits: int) -> str:
+    """Round half up on the decimal form."""
     return f"cast(round(cast({value} AS decimal(28, 9)), {digits}) AS double)"
 
 
+def _round(value: str, digits: int) -> str:
+    """Round half to even on the decimal form."""
+    scale = 10**digits
+    return f"(round_even(cast(cast({value} AS decimal(28, 9)) * {scale} AS double), 0) / {scale})"
+
+
 def _millis(micros: str) -> str:
-    """Microseconds to seconds with three decimals, half up."""
-    return f"(floor(({micros} + 500) / 1000) / 1000)"
+    """Microseconds to seconds with three decimals, half to even."""
+    return f"(round_even({micros} / 1000, 0) / 1000)"
 
 
 _SOURCE = """
@@ -231,9 +237,9 @@ fleet AS (
 _SUMMARY = f"""
 summary AS (
   SELECT drive_id, source_file, count(*) AS samples, min(timestamp_us) AS start_time_us,
-         max(timestamp_us) AS end_time_us, {_round("sum(distance_delta_km)", 3)} AS distance_km,
-         {_round("avg(speed_kph)", 2)} AS average_speed_kph,
-         {_round("max(speed_kph)", 2)} AS max_speed_kph,
+         max(timestamp_us) AS end_time_us, {_half_up("sum(distance_delta_km)", 3)} AS distance_km,
+         {_half_up("avg(speed_kph)", 2)} AS average_speed_kph,
+         {_half_up("max(speed_kph)", 2)} AS max_speed_kph,
          count(*) FILTER (autopilot_state <> 'UNAVAILABLE') AS autopilot_samples
   FROM telemetry GROUP BY drive_id, source_file)"""
 
@@ -311,8 +317,6 @@ _COUNTERS = """
   (SELECT count(*) FROM coerced WHERE epoch IS NULL) AS rows_dropped,
   (SELECT count(*) FROM valid) - (SELECT count(*) FROM firsts) AS duplicate_rows_removed"""
 
-_FIRST_INSIGHT_RATE = _round("events_per_100_km", 4)
-
 
 def oracle_sql() -> dict[str, str]:
     sql = {

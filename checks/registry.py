@@ -117,7 +117,7 @@ def quality_counts(spark, sf_dir):
 def distance_delta(spark, sf_dir):
     rows = add_distance_delta(cleaning.clean(coerced_rows(spark, sf_dir)))
     return rows.select(
-        "drive_id", "_pos", F.round("distance_delta_km", 6).alias("distance_delta_km")
+        "drive_id", "_pos", F.bround("distance_delta_km", 6).alias("distance_delta_km")
     )
 
 
@@ -253,7 +253,7 @@ def comparison_findings(spark, sf_dir):
 
 def notable_metrics(spark, sf_dir):
     found = insights.find_notable_metrics(stored_metrics(spark, sf_dir))
-    return found.withColumn("threshold", F.round("threshold", 6))
+    return found.withColumn("threshold", F.bround("threshold", 6))
 
 
 def event_insights(spark, sf_dir):

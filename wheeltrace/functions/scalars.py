@@ -141,12 +141,12 @@ def severity_label(score: Column) -> Column:
 
 
 def per_100_km(count: Column, distance_km: Column) -> Column:
-    rate = F.round(count / F.nullif(distance_km, F.lit(0.0)) * 100.0, 4)
+    rate = F.bround(count / F.nullif(distance_km, F.lit(0.0)) * 100.0, 4)
     return F.when(distance_km > 0, rate).otherwise(F.lit(0.0))
 
 
 def percent_of(part: Column, whole: Column) -> Column:
-    share = F.round(part / F.nullif(whole, F.lit(0.0)) * 100.0, 3)
+    share = F.bround(part / F.nullif(whole, F.lit(0.0)) * 100.0, 3)
     return F.when(whole > 0, share).otherwise(F.lit(0.0))
 
 
@@ -155,9 +155,9 @@ def event_id(drive_id: Column, event_type: Column, ordinal: Column) -> Column:
 
 
 def number_text(number: Column, digits: int = 2) -> Column:
-    """Fixed-point text, `N/A` when there is no finite number."""
+    """Fixed-point text, rounded half to even; `N/A` when there is no finite number."""
     value = finite(number)
-    text = F.format_string(f"%.{digits}f", value)
+    text = F.format_string(f"%.{digits}f", F.bround(value, digits))
     return F.when(value.isNotNull(), text).otherwise(F.lit("N/A"))
 
 

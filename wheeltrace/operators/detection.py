@@ -223,13 +223,13 @@ def detect_events(
         "event_type",
         F.timestamp_micros("first.moment_us").alias("start_time"),
         F.timestamp_micros("last.moment_us").alias("end_time"),
-        F.round(length / SECOND_US, 3).alias("duration_s"),
-        F.round(score, 4).alias("severity_score"),
+        F.bround(length / SECOND_US, 3).alias("duration_s"),
+        F.bround(score, 4).alias("severity_score"),
         severity_label(score).alias("severity"),
-        F.round(peak, 4).alias("peak_value"),
+        F.bround(peak, 4).alias("peak_value"),
         F.col("first.speed_kph").alias("start_speed_kph"),
         F.col("last.speed_kph").alias("end_speed_kph"),
-        F.round(F.coalesce("distance_km", F.lit(0.0)), 6).alias("distance_km"),
+        F.bround(F.coalesce("distance_km", F.lit(0.0)), 6).alias("distance_km"),
         (F.col("active") * 2 >= F.col("samples")).alias("autopilot_active"),
         F.col("first.road_class").alias("road_class"),
         F.col("first.rainy").alias("rainy"),

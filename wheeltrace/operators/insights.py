@@ -253,7 +253,7 @@ def find_notable_metrics(
         "metric",
         "value",
         "threshold",
-        F.round(rank, 2).alias("percentile_rank"),
+        F.bround(rank, 2).alias("percentile_rank"),
         F.when(low, "low").otherwise("high").alias("direction"),
         F.when((rank >= 99.0) | (rank <= 1.0), "high").otherwise("medium").alias("severity"),
         F.lit(percentile).alias("comparison_percentile"),

@@ -18,6 +18,7 @@ def drive_summary(telemetry: DataFrame) -> DataFrame:
     """One row per drive and file: samples, time span, distance, speeds, assisted samples.
 
     `autopilot_samples` counts every known state but UNAVAILABLE, engaged or not.
+    Rounds half up, as SQL does; the metrics below round half to even.
     """
     state = F.col("autopilot_state")
     return telemetry.groupBy("drive_id", "source_file").agg(
@@ -94,12 +95,12 @@ def drive_metrics(
         "source_file": F.col("source_file"),
         "start_time": F.timestamp_micros("start_us"),
         "end_time": F.timestamp_micros("end_us"),
-        "duration_s": F.round(seconds, 3),
-        "distance_km": F.round(distance, 6),
-        "average_speed_kph": F.round(F.coalesce("speed_mean", F.lit(0.0)), 3),
-        "max_speed_kph": F.round(F.coalesce("speed_max", F.lit(0.0)), 3),
-        "autopilot_active_time_s": F.round(active_time, 3),
-        "autopilot_active_distance_km": F.round("active_distance", 6),
+        "duration_s": F.bround(seconds, 3),
+        "distance_km": F.bround(distance, 6),
+        "average_speed_kph": F.bround(F.coalesce("speed_mean", F.lit(0.0)), 3),
+        "max_speed_kph": F.bround(F.coalesce("speed_max", F.lit(0.0)), 3),
+        "autopilot_active_time_s": F.bround(active_time, 3),
+        "autopilot_active_distance_km": F.bround("active_distance", 6),
         "autopilot_active_pct": percent_of(active_time, seconds),
         "total_events": total,
         "events_per_100_km": per_100_km(total, distance),
@@ -144,12 +145,12 @@ def fleet_metrics(metrics: DataFrame) -> DataFrame:
         per_type += [F.col(count), per_100_km(F.col(count), distance).alias(rate)]
     return sums.select(
         "drives",
-        F.round(distance, 6).alias("distance_km"),
-        F.round(length, 3).alias("duration_s"),
-        F.round(mean_speed, 3).alias("average_speed_kph"),
-        F.round("speed_max", 3).alias("max_speed_kph"),
-        F.round("active_distance", 6).alias("autopilot_active_distance_km"),
-        F.round("active_time", 3).alias("autopilot_active_time_s"),
+        F.bround(distance, 6).alias("distance_km"),
+        F.bround(length, 3).alias("duration_s"),
+        F.bround(mean_speed, 3).alias("average_speed_kph"),
+        F.bround("speed_max", 3).alias("max_speed_kph"),
+        F.bround("active_distance", 6).alias("autopilot_active_distance_km"),
+        F.bround("active_time", 3).alias("autopilot_active_time_s"),
         percent_of(F.col("active_time"), length).alias("autopilot_active_pct"),
         *per_type,
         events.alias("total_events"),

@@ -101,10 +101,10 @@ def telemetry_totals(telemetry: DataFrame) -> DataFrame:
     ).select(
         iso_text(F.col("start")).alias("time_start"),
         iso_text(F.col("end")).alias("time_end"),
-        F.coalesce(F.round(seconds / 60, 2), F.lit(0.0)).alias("duration_minutes"),
-        F.coalesce(F.round("distance", 3), F.lit(0.0)).alias("distance_km"),
-        F.coalesce(F.round("speed", 2), F.lit(0.0)).alias("average_speed_kph"),
-        F.coalesce(F.round("top_speed", 2), F.lit(0.0)).alias("max_speed_kph"),
+        F.coalesce(F.bround(seconds / 60, 2), F.lit(0.0)).alias("duration_minutes"),
+        F.coalesce(F.bround("distance", 3), F.lit(0.0)).alias("distance_km"),
+        F.coalesce(F.bround("speed", 2), F.lit(0.0)).alias("average_speed_kph"),
+        F.coalesce(F.bround("top_speed", 2), F.lit(0.0)).alias("max_speed_kph"),
         "drives",
     )
 

@@ -194,4 +194,6 @@ def test_intervals_for_any_cell_width(spark):
         assert {r.drive_id: r.asDict() for r in drive_intervals(samples, width).collect()} == (
             expected
         )
+    loose = drive_intervals(samples, combine_copies=False).collect()
+    assert {r.drive_id: r.asDict() for r in loose} == expected
     assert COARSE_CELL_US % FINE_CELL_US == 0 and BASE_US % SECOND == 0

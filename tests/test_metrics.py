@@ -3,6 +3,7 @@ from helpers import sample, telemetry_frame
 
 from wheeltrace.operators.detection import detect_events
 from wheeltrace.operators.metrics import drive_metrics, drive_summary, fleet_metrics
+from wheeltrace.operators.samples import drive_intervals, prepare_samples
 from wheeltrace.schemas import DRIVE_METRIC_SCHEMA
 
 
@@ -33,6 +34,10 @@ def test_repeated_instants_weigh_the_fallback(spark):
     got = drive_metrics(telemetry_frame(spark, rows)).first()
     # Two zero pauses and the last sample take the median (2 s), one takes its own 2 s.
     assert got.autopilot_active_time_s == 8.0
+    rows[1]["autopilot_state"] = None
+    samples = prepare_samples(telemetry_frame(spark, rows))
+    apart = drive_intervals(samples, combine_copies=False).first()
+    assert apart == drive_intervals(samples).first() and apart.active_time_s == 6.0
 
 
 def test_single_sample_drive(spark):

@@ -165,15 +165,17 @@ def qualifying_runs(
     rules: Sequence[EventRule],
     fine_us: int = FINE_CELL_US,
     coarse_us: int = COARSE_CELL_US,
+    intervals: DataFrame | None = None,
 ) -> DataFrame:
     """Runs that last long enough to be events.
 
-    A run of a single sample lasts the drive's median sample interval instead of zero.
+    A run of a single sample lasts the drive's median sample interval instead of
+    zero; `intervals` takes a result of `drive_intervals` to use again.
     """
     measures = tuple(rule.column for rule in rules)
-    gate = drive_intervals(prepare_samples(telemetry), fine_us).select(
-        "drive_id", "single_sample_counts"
-    )
+    if intervals is None:
+        intervals = drive_intervals(prepare_samples(telemetry), fine_us)
+    gate = intervals.select("drive_id", "single_sample_counts")
     samples = prepare_samples(_possible_matches(telemetry, rules), measures)
     runs = threshold_runs(samples, rules, fine_us, coarse_us).select(
         *_KEYS, *_MERGE, F.col("first.moment_us").alias("_start_us")
@@ -197,13 +199,14 @@ def detect_events(
     rules: Sequence[EventRule] = DEFAULT_RULES,
     fine_us: int = FINE_CELL_US,
     coarse_us: int = COARSE_CELL_US,
+    intervals: DataFrame | None = None,
 ) -> DataFrame:
     """Events of all rules in one pass, in the `driving_events` columns.
 
     The number in `event_id` counts the events of a type across all drives, in
     drive and time order.
     """
-    runs = qualifying_runs(telemetry, rules, fine_us, coarse_us)
+    runs = qualifying_runs(telemetry, rules, fine_us, coarse_us, intervals)
     numbered = running_total(
         runs,
         ["event_type"],

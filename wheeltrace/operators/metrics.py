@@ -9,6 +9,7 @@ from wheeltrace.config import DEFAULT_RULES, EVENT_TYPES, FINE_CELL_US, SECOND_U
 from wheeltrace.functions.scalars import per_100_km, percent_of
 from wheeltrace.operators.detection import qualifying_runs
 from wheeltrace.operators.samples import drive_intervals, prepare_samples
+from wheeltrace.operators.scale import materialize
 from wheeltrace.schemas import DRIVE_METRIC_SCHEMA
 
 _RATES = (*[(f"{kind}_count", f"{kind}_per_100_km") for kind in EVENT_TYPES],)
@@ -71,18 +72,25 @@ def drive_metrics(
     telemetry: DataFrame,
     events: DataFrame | None = None,
     fine_us: int = FINE_CELL_US,
+    intervals: DataFrame | None = None,
 ) -> DataFrame:
     """One `drive_metrics` row per drive, normalised by time and distance.
 
-    Without `events` they are detected from the telemetry. Each of the joined
-    inputs has one row per drive.
+    Without `events` they are detected from the telemetry. `intervals` takes a
+    result of `drive_intervals` to use again. Each of the joined inputs has one
+    row per drive.
     """
     samples = prepare_samples(telemetry)
+    if intervals is None:
+        intervals = drive_intervals(samples, fine_us)
+        if events is None:
+            # Needed for both detection and time; one row per drive.
+            intervals = materialize(intervals, "intervals")
     if events is None:
-        events = qualifying_runs(telemetry, DEFAULT_RULES, fine_us)
+        events = qualifying_runs(telemetry, DEFAULT_RULES, fine_us, intervals=intervals)
     rows = (
         _drive_totals(samples)
-        .join(drive_intervals(samples, fine_us), "drive_id", "left")
+        .join(intervals, "drive_id", "left")
         .join(event_counts(events), "drive_id", "left")
         .fillna(0, [count for count, _ in _RATES])
     )

@@ -60,7 +60,9 @@ def prepare_samples(telemetry: DataFrame, extra_measures: tuple[str, ...] = ())
     ).where(F.col("drive_id").isNotNull() & F.col("moment_us").isNotNull())
 
 
-def sample_intervals(samples: DataFrame, cell_us: int = FINE_CELL_US) -> DataFrame:
+def sample_intervals(
+    samples: DataFrame, cell_us: int = FINE_CELL_US, combine_copies: bool = True
+) -> DataFrame:
     """How often each pause between neighbouring samples occurs, per drive.
 
     One row per drive and pause (`gap_us`) with the number of samples it follows
@@ -72,18 +74,33 @@ def sample_intervals(samples: DataFrame, cell_us: int = FINE_CELL_US) -> DataFra
     Neighbours are found inside fixed time cells. The first seconds of a cell
     are repeated at the end of the cell before, which is enough to see every
     pause up to the limit; longer ones are all alike.
+
+    `combine_copies` merges samples of one instant before the cells are formed,
+    so that many copies of a sample never meet in one task. It changes no result.
+    For ingested telemetry, where repeated samples are already gone, leaving it
+    out saves a shuffle of the table.
     """
     if cell_us < MAX_SAMPLE_GAP_US:
         raise ValueError("a cell must be at least as long as the largest pause")
-    instants = samples.groupBy("drive_id", "moment_us").agg(
-        F.count("*").alias("samples"),
-        F.sum(F.col("is_active").cast("bigint")).alias("active"),
-        F.max(F.col("is_active").cast("bigint")).alias("last_active"),
-    )
+    active = F.col("is_active").cast("bigint")
+    if combine_copies:
+        instants = samples.groupBy("drive_id", "moment_us").agg(
+            F.count("*").alias("samples"),
+            F.sum(active).alias("active"),
+            F.max(active).alias("last_active"),
+        )
+    else:
+        instants = samples.select(
+            "drive_id",
+            "moment_us",
+            F.lit(1).cast("bigint").alias("samples"),
+            active.alias("active"),
+            active.alias("last_active"),
+        )
     own = cell_start(F.col("moment_us"), cell_us)
     near_start = F.col("moment_us") - own <= MAX_SAMPLE_GAP_US
     cells = F.when(near_start, F.array(own, own - cell_us)).otherwise(F.array(own))
-    in_cell = Window.partitionBy("drive_id", "_cell").orderBy("moment_us")
+    in_cell = Window.partitionBy("drive_id", "_cell").orderBy("moment_us", "last_active")
     gap = F.lead("moment_us").over(in_cell) - F.col("moment_us")
     paused = (
         instants.select("*", own.alias("_own"), F.explode(cells).alias("_cell"))
@@ -115,7 +132,9 @@ def sample_intervals(samples: DataFrame, cell_us: int = FINE_CELL_US) -> DataFra
     )
 
 
-def drive_intervals(samples: DataFrame, cell_us: int = FINE_CELL_US) -> DataFrame:
+def drive_intervals(
+    samples: DataFrame, cell_us: int = FINE_CELL_US, combine_copies: bool = True
+) -> DataFrame:
     """Per drive: typical interval, active time, and whether one sample makes an event.
 
     A sample stands for the pause after it if that is above zero and within the
@@ -131,7 +150,7 @@ def drive_intervals(samples: DataFrame, cell_us: int = FINE_CELL_US) -> DataFram
     # The last sample of a drive has a NULL pause that is not a pause at all.
     pauses = count - F.when(gap.isNull(), 1).otherwise(0)
     return (
-        sample_intervals(samples, cell_us)
+        sample_intervals(samples, cell_us, combine_copies)
         .groupBy("drive_id")
         .agg(
             F.percentile(F.when(usable, gap), 0.5, count).alias("_median_us"),

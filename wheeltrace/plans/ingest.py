@@ -18,6 +18,7 @@ from wheeltrace.operators.cleaning import (
 )
 from wheeltrace.operators.detection import detect_events
 from wheeltrace.operators.metrics import drive_metrics, fleet_metrics
+from wheeltrace.operators.samples import drive_intervals, prepare_samples
 from wheeltrace.operators.scale import materialize
 from wheeltrace.schemas import TELEMETRY_SCHEMA
 from wheeltrace.sources.csv_logs import discover_csv_files, read_csv_logs
@@ -137,13 +138,18 @@ def compute_metrics(
     are written, and the result reads the written tables.
     """
     source = store.telemetry() if telemetry is None else telemetry
-    events = detect_events(source)
+    # One row per drive, used by both steps. Stored telemetry has no repeated samples.
+    intervals = materialize(
+        drive_intervals(prepare_samples(source), combine_copies=telemetry is not None),
+        "intervals",
+    )
+    events = detect_events(source, intervals=intervals)
     if persist:
         # Metrics count the written events instead of detecting them again.
         store.write_events(events)
         events = store.events()
-        store.write_drive_metrics(drive_metrics(source, events))
+        store.write_drive_metrics(drive_metrics(source, events, intervals=intervals))
         metrics = store.drive_metrics()
     else:
-        metrics = drive_metrics(source, events)
+        metrics = drive_metrics(source, events, intervals=intervals)
     return MetricsResult(events, metrics, fleet_metrics(metrics))

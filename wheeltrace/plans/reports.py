@@ -283,7 +283,7 @@ def overview(client: FleetClient, result: IngestResult) -> Overview:
     if not result.rows_served:
         nothing = client.store.drive_metrics().select("drive_id").limit(0)
         return Overview(status, summary, sample, nothing, None)
-    computed = compute_metrics(client.store, result.telemetry)
+    computed = compute_metrics(client.store)
     return Overview(
         status, summary, sample, drive_names(computed.drive_metrics), analyze_fleet(client)
     )

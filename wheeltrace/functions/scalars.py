@@ -100,18 +100,27 @@ def is_switched_on(text: Column) -> Column:
 
 
 def elapsed_seconds(text: Column) -> Column:
-    """`[N days ]HH:MM:SS[.f]` to seconds; a bare number is already seconds."""
-    part = [F.regexp_extract(text, _ELAPSED, i) for i in range(1, 7)]
-    clock = (
-        part[3].try_cast("double") * 3600
-        + part[4].try_cast("double") * 60
-        + part[5].try_cast("double")
-    )
-    days = F.coalesce(part[1].try_cast("double"), F.lit(0.0)) * 86400
-    sign = F.when(part[0] == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
-    # "-1 days +23:59:59" takes the clock forward from a negative day.
-    total = F.when(part[2] == "+", sign * days + clock).otherwise(sign * (days + clock))
-    return F.when(text.rlike(_ELAPSED), total).otherwise(parse_number(text))
+    """`[N days ]HH:MM:SS[.f]` to seconds; a bare number is already seconds.
+
+    The pattern runs once: it rewrites the text to bar-separated parts, which the
+    lambda then reads. A text that does not match stays whole.
+    """
+
+    def seconds(parts: Column) -> Column:
+        def number(index: int) -> Column:
+            return F.get(parts, F.lit(index)).try_cast("double")
+
+        clock = number(3) * 3600 + number(4) * 60 + number(5)
+        days = F.coalesce(number(1), F.lit(0.0)) * 86400
+        sign = F.when(F.get(parts, F.lit(0)) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
+        # "-1 days +23:59:59" takes the clock forward from a negative day.
+        forward = F.get(parts, F.lit(2)) == "+"
+        total = sign * days + F.when(forward, clock).otherwise(sign * clock)
+        return F.when(F.size(parts) == 6, total)
+
+    parts = F.split(F.regexp_replace(text, _ELAPSED, "$1|$2|$3|$4|$5|$6"), "[|]")
+    parsed = F.get(F.transform(F.array(parts), seconds), F.lit(0))
+    return F.coalesce(parsed, parse_number(text))
 
 
 def epoch_micros(seconds: Column) -> Column:

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Iterator
-from urllib.parse import quote
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,39 +52,51 @@ def discover_csv_files(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
-def _open(path: str):
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return pafs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
-    filesystem, inner = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
-    return filesystem.open_input_stream(inner)
-
-
-def _first_line(path: str) -> str | None:
-    """The header line; reads only as far as its end."""
-    block, text = 1 << 16, b""
-    with _open(path) as stream:
-        while b"\n" not in text:
-            piece = stream.read(block)
-            if not piece:
-                break
-            text += piece
-    line = text.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-    return line or None
+def _header_reader() -> Callable[[Iterator], Iterator]:
+    """The function executors run to read header lines.
 
+    It is nested and imports what it needs, so it is sent as code and works
+    where this package is not installed.
+    """
 
-def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths = batch.column("path").to_pylist()
-        lines = [_first_line(path) for path in paths]
-        yield pa.RecordBatch.from_pydict(
-            {"path": pa.array(paths, pa.string()), "header": pa.array(lines, pa.string())}
-        )
+    def first_line(path: str) -> str | None:
+        from urllib.parse import quote
+
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        scheme, _, rest = path.partition(":")
+        if scheme == "file":
+            stream = LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+        else:
+            filesystem, inner = FileSystem.from_uri(quote(path, safe=":/@"))
+            stream = filesystem.open_input_stream(inner)
+        text = b""
+        with stream:
+            # Reads only as far as the end of the line.
+            while b"\n" not in text:
+                piece = stream.read(1 << 16)
+                if not piece:
+                    break
+                text += piece
+        line = text.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+        return line or None
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            lines = [first_line(path) for path in paths]
+            yield pa.RecordBatch.from_pydict(
+                {"path": pa.array(paths, pa.string()), "header": pa.array(lines, pa.string())}
+            )
+
+    return read
 
 
 def read_headers(files: DataFrame) -> DataFrame:
     """Header line of each file, read in parallel by the executors."""
-    return files.select("path").mapInArrow(_headers, "path string, header string")
+    return files.select("path").mapInArrow(_header_reader(), "path string, header string")
 
 
 def _column_names(header: str) -> list[str]:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from wheeltrace.client import (
     DEFAULT_LIMIT,
     FleetClient,
-    first_events,
     first_telemetry,
 )
 from wheeltrace.functions.scalars import finite, iso_text, number_text

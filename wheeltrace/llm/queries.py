@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheeltrace.llm import (
+    imatch,
     minhash,
     mixing,
     packing,
     pii,
+    quality_model,
     quality_rules,
+    sharding,
+    url_filter,
 )
 from wheeltrace.llm.common import table, tokenizer_path
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_model.score_quality(docs, labels)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "source", "size", "block", "release", "due", "slot")
@@ -36,25 +45,63 @@ def op4_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path()).drop("closed_by")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge_urls(pages, url_filter.listed_by_label(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find_pii(docs).select("doc_id", "pii.*")
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = imatch.edit_report(table(spark, sf_dir, "documents"))
+    return report.select(
+        "doc_id",
+        F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
+    )
+    return sharding.shard(docs).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_gam": op1_quality_gam,
         "op2_mix_sources": op2_mix_sources,
         "op3_quality_rules": op3_quality_rules,
         "op4_pack_windows": op4_pack_windows,
+        "op5_url_filter": op5_url_filter,
         "op6_pii_spans": op6_pii_spans,
+        "op8_imatch": op8_imatch,
+        "op9_histogram_shards": op9_histogram_shards,
         "op10_minhash_tensored": op10_minhash_tensored,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": url_filter.ORACLE_SQL}

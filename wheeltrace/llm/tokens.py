@@ -2,23 +2,122 @@
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 
 from wheeltrace.llm.common import utf8
 
+# Words remembered by a Python worker, about 700 bytes each; then it starts afresh.
+CACHED_WORDS = 400_000
+
+# A word of Latin letters and the punctuation after it: the tokenizer parts them too.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+class _Words:
+    """Ids of the words met so far: `flat[begins[k] : begins[k] + lengths[k]]` of word k."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.begins, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Remember the ids of runs of letters, encoded as one text."""
+        if not parts:
+            return
+        ids = self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids
+        ends = (np.nonzero(self.ends_word[ids])[0] + 1).tolist()
+        if len(ends) != len(parts):
+            found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+            self.parts.update(zip(parts, (e.ids for e in found), strict=True))
+            return
+        begins = [0, *ends[:-1]]
+        cut = map(slice, begins, ends)
+        self.parts.update(zip(parts, map(ids.__getitem__, cut), strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        texts = [word.decode("utf-8", "surrogatepass") for word in words]
+        split = [_SIMPLE.fullmatch(text) for text in texts]
+        simple = [(m[1].lower(), m[2]) for m in split if m]
+        fresh = dict.fromkeys(part for pair in simple for part in pair if part not in self.parts)
+        self._learn_parts([part for part in fresh if part.isalpha()])
+        marks = [part for part in fresh if not part.isalpha()]
+        others = [text for text, m in zip(texts, split, strict=True) if not m]
+        encoded = self.tokenizer.encode_batch_fast(marks + others, add_special_tokens=False)
+        self.parts.update(zip(marks, (e.ids for e in encoded[: len(marks)]), strict=True))
+        rest = iter([e.ids for e in encoded[len(marks) :]])
+        pairs = iter(simple)
+        lists = []
+        for m in split:
+            if m:
+                core, tail = next(pairs)
+                lists.append(self.parts[core] + self.parts[tail] if tail else self.parts[core])
+            else:
+                lists.append(next(rest))
+        lengths = np.array([len(ids) for ids in lists], np.int64)
+        flat = np.array([i for ids in lists for i in ids], np.uint32)
+        first = len(self.known)
+        last = first + len(words)
+        while last > len(self.begins):
+            self.begins = np.append(self.begins, np.zeros_like(self.begins))
+            self.lengths = np.append(self.lengths, np.zeros_like(self.lengths))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.lengths[first:last] = lengths
+        self.begins[first:last] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        self.known.update(zip(words, range(first, last), strict=True))
+
+    def indices(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of distinct words."""
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if (found < 0).any():
+            if len(self.known) + len(words) > CACHED_WORDS:
+                self.forget()
+                found[:] = -1
+            missing = found < 0
+            first = len(self.known)
+            self.learn(words[missing].tolist())
+            found[missing] = np.arange(first, first + int(missing.sum()))
+        return found
+
+
+def _worker_words(path: str) -> _Words:
+    """The words of this Python worker, kept from task to task."""
+    kept = sys.modules.setdefault("_words_of_worker", types.ModuleType("_words_of_worker"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.words = path, _Words(path)
+    return kept.words
+
 
 def word_encoder(tokenizer_path: str) -> Callable[[list], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (ids of all texts, number of ids per text).
 
-    The tokenizer drops white space and never merges across it, so each distinct word of a
-    slice is encoded once and its ids are put in place by position.
+    The tokenizer drops white space and never merges across it, so each word is encoded
+    when the worker first meets it, and its ids are put in place by position.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
+    known = _worker_words(tokenizer_path)
 
     def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
         words: list[bytes] = []
@@ -32,21 +131,15 @@ def word_encoder(tokenizer_path: str) -> Callable[[list], tuple[np.ndarray, np.n
         held = np.empty(len(words), object)
         held[:] = words
         codes, distinct = pd.factorize(held)
-        encoded = tokenizer.encode_batch_fast(
-            [word.decode("utf-8", "surrogatepass") for word in distinct],
-            add_special_tokens=False,
-        )
-        lists = [e.ids for e in encoded]
-        lengths = np.array([len(ids) for ids in lists], np.int64)
-        flat = np.array([i for ids in lists for i in ids], np.uint32)
-        begins = np.cumsum(lengths) - lengths
-        # Ragged gather: each word's ids follow one another in `flat`.
-        per_word = lengths[codes]
+        numbers = known.indices(distinct)[codes]
+        per_word = known.lengths[numbers]
         ends = np.cumsum(per_word)
         total = int(ends[-1])
-        index = np.arange(total) + np.repeat(begins[codes] - (ends - per_word), per_word)
-        word_of_text = np.repeat(np.arange(len(texts)), counts)
-        per_text = np.bincount(word_of_text, weights=per_word, minlength=len(texts))
-        return flat[index], per_text.astype(np.int64)
+        # Ragged gather: each word's ids follow one another in `flat`.
+        starts = known.begins[numbers] - (ends - per_word)
+        index = np.arange(total) + np.repeat(starts, per_word)
+        last = np.cumsum(counts)
+        through = np.append(0, ends)[np.stack([last - counts, last])]
+        return known.flat[index], through[1] - through[0]
 
     return encode

@@ -17,6 +17,7 @@ from wheeltrace.llm import (
     quality_model,
     quality_rules,
     sharding,
+    suffix_dedup,
     url_filter,
 )
 from wheeltrace.llm.common import table, tokenizer_path
@@ -56,6 +57,13 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs).select("doc_id", "pii.*")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = imatch.edit_report(table(spark, sf_dir, "documents"))
     return report.select(
@@ -96,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pack_windows": op4_pack_windows,
         "op5_url_filter": op5_url_filter,
         "op6_pii_spans": op6_pii_spans,
+        "op7_suffix_array": op7_suffix_array,
         "op8_imatch": op8_imatch,
         "op9_histogram_shards": op9_histogram_shards,
         "op10_minhash_tensored": op10_minhash_tensored,

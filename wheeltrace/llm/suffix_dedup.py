@@ -157,9 +157,12 @@ def _names(*keys: np.ndarray) -> np.ndarray:
     return names
 
 
-def least_ids(cells: np.ndarray, grams: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def least_ids(cells: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """(contexts, starts): the smallest id with the same 50 bytes at a start of the same gram.
 
+    docs is (contexts, starts) too: the id that has the string, the largest long where a start
+    lies outside its text.
+
     Equal 50-byte strings in different groups of grams are not compared: strings that share a
     gram meet in its own group.
     """
@@ -180,7 +183,8 @@ def least_ids(cells: np.ndarray, grams: np.ndarray, docs: np.ndarray) -> np.ndar
     pairs = _names(names[:, sample].reshape(-1), names[:, second].reshape(-1))
     deep[:, sample] = pairs.reshape(m, -1)
     least = np.full((m, REACH), _NO_ID)
-    group = _names(grams)
+    # All contexts of a gram have it at the same place.
+    group = _names(*[words[:, REACH - 1 + k] for k in (0, 8, GRAM - 8)])
     for offset in range(3):
         starts = np.array([i for i in range(REACH) if (i + offset) % 3])
         # The bytes before the sampled position and after its 48.
@@ -193,7 +197,7 @@ def least_ids(cells: np.ndarray, grams: np.ndarray, docs: np.ndarray) -> np.ndar
             rest.reshape(-1),
         )
         lowest = np.full(keys.max() + 1, _NO_ID)
-        np.minimum.at(lowest, keys, np.repeat(docs, len(starts)))
+        np.minimum.at(lowest, keys, docs[:, starts].reshape(-1))
         found = lowest[keys].reshape(m, -1)
         least[:, starts] = np.minimum(least[:, starts], found)
     return least
@@ -210,14 +214,21 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     count = 0
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        cells = np.frombuffer(b"".join(frame["bytes"]), np.uint8).reshape(-1, CONTEXT)
-        docs = frame["doc"].to_numpy()
-        starts = np.arange(REACH)
-        real = (starts >= frame["low"].to_numpy()[:, None]) & (
-            starts < frame["high"].to_numpy()[:, None]
+        docs, starts = frame["doc"].to_numpy(), np.arange(REACH)
+        # Copies of a passage have equal contexts: each is sorted once.
+        bounds = frame["low"].to_numpy() * (2 * REACH) + frame["high"].to_numpy()
+        codes, distinct = pd.factorize(frame["bytes"])
+        codes, pairs = pd.factorize(codes * (4 * REACH * REACH) + bounds)
+        low, high = np.divmod(pairs % (4 * REACH * REACH), 2 * REACH)
+        cells = np.frombuffer(b"".join(distinct[pairs // (4 * REACH * REACH)]), np.uint8)
+        smallest = np.full(len(pairs), _NO_ID)
+        np.minimum.at(smallest, codes, docs)
+        real = (starts >= low[:, None]) & (starts < high[:, None])
+        least = least_ids(
+            cells.reshape(-1, CONTEXT), np.where(real, smallest[:, None], _NO_ID)
         )
-        least = least_ids(cells, frame["gram"].to_numpy(), docs)
-        hit = real & (least < docs[:, None])
+        least = np.where(real, least, _NO_ID)
+        hit = least[codes] < docs[:, None]
         bits = (hit.astype(np.int64) << starts).sum(axis=1)
         keep = (bits != 0) & (frame["fresh"].to_numpy())
         return pd.DataFrame(
@@ -299,7 +310,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("class"),
     )
     first = materialize(
-        rows.groupBy("copies").agg(F.min("doc").alias("_first")), "first-copies"
+        rows.groupBy("copies", "class").agg(F.min("doc").alias("_first")), "first-copies"
     )
     grams = materialize(
         rows.select("class", "text")
@@ -311,11 +322,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     )
     # At most one gram per byte of a text.
     per_class = grams.groupBy("class").agg(F.collect_set("gram").alias("grams"))
+    leaders = first.join(per_class, "class").select(F.col("_first").alias("doc"), "copies", "grams")
     covered = (
-        rows.join(per_class, "class")
-        .join(first, "copies")
-        .where(F.col("doc") == F.col("_first"))
-        .select("doc", "text", "grams")
+        rows.join(leaders, ["doc", "copies"])
+        .select("doc", "text", "copies", "grams")
+        .dropDuplicates(["doc", "copies"])
         .mapInPandas(
             _contexts,
             "gram bigint, doc bigint, first bigint, low bigint, high bigint, bytes binary",
@@ -330,7 +341,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         ),
         "cuts",
     )
-    fate = rows.select("doc", "copies").join(first, "copies").select(
+    fate = rows.select("doc", "copies").join(first.drop("class"), "copies").select(
         "doc", "copies", (F.col("_first") < F.col("doc")).alias("copied")
     )
     fate = fate.distinct().join(cuts, "doc", "left")

@@ -7,7 +7,7 @@ import re
 import sys
 import types
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -15,10 +15,10 @@ import pandas as pd
 from wheeltrace.llm.common import utf8
 
 # Words remembered by a Python worker, about 700 bytes each; then it starts afresh.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 # A word of Latin letters and the punctuation after it: the tokenizer parts them too.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_SIMPLE = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.+))$", re.MULTILINE)
 
 
 class _Words:
@@ -56,26 +56,23 @@ class _Words:
         self.parts.update(zip(parts, map(ids.__getitem__, cut), strict=True))
 
     def learn(self, words: list[bytes]) -> None:
-        texts = [word.decode("utf-8", "surrogatepass") for word in words]
-        split = [_SIMPLE.fullmatch(text) for text in texts]
-        simple = [(m[1].lower(), m[2]) for m in split if m]
-        fresh = dict.fromkeys(part for pair in simple for part in pair if part not in self.parts)
-        self._learn_parts([part for part in fresh if part.isalpha()])
-        marks = [part for part in fresh if not part.isalpha()]
-        others = [text for text, m in zip(texts, split, strict=True) if not m]
+        # Words hold no line break: one pass of the pattern splits them all.
+        split = _SIMPLE.findall(b"\n".join(words).decode("utf-8", "surrogatepass"))
+        split = [(core.lower(), tail, other) for core, tail, other in split]
+        known = self.parts.keys()
+        self._learn_parts(list({core for core, _, _ in split} - known))
+        marks = list({tail for _, tail, _ in split} - known)
+        others = [other for _, _, other in split if other]
         encoded = self.tokenizer.encode_batch_fast(marks + others, add_special_tokens=False)
-        self.parts.update(zip(marks, (e.ids for e in encoded[: len(marks)]), strict=True))
-        rest = iter([e.ids for e in encoded[len(marks) :]])
-        pairs = iter(simple)
-        lists = []
-        for m in split:
-            if m:
-                core, tail = next(pairs)
-                lists.append(self.parts[core] + self.parts[tail] if tail else self.parts[core])
-            else:
-                lists.append(next(rest))
-        lengths = np.array([len(ids) for ids in lists], np.int64)
-        flat = np.array([i for ids in lists for i in ids], np.uint32)
+        encoded = [e.ids for e in encoded]
+        self.parts.update(zip(marks, encoded, strict=False))
+        parts, rest = self.parts, iter(encoded[len(marks) :])
+        lists = [
+            next(rest) if other else parts[core] + parts[tail] if tail else parts[core]
+            for core, tail, other in split
+        ]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
         first = len(self.known)
         last = first + len(words)
         while last > len(self.begins):

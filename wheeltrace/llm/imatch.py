@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from wheeltrace.llm.common import mix, text_slices, utf8
@@ -114,7 +115,7 @@ def _text(prints: np.ndarray) -> list[str]:
     return ["".join(f"{v:0{digits}x}" for v in row) for row in (prints >> shift).tolist()]
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of equal hashes among the lexicons in which either text has terms; 1 if none."""
     sides = [

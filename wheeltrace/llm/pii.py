@@ -4,7 +4,7 @@ Plain identifiers are found in the source text. Then a transducer rewrites the t
 and full-width characters become ASCII, spelled digits become digits, "(at)", " dot " and the
 like become "@" and ".", invisible characters vanish. It keeps the source offsets of each
 character it writes. Identifiers of the rewritten text are mapped back to the source by those
-offsets, and those that meet no plain one are added.
+offsets, and those that lie in no plain one are added.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -180,7 +181,7 @@ def all_spans(text: str) -> tuple[list, list]:
     found = list(plain)
     for kind, start, end in find_spans(tape.text):
         span = tape.starts[start], tape.ends[end - 1]
-        if all(span[1] <= s or e <= span[0] for _, s, e in plain):
+        if not any(s <= span[0] and span[1] <= e for _, s, e in plain):
             found.append((kind, *span))
     return plain, sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -204,10 +205,14 @@ def redacted_text(text: str) -> str:
     return "".join(pieces) + text[at:] if merged else text
 
 
-@pandas_udf(
-    "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_disguised bigint, "
-    "base_sha256 string, spans string"
+_COUNTS = [f"n_{kind}" for kind in KINDS] + ["n_disguised"]
+_REPORT = T.StructType(
+    [T.StructField(name, T.LongType()) for name in _COUNTS]
+    + [T.StructField(name, T.StringType()) for name in ("base_sha256", "spans")]
 )
+
+
+@pandas_udf(_REPORT)
 def _report(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -221,11 +226,10 @@ def _report(texts: pd.Series) -> pd.DataFrame:
                 joined(every),
             )
         )
-    names = [f"n_{kind}" for kind in KINDS] + ["n_disguised", "base_sha256", "spans"]
-    return pd.DataFrame(rows, columns=names)
+    return pd.DataFrame(rows, columns=_REPORT.names)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _redacted(texts: pd.Series) -> pd.Series:
     return texts.map(redacted_text, na_action="ignore")
 

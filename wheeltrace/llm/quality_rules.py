@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from wheeltrace.llm.common import known_small, text_slices, utf8
@@ -22,13 +23,13 @@ WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 MAX_HOST_RATE = 0.5
+# The prior counts for at least so many documents.
+MIN_STRENGTH = 5.0
 # A host verdict has about 50 bytes; more hosts than this are joined by shuffle.
 BROADCAST_HOSTS = 100_000
 
-_MEASURES = (
-    "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint"
-)
+_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_MEASURES = T.StructType([T.StructField(name, T.LongType()) for name in _NAMES])
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _IS_SYMBOL = np.zeros(256, bool)
@@ -80,8 +81,7 @@ def _measures(texts: pd.Series) -> pd.DataFrame:
                     _repeated_words(words),
                 )
             )
-    names = [part.split()[0] for part in _MEASURES.split(", ")]
-    return pd.DataFrame(rows, columns=names, dtype=np.int64)
+    return pd.DataFrame(rows, columns=list(_NAMES), dtype=np.int64)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def host_verdicts(stats: DataFrame, host: str, max_rate: float = MAX_HOST_RATE)
 
     Null hosts form no host. Counting is partly done before the shuffle, so a host that holds
     a third of all documents is no large group. Without variance between the hosts a rule's
-    prior is one document at the common rate.
+    prior is MIN_STRENGTH documents at the common rate.
     """
     failing = rules()
     counts = (
@@ -131,7 +131,7 @@ def host_verdicts(stats: DataFrame, host: str, max_rate: float = MAX_HOST_RATE)
     for name in failing:
         mean, var = moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0
         spread = mean * (1 - mean)
-        strength = spread / var - 1 if 0 < var < spread else 1.0
+        strength = max(spread / var - 1 if 0 < var < spread else 0.0, MIN_STRENGTH)
         rates.append((F.col(name) + mean * strength) / (F.col("n") + strength))
     return counts.select(
         host,

@@ -499,9 +499,11 @@ def oracle_sql() -> dict[str, str]:
               'medium' AS severity
             FROM metrics ORDER BY events_per_100_km DESC, start_time_us, drive_id LIMIT 1"""
         ),
-        "ingest_csv": _from_source(
-            """SELECT count(*) AS rows_ingested, count(*) FILTER (epoch IS NULL) AS rows_dropped,
-              sum(speed_kph) AS speed_sum FROM coerced"""
+        "ingest_csv": _from_source(f"SELECT {_CANONICAL} FROM telemetry"),
+        "client_events": _from_events("SELECT * FROM detected"),
+        "client_drives": _with(_SOURCE, _SUMMARY, select="SELECT * FROM summary"),
+        "fleet_event_totals": _from_events(
+            "SELECT count(*) AS events, count(*) AS metric_events FROM detected"
         ),
     }
     for kind in _KINDS:

@@ -29,8 +29,8 @@ from wheeltrace.client import (
 )
 from wheeltrace.functions.scalars import elapsed_seconds, is_switched_on, state_code, state_label
 from wheeltrace.operators import cleaning, detection, insights, metrics, samples
-from wheeltrace.operators.canonical import add_distance_delta
-from wheeltrace.operators.scale import checkpoint_folder
+from wheeltrace.operators.canonical import add_distance_delta, to_telemetry
+from wheeltrace.operators.scale import checkpoint_folder, materialize
 from wheeltrace.plans import ingest, reports
 from wheeltrace.sources.csv_logs import discover_csv_files, read_csv_logs
 from wheeltrace.sources.store import TelemetryStore
@@ -272,13 +272,27 @@ def _client(spark, sf_dir) -> FleetClient:
     return FleetClient(store(spark, sf_dir, "telemetry", "events", "metrics"))
 
 
+def client_events(spark, sf_dir):
+    """Events as the client serves them without arguments: all of them."""
+    return _flat(_client(spark, sf_dir).events())
+
+
+def fleet_event_totals(spark, sf_dir):
+    """The event totals of the default fleet report, from its events and from its metrics."""
+    report = reports.analyze_fleet(_client(spark, sf_dir))
+    return report.select(
+        F.col("summary.events.total_events").cast("bigint").alias("events"),
+        F.col("summary.aggregate_metrics.total_events").cast("bigint").alias("metric_events"),
+    )
+
+
 def drive_report(spark, sf_dir):
-    report = reports.analyze_drive(_client(spark, sf_dir), LEFT_DRIVE, event_limit=None)
+    report = reports.analyze_drive(_client(spark, sf_dir), LEFT_DRIVE)
     return reports.as_json(report)
 
 
 def fleet_report(spark, sf_dir):
-    return reports.as_json(reports.analyze_fleet(_client(spark, sf_dir), event_limit=None))
+    return reports.as_json(reports.analyze_fleet(_client(spark, sf_dir)))
 
 
 def comparison_report(spark, sf_dir):
@@ -291,28 +305,39 @@ def _scratch(spark: SparkSession, label: str) -> str:
 
 
 def _write_logs(spark: SparkSession, sf_dir: str) -> str:
-    """The raw rows as a folder of CSV files, a drive's rows together and in order."""
-    folder = _scratch(spark, "logs")
-    (
-        raw_rows(spark, sf_dir)
-        .repartition("drive_id")
-        .sortWithinPartitions("drive_id", "_pos")
-        .drop("source_file", "drive_id", "_chunk", "_pos")
-        .write.option("header", True)
-        .option("escape", '"')
-        .csv(folder)
-    )
+    """The raw rows as one CSV file per drive, named after it, its rows in order.
+
+    Every other drive has its columns in reverse, as logs of different versions do.
+    """
+    rows = raw_rows(spark, sf_dir)
+    names = [c for c in rows.columns if c not in ("source_file", "drive_id", "_chunk", "_pos")]
+    staged, folder = _scratch(spark, "staged"), _scratch(spark, "logs")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(folder))
+    odd = F.pmod(F.xxhash64("drive_id"), F.lit(2))
+    for variant, order in enumerate((names, names[::-1])):
+        (
+            rows.where(odd == variant)
+            .repartition("drive_id")
+            .sortWithinPartitions("drive_id", "_pos")
+            .select("drive_id", *[F.col(f"`{name}`") for name in order])
+            .write.partitionBy("drive_id")
+            .option("header", True)
+            .option("escape", '"')
+            .csv(f"{staged}/{variant}")
+        )
+        for part in system.globStatus(hadoop.Path(f"{staged}/{variant}/drive_id=*/part-*")):
+            drive = part.getPath().getParent().getName().removeprefix("drive_id=")
+            system.rename(part.getPath(), hadoop.Path(f"{folder}/{drive}.csv"))
     return folder
 
 
 def ingest_csv(spark, sf_dir):
+    """Canonical telemetry read back from logs with two kinds of header."""
     files = discover_csv_files(spark, _write_logs(spark, sf_dir))
-    rows = cleaning.coerce_columns(read_csv_logs(files))
-    return rows.agg(
-        F.count("*").alias("rows_ingested"),
-        F.count_if(F.col("`Time (epoch)`").isNull()).alias("rows_dropped"),
-        F.sum("`veh_speed (kph)`").alias("speed_sum"),
-    )
+    cleaned = cleaning.clean(cleaning.coerce_columns(read_csv_logs(files)))
+    return _flat(to_telemetry(materialize(cleaned, "clean-rows")))
 
 
 def overview(spark, sf_dir):
@@ -367,6 +392,9 @@ def queries() -> dict[str, Query]:
         "notable_metrics": notable_metrics,
         "event_insights": event_insights,
         "busiest_drive": busiest_drive,
+        "client_events": client_events,
+        "client_drives": lambda s, d: _flat(_client(s, d).drives()),
+        "fleet_event_totals": fleet_event_totals,
         "drive_report": drive_report,
         "fleet_report": fleet_report,
         "comparison_report": comparison_report,

@@ -138,6 +138,31 @@ def test_no_files(spark, tmp_path):
         assert (summary.drives, summary.duration_minutes, summary.time_start) == (0, 0.0, None)
 
 
+def test_folders_written_with_dots(spark, tmp_path):
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [source_row(0)])
+    for name in (f"{logs}/.", f"{logs}/../logs/", str(logs)):
+        assert discover_csv_files(spark, name).count() == 1
+
+
+def test_hidden_names_are_refused(spark, tmp_path):
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [source_row(0)])
+    write_log(logs, "_b.csv", [source_row(0)])
+    with pytest.raises(ValueError, match="_b.csv"):
+        discover_csv_files(spark, str(logs))
+
+
+def test_blank_lines_before_the_header(spark, tmp_path):
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [source_row(0), source_row(1)])
+    text = (logs / "a.csv").read_text()
+    (logs / "a.csv").write_text("\n\n" + text)
+    rows = read_csv_logs(discover_csv_files(spark, str(logs)))
+    assert rows.count() == 2
+    assert rows.where("`veh_speed (kph)` IS NULL").count() == 0
+
+
 def test_header_only_file(spark, tmp_path):
     logs = tmp_path / "logs"
     write_log(logs, "a.csv", [], ["Time (epoch)"])

@@ -71,7 +71,8 @@ def ingest_folder(spark: SparkSession, data_dir: str, store: TelemetryStore) ->
         check_source_columns(raw.columns)
         coerced = materialize(coerce_columns(raw), "source-rows")
         counts = quality_counts(coerced).first()
-        telemetry = to_telemetry(clean(coerced))
+        # Written, as odometer steps look at the cleaned rows from two sides.
+        telemetry = to_telemetry(materialize(clean(coerced), "clean-rows"))
         ingested, dropped = counts.rows_ingested, counts.rows_dropped
         duplicates, warnings = counts.duplicate_rows_removed, tuple(counts.warnings)
 
@@ -131,16 +132,18 @@ def compute_metrics(
     store: TelemetryStore,
     telemetry: DataFrame | None = None,
     persist: bool = True,
+    combine_copies: bool = True,
 ) -> MetricsResult:
     """Events, drive metrics and fleet metrics of a telemetry table.
 
-    Reads the store's telemetry unless given a frame. With `persist` the tables
+    Reads the store's telemetry unless given a frame. `combine_copies=False` saves a shuffle
+    where no drive has two samples of one instant, as in what the ingest job stores. With `persist` the tables
     are written, and the result reads the written tables.
     """
     source = store.telemetry() if telemetry is None else telemetry
-    # One row per drive, used by both steps. Stored telemetry has no repeated samples.
+    # One row per drive, used by both steps.
     intervals = materialize(
-        drive_intervals(prepare_samples(source), combine_copies=telemetry is not None),
+        drive_intervals(prepare_samples(source), combine_copies=combine_copies),
         "intervals",
     )
     events = detect_events(source, intervals=intervals)

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wheeltrace.client import (
-    DEFAULT_LIMIT,
     FleetClient,
     first_telemetry,
 )
@@ -188,16 +187,16 @@ def analyze_drive(
     client: FleetClient,
     drive_id: str,
     percentile: float = 0.95,
-    event_limit: int | None = DEFAULT_LIMIT,
+    event_limit: int | None = None,
 ) -> DataFrame:
-    """Drive report from the store. Events are the first `event_limit`; None takes all."""
+    """Drive report from the store. All events count, or the first `event_limit`."""
     profile = client.summary(drive_id)
     events = client.events(drive_id=drive_id, limit=event_limit)
     return drive_report(profile, events, client.metrics(), drive_id, percentile)
 
 
-def analyze_fleet(client: FleetClient, event_limit: int | None = DEFAULT_LIMIT) -> DataFrame:
-    """Fleet report from the store. Events are the first `event_limit`; None takes all."""
+def analyze_fleet(client: FleetClient, event_limit: int | None = None) -> DataFrame:
+    """Fleet report from the store. All events count, or the first `event_limit`."""
     events = client.events(limit=event_limit)
     return fleet_report(client.store.telemetry(), events, client.store.drive_metrics())
 
@@ -214,16 +213,19 @@ def compare_drives(
 
 
 def generate_analysis(
-    client: FleetClient, drive_id: str | None = None, compare_to: str | None = None
+    client: FleetClient,
+    drive_id: str | None = None,
+    compare_to: str | None = None,
+    event_limit: int | None = None,
 ) -> DataFrame:
     """Fleet report, drive report or comparison, by the names given."""
     if drive_id is None:
         if compare_to is not None:
             raise ValueError("drive_id is required when compare_to is provided.")
-        return analyze_fleet(client)
+        return analyze_fleet(client, event_limit)
     if compare_to is not None:
         return compare_drives(client, drive_id, compare_to)
-    return analyze_drive(client, drive_id)
+    return analyze_drive(client, drive_id, event_limit=event_limit)
 
 
 def as_json(frame: DataFrame) -> DataFrame:
@@ -271,7 +273,9 @@ def drive_names(metrics: DataFrame) -> DataFrame:
     return metrics.select("drive_id").distinct().orderBy("drive_id")
 
 
-def overview(client: FleetClient, result: IngestResult) -> Overview:
+def overview(
+    client: FleetClient, result: IngestResult, event_limit: int | None = None
+) -> Overview:
     """Compute and store the metrics of an ingest run and describe the outcome."""
     if result.files_processed:
         status = "Telemetry, metrics, and automated analysis ready."
@@ -282,10 +286,9 @@ def overview(client: FleetClient, result: IngestResult) -> Overview:
     if not result.rows_served:
         nothing = client.store.drive_metrics().select("drive_id").limit(0)
         return Overview(status, summary, sample, nothing, None)
-    computed = compute_metrics(client.store)
-    return Overview(
-        status, summary, sample, drive_names(computed.drive_metrics), analyze_fleet(client)
-    )
+    computed = compute_metrics(client.store, combine_copies=False)
+    report = analyze_fleet(client, event_limit)
+    return Overview(status, summary, sample, drive_names(computed.drive_metrics), report)
 
 
 def overview_json(page: Overview) -> DataFrame:

@@ -37,17 +37,26 @@ def _literal_path(path: str) -> str:
 def discover_csv_files(spark: SparkSession, data_dir: str) -> DataFrame:
     """The CSV files directly in a folder: `path`, `source_file`, `bytes`.
 
-    Spark lists the folder; file contents are not read. A missing folder has no files.
+    Spark lists the folder; file contents are not read. A missing folder has no files. Spark
+    passes over names that begin with "_" or "."; such logs are an error, not a silent loss.
     """
-    folder = str(data_dir).rstrip("/")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(str(data_dir))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # Absolute, with scheme, and without "." and ".." pieces.
+    whole = system.makeQualified(folder).toString().rstrip("/")
+    hidden = system.globStatus(hadoop.Path(f"{_literal_path(whole)}/[_.]*.csv")) or []
+    if len(hidden):
+        names = ", ".join(sorted(status.getPath().getName() for status in hidden))
+        raise ValueError(f"Rename logs whose names begin with '_' or '.': {names}")
     try:
-        listed = spark.read.format("binaryFile").load(f"{_literal_path(folder)}/*.csv")
+        listed = spark.read.format("binaryFile").load(f"{_literal_path(whole)}/*.csv")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], _FILE_SCHEMA)
         raise
     parent = F.regexp_replace("path", "/[^/]*$", "")
-    return listed.where(parent.endswith("/" + folder.strip("/").split("/")[-1])).select(
+    return listed.where(parent == whole).select(
         "path", F.substring_index("path", "/", -1).alias("source_file"), F.col("length").alias("bytes")
     )
 
@@ -70,15 +79,15 @@ def _header_reader() -> Callable[[Iterator], Iterator]:
         else:
             filesystem, inner = FileSystem.from_uri(quote(path, safe=":/@"))
             stream = filesystem.open_input_stream(inner)
-        text = b""
+        text = b"\xef\xbb\xbf"
         with stream:
-            # Reads only as far as the end of the line.
-            while b"\n" not in text:
-                piece = stream.read(1 << 16)
-                if not piece:
-                    break
-                text += piece
-        line = text.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+            first = stream.read(1 << 16)
+            text = first.removeprefix(text).lstrip(b"\r\n \t")
+            # The first line that is not blank; reads only as far as its end.
+            while first and b"\n" not in text:
+                first = stream.read(1 << 16)
+                text = (text + first).lstrip(b"\r\n \t") if first else text
+        line = text.split(b"\n", 1)[0].decode("utf-8").rstrip("\r")
         return line or None
 
     def read(batches: Iterator) -> Iterator:

@@ -116,9 +116,9 @@ def test_near_duplicates(spark, docs, empty):
 def test_pairs_across_components_finds_links_the_stars_miss(spark):
     """Two groups in one bucket whose leader links with one of them only."""
     rng = np.random.default_rng(1)
-    base = [rng.integers(1, 256, 256, dtype=np.uint8) for _ in range(2)]
-    rows = [(n, bytearray(base[n % 2].tobytes())) for n in range(8)]
-    classes = spark.createDataFrame(rows, "node bigint, sketch binary")
+    base = [rng.integers(1, 256, minhash.SKETCH_BINS, dtype=np.uint8) for _ in range(2)]
+    rows = [(n, bytearray(base[n % 2].tobytes()), 9000) for n in range(8)]
+    classes = spark.createDataFrame(rows, "node bigint, sketch binary, n_shingles bigint")
     members = spark.createDataFrame([(1, n, 0) for n in range(8)], "key bigint, node bigint, leader bigint")
     labels = spark.createDataFrame([(2, 0), (4, 0), (6, 0), (0, 0)], "node bigint, component_id bigint")
     pairs = {(r.a, r.b) for r in minhash.pairs_across(members, classes, labels).collect()}

@@ -13,10 +13,11 @@ How it stays spread out:
 * Documents with equal shingle sets are one class and enter once, as their smallest doc_id.
 * A half key that only one class has cannot collide, so pairs are only formed from shared
   half keys. That leaves most documents with nothing to shuffle by table.
-* A bucket first links its members to its smallest one (n - 1 candidates). Where confirmed
-  links leave a bucket with several components, members of different components are compared
-  by their sketches in blocks of bounded size, which nothing caps, and the similar ones are
-  confirmed too. So a bucket never lists all its pairs, and no link between components is lost.
+* The smallest member leads a bucket, and each document is first confirmed against the leader
+  it shares most buckets with: one candidate per document. Where confirmed links leave a bucket
+  with several components, members of different components are compared by their sketches in
+  blocks of bounded size, which nothing caps, and the similar ones are confirmed too. So a
+  bucket never lists all its pairs, and no link between components is lost.
 * Shuffled texts are those of candidate documents only.
 """
 
@@ -37,8 +38,12 @@ SHINGLE_WORDS = 5
 HALF_KEYS = 10
 HALF_WIDTH = 2
 MIN_PERCENT = 75
-# A pair of similarity 0.75 agrees in fewer of its 40 sketch bytes with probability 5e-5.
-MIN_SKETCH_MATCHES = 18
+# The sketch parts the shingle hashes into bins and keeps one byte of each bin's least; it costs
+# no further hashing. The least of the bins are a sample of the union without replacement, so
+# the deviation of the shared part falls to none for texts with few shingles per bin. Pairs
+# more than four deviations short of the similarity are passed over.
+SKETCH_BINS = 512
+SKETCH_DEVIATIONS = 4.0
 BLOCK_ROWS = 1024
 
 _MINHASHES = 2 * HALF_KEYS * HALF_WIDTH
@@ -70,6 +75,29 @@ def shingle_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), sizes
 
 
+def _bin_sketch(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts, bins) bytes, 0 for an empty bin. Shingles are sorted within each text."""
+    sketch = np.zeros((len(sizes), SKETCH_BINS), np.uint8)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = owner * SKETCH_BINS + (shingles >> np.uint64(56)).astype(np.int64)
+    first = np.append(True, place[1:] != place[:-1]) if len(place) else np.zeros(0, bool)
+    values = (mix(shingles[first]) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    sketch.reshape(-1)[place[first]] = values
+    return sketch
+
+
+def _may_link(left, right, n_left, n_right) -> np.ndarray:
+    """Whether sketches (rows of bytes) of sets of these sizes are close enough for a link."""
+    share = MIN_PERCENT / 100
+    used = ((left | right) != 0).sum(axis=-1)
+    same = ((left == right) & (left != 0)).sum(axis=-1)
+    # The union's size if the pair just reaches the similarity.
+    union = (n_left + n_right) / (1 + share)
+    unseen = np.maximum(0, 1 - used / np.maximum(union, 1))
+    least = share * used - SKETCH_DEVIATIONS * np.sqrt(share * (1 - share) * used * unseen) - 1
+    return (same >= least) & (np.minimum(n_left, n_right) >= share * np.maximum(n_left, n_right))
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     numbers = np.arange(_MINHASHES, dtype=np.uint64)
     flips = mix(numbers + np.uint64(101))
@@ -91,7 +119,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             halves = np.zeros((2 * HALF_KEYS, len(rows)), np.uint64)
             for k in range(HALF_WIDTH):
                 halves = mix(halves + least[k::HALF_WIDTH])
-            sketch = (mix(least) >> np.uint64(56)).astype(np.uint8).T.copy()
+            sketch = _bin_sketch(shingles, sizes)
             empty = sizes == 0
             yield pd.DataFrame(
                 {
@@ -152,21 +180,36 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     return members.join(leaders, "key")
 
 
+def best_leaders(members: DataFrame) -> DataFrame:
+    """(a, b): each node b with the leader a that it shares most buckets with, one at most."""
+    shared = (
+        members.where("leader < node").groupBy("node", "leader").agg(F.count("*").alias("tables"))
+    )
+    rank = F.struct(F.col("tables"), -F.col("leader"))
+    best = shared.groupBy("node").agg(F.max_by("leader", rank).alias("a"))
+    return best.select("a", F.col("node").alias("b"))
+
+
 def _similar_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sides = [
-            np.frombuffer(b"".join(batch[name]), np.uint8).reshape(-1, _MINHASHES)
+            np.frombuffer(b"".join(batch[name]), np.uint8).reshape(-1, SKETCH_BINS)
             for name in ("sketch_a", "sketch_b")
         ]
-        alike = (sides[0] == sides[1]).sum(axis=1) >= MIN_SKETCH_MATCHES
-        yield batch.loc[alike, ["a", "b"]]
+        sizes = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+        yield batch.loc[_may_link(*sides, *sizes), ["a", "b"]]
 
 
 def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches are similar enough for a link of 0.75."""
-    both = pairs.join(
-        classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a"
-    ).join(classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    both = pairs
+    for side in ("a", "b"):
+        own = classes.select(
+            F.col("node").alias(side),
+            F.col("sketch").alias(f"sketch_{side}"),
+            F.col("n_shingles").alias(f"n_{side}"),
+        )
+        both = both.join(own, side)
     return both.mapInPandas(_similar_sketches, "a bigint, b bigint")
 
 
@@ -215,9 +258,9 @@ def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
     def blocks(frame):
         keys = frame[names].to_numpy()
         cuts = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
-        sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, _MINHASHES)
+        sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, SKETCH_BINS)
         nodes, labels = frame["node"].to_numpy(), frame["component_id"].to_numpy()
-        own = frame["block"].to_numpy()
+        own, sizes = frame["block"].to_numpy(), frame["n_shingles"].to_numpy()
         edges = np.r_[0, cuts, len(frame)]
         found = []
         for start, end in zip(edges[:-1], edges[1:], strict=True):
@@ -232,8 +275,9 @@ def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
                 others = rights[nodes[rights] > nodes[left]] if low == high else rights
                 others = others[labels[others] != labels[left]]
                 if len(others):
-                    same = (sketches[others] == sketches[left]).sum(axis=1)
-                    others = others[same >= MIN_SKETCH_MATCHES]
+                    others = others[
+                        _may_link(sketches[others], sketches[left], sizes[others], sizes[left])
+                    ]
                     mine = np.full(len(others), nodes[left])
                     found.append(
                         np.stack([np.minimum(mine, nodes[others]), np.maximum(mine, nodes[others])])
@@ -275,7 +319,7 @@ def pairs_across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> D
     rows = labelled.join(mixed, "key").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
-    rows = rows.join(classes.select("node", "sketch"), "node")
+    rows = rows.join(classes.select("node", "sketch", "n_shingles"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         "key",
@@ -285,6 +329,7 @@ def pairs_across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> D
         "node",
         "component_id",
         "sketch",
+        "n_shingles",
     )
     return (
         rows.repartition("key", "low", "high")
@@ -318,12 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = materialize(classes, "classes")
     members = materialize(bucket_members(classes), "members")
-    stars = (
-        members.where("leader < node")
-        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
-    links = confirm_pairs(_filter_pairs(stars, classes), docs)
+    links = confirm_pairs(_filter_pairs(best_leaders(members), classes), docs)
     labels = connected_components(links)
     left = pairs_across(members, classes, labels)
     more = confirm_pairs(left.join(links, ["a", "b"], "left_anti"), docs)

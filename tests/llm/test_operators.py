@@ -114,15 +114,38 @@ def test_near_duplicates(spark, docs, empty):
 
 
 def test_pairs_across_components_finds_links_the_stars_miss(spark):
-    """Two groups in one bucket whose leader links with one of them only."""
+    """All similar pairs of a common table and different components, each found once."""
     rng = np.random.default_rng(1)
     base = [rng.integers(1, 256, minhash.SKETCH_BINS, dtype=np.uint8) for _ in range(2)]
-    rows = [(n, bytearray(base[n % 2].tobytes()), 9000) for n in range(8)]
-    classes = spark.createDataFrame(rows, "node bigint, sketch binary, n_shingles bigint")
-    members = spark.createDataFrame([(1, n, 0) for n in range(8)], "key bigint, node bigint, leader bigint")
-    labels = spark.createDataFrame([(2, 0), (4, 0), (6, 0), (0, 0)], "node bigint, component_id bigint")
-    pairs = {(r.a, r.b) for r in minhash.pairs_across(members, classes, labels).collect()}
-    assert pairs == {(a, b) for a in (1, 3, 5, 7) for b in (1, 3, 5, 7) if a < b}
+    own = {n: [int(v) for v in rng.integers(0, 4, 2 * minhash.HALF_KEYS)] for n in range(60)}
+    rows = [(n, own[n], bytearray(base[n % 2].tobytes()), 9000) for n in own]
+    classes = spark.createDataFrame(
+        rows, "node bigint, halves array<bigint>, sketch binary, n_shingles bigint"
+    )
+    label = {n: 0 if n % 2 == 0 and n < 20 else n for n in own}
+    labels = spark.createDataFrame(list(label.items()), "node bigint, component_id bigint")
+    members = minhash.bucket_members(classes)
+    found = sorted((r.a, r.b) for r in minhash.pairs_across(members, classes, labels).collect())
+
+    def meet(a, b, part):
+        return any(x == y for x, y in list(zip(own[a], own[b], strict=True))[part])
+
+    left, right = slice(0, minhash.HALF_KEYS), slice(minhash.HALF_KEYS, None)
+    assert found == [
+        (a, b)
+        for a in own
+        for b in own
+        if a < b and a % 2 == b % 2 and label[a] != label[b]
+        if meet(a, b, left) and meet(a, b, right)
+    ]
+
+
+def test_wanted_texts_pass_the_bitmap(spark):
+    docs = spark.range(5000).selectExpr("id * 7 - 900 AS doc_id", "'t' AS text")
+    wanted = docs.where("doc_id % 5 = 0").select("doc_id")
+    left = {r.doc_id for r in minhash._in_bitmap(docs, wanted).collect()}
+    assert left >= {r.doc_id for r in wanted.collect()} and len(left) < 1500
+    assert minhash._in_bitmap(docs, wanted.limit(0)).count() == 0
 
 
 def test_connected_components(spark):

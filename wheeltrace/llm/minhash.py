@@ -17,8 +17,10 @@ How it stays spread out:
   it shares most buckets with: one candidate per document. Where confirmed links leave a bucket
   with several components, members of different components are compared by their sketches in
   blocks of bounded size, which nothing caps, and the similar ones are confirmed too. So a
-  bucket never lists all its pairs, and no link between components is lost.
-* Shuffled texts are those of candidate documents only.
+  bucket never lists all its pairs, and no link between components is lost. The blocks follow
+  the left half of the table key, the right halves are compared inside, and a pair counts at
+  its first common left half only: ten rows per document instead of a hundred.
+* Shuffled texts are those of candidate documents, as far as a bitmap of fixed size tells.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ MIN_PERCENT = 75
 SKETCH_BINS = 512
 SKETCH_DEVIATIONS = 4.0
 BLOCK_ROWS = 1024
+# Words of 64 bits in the bitmap of wanted doc_ids, at most as many rows in its broadcast.
+BITMAP_WORDS = 1 << 18
 
 _MINHASHES = 2 * HALF_KEYS * HALF_WIDTH
 _SKETCH_SCHEMA = (
@@ -145,9 +149,10 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """(key, node, leader) of every bucket that two or more nodes share.
+    """(key, slot, left, node, leader) of every bucket that two or more nodes share.
 
-    `leader` is the smallest node of the bucket.
+    `leader` is the smallest node of the bucket; `left`, the left half of its key, is the
+    node's half key number `slot`.
     """
     halves = classes.select("node", F.posexplode("halves").alias("slot", "value")).select(
         "node", "slot", F.xxhash64("slot", "value").alias("half")
@@ -159,18 +164,21 @@ def bucket_members(classes: DataFrame) -> DataFrame:
         .select("half")
     )
     # At most ten half keys per side.
+    on_left = F.col("slot") < HALF_KEYS
     sides = (
         halves.join(shared, "half")
         .groupBy("node")
         .agg(
-            F.collect_list(F.when(F.col("slot") < HALF_KEYS, F.col("half"))).alias("left"),
-            F.collect_list(F.when(F.col("slot") >= HALF_KEYS, F.col("half"))).alias("right"),
+            F.collect_list(F.when(on_left, F.struct("slot", "half"))).alias("lefts"),
+            F.collect_list(F.when(~on_left, F.col("half"))).alias("rights"),
         )
     )
-    members = sides.select("node", F.explode("left").alias("a"), "right").select(
-        "node", "a", F.explode("right").alias("b")
+    members = sides.select("node", F.explode("lefts").alias("a"), "rights").select(
+        "node", "a", F.explode("rights").alias("b")
     )
-    members = members.select(F.xxhash64("a", "b").alias("key"), "node").distinct()
+    members = members.select(
+        F.xxhash64("a.half", "b").alias("key"), "a.slot", F.col("a.half").alias("left"), "node"
+    ).distinct()
     leaders = (
         members.groupBy("key")
         .agg(F.min("node").alias("leader"), F.max("node").alias("_high"))
@@ -230,14 +238,38 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows.loc[links, ["a", "b"]]
 
 
+def _in_bitmap(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`docs` without most rows whose doc_id is not in `wanted`; none in it is lost.
+
+    The bitmap is broadcast: it has at most BITMAP_WORDS rows, however many ids it holds. With
+    far more ids than its 16.8 million bits it passes every row, and the join after it decides.
+    """
+    code = F.xxhash64("doc_id")
+    word = F.pmod(code, F.lit(BITMAP_WORDS)).cast("int")
+    # A function of other bits of the hash than the word number.
+    bit = F.shiftrightunsigned(code, 58).cast("int")
+    numbered = wanted.select(word.alias("_word"), bit.alias("_shift"))
+    bitmap = numbered.groupBy("_word").agg(
+        F.expr("bit_or(shiftleft(1L, _shift))").alias("_bits")
+    )
+    held = docs.withColumn("_word", word).withColumn("_shift", bit)
+    return (
+        held.join(F.broadcast(bitmap), "_word")
+        .where(F.expr("(shiftrightunsigned(_bits, _shift) & 1L) = 1L"))
+        .drop("_word", "_shift", "_bits")
+    )
+
+
 def confirm_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of doc_ids whose documents reach the similarity on their full sets.
 
-    Only the texts of documents that occur in a pair are kept after the first join.
+    Only the texts of documents that occur in a pair are kept after the first join, and few
+    others reach it.
     """
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    texts = _in_bitmap(docs.select("doc_id", "text"), wanted)
+    texts = texts.join(wanted, "doc_id", "left_semi")
     texts = materialize(texts.distinct(), "texts")
     both = pairs.join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
@@ -248,12 +280,14 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Similar pairs of different components within each (key, low, high) block.
+    """Similar pairs of different components within each (left, low, high) block.
+
+    A pair must share a right half too, and counts where its first common left half is.
 
     Rows arrive sorted by block; a block that ends in a later batch is carried over.
     """
     held = None
-    names = ["key", "low", "high"]
+    names = ["left", "low", "high"]
 
     def blocks(frame):
         keys = frame[names].to_numpy()
@@ -261,6 +295,8 @@ def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, SKETCH_BINS)
         nodes, labels = frame["node"].to_numpy(), frame["component_id"].to_numpy()
         own, sizes = frame["block"].to_numpy(), frame["n_shingles"].to_numpy()
+        halves, slots = np.stack(frame["halves"].to_numpy()), frame["slot"].to_numpy()
+        lefts_of, rights_of = halves[:, :HALF_KEYS], halves[:, HALF_KEYS:]
         edges = np.r_[0, cuts, len(frame)]
         found = []
         for start, end in zip(edges[:-1], edges[1:], strict=True):
@@ -274,6 +310,11 @@ def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
                 # Inside one block each pair is looked at once, between two blocks always.
                 others = rights[nodes[rights] > nodes[left]] if low == high else rights
                 others = others[labels[others] != labels[left]]
+                if len(others):
+                    earlier = slice(0, slots[left])
+                    table = (rights_of[others] == rights_of[left]).any(axis=1)
+                    table &= ~(lefts_of[others, earlier] == lefts_of[left, earlier]).any(axis=1)
+                    others = others[table]
                 if len(others):
                     others = others[
                         _may_link(sketches[others], sketches[left], sizes[others], sizes[left])
@@ -299,41 +340,46 @@ def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 def pairs_across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Similar pairs that share a bucket and are not yet in one component.
 
-    A bucket of n members is cut into ceil(n / 1024) blocks, and every pair of blocks is one
-    group of at most about 2,048 rows, so no task holds a bucket.
+    Members of one left half are n rows, cut into ceil(n / 1024) blocks, and every pair of
+    blocks is one group of at most about 2,048 rows, so no task holds a bucket.
     """
     labelled = members.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("component_id", "node").alias("component_id")
+        "key", "slot", "left", "node", F.coalesce("component_id", "node").alias("component_id")
     )
     labelled = materialize(labelled, "labelled")
     mixed = (
         labelled.groupBy("key")
-        .agg(
-            F.min("component_id").alias("low"),
-            F.max("component_id").alias("high"),
-            F.count("*").alias("n"),
-        )
+        .agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"))
         .where("low < high")
-        .select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+        .select("key")
+    )
+    open_rows = materialize(
+        labelled.join(mixed, "key").select("slot", "left", "node", "component_id").distinct(),
+        "open",
+    )
+    sizes = open_rows.groupBy("left").agg(
+        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")
     )
-    rows = labelled.join(mixed, "key").withColumn(
+    rows = open_rows.join(sizes, "left").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
-    rows = rows.join(classes.select("node", "sketch", "n_shingles"), "node")
+    rows = rows.join(classes.select("node", "halves", "sketch", "n_shingles"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "key",
+        "left",
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
         "block",
+        "slot",
         "node",
         "component_id",
+        "halves",
         "sketch",
         "n_shingles",
     )
     return (
-        rows.repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
+        rows.repartition("left", "low", "high")
+        .sortWithinPartitions("left", "low", "high")
         .mapInPandas(_across_components, "a bigint, b bigint")
         .distinct()
     )

@@ -267,7 +267,9 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     others reach it.
     """
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # Each side is reduced to its ids first; the bitmap and the join both read the result.
+    lower, upper = (pairs.select(F.col(side).alias("doc_id")).distinct() for side in ("a", "b"))
+    wanted = materialize(lower.union(upper).distinct(), "wanted")
     texts = _in_bitmap(docs.select("doc_id", "text"), wanted)
     texts = texts.join(wanted, "doc_id", "left_semi")
     texts = materialize(texts.distinct(), "texts")

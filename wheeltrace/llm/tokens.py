@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 from collections.abc import Callable
@@ -11,6 +10,8 @@ from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from wheeltrace.llm.common import utf8
 
@@ -18,11 +19,40 @@ from wheeltrace.llm.common import utf8
 CACHED_WORDS = 800_000
 
 # A word of Latin letters and the punctuation after it: the tokenizer parts them too.
-_SIMPLE = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.+))$", re.MULTILINE)
+_SIMPLE = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?]*)$"
+
+
+class _Ragged:
+    """Lists of ids: `flat[begins[k] : begins[k] + lengths[k]]` is list k."""
+
+    def __init__(self):
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.begins, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.rows = self.used = 0
+
+    def extend(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        last, used = self.rows + len(lengths), self.used + len(flat)
+        while last > len(self.begins):
+            self.begins = np.append(self.begins, np.zeros_like(self.begins))
+            self.lengths = np.append(self.lengths, np.zeros_like(self.lengths))
+        while used > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : used] = flat
+        self.lengths[self.rows : last] = lengths
+        self.begins[self.rows : last] = self.used + np.cumsum(lengths) - lengths
+        self.rows, self.used = last, used
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists `rows`, one after the other, and the end of each."""
+        sizes = self.lengths[rows]
+        ends = np.cumsum(sizes)
+        index = np.arange(int(ends[-1]) if len(ends) else 0)
+        index += np.repeat(self.begins[rows] - (ends - sizes), sizes)
+        return self.flat[index], ends
 
 
 class _Words:
-    """Ids of the words met so far: `flat[begins[k] : begins[k] + lengths[k]]` of word k."""
+    """Ids of the words met so far, and of the pieces they consist of."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,55 +66,62 @@ class _Words:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begins, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        """Remember the ids of runs of letters, encoded as one text."""
-        if not parts:
-            return
-        ids = self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids
-        ends = (np.nonzero(self.ends_word[ids])[0] + 1).tolist()
-        if len(ends) != len(parts):
-            found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-            self.parts.update(zip(parts, (e.ids for e in found), strict=True))
-            return
-        begins = [0, *ends[:-1]]
-        cut = map(slice, begins, ends)
-        self.parts.update(zip(parts, map(ids.__getitem__, cut), strict=True))
+        self.pieces: dict[str, int] = {}
+        self.word_ids, self.piece_ids = _Ragged(), _Ragged()
+
+    def _encode(self, texts: list[str]) -> None:
+        """Append the ids of each text to the pieces."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = [e.ids for e in found]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        self.piece_ids.extend(flat, lengths)
+
+    def _encode_letters(self, texts: list[str]) -> None:
+        """The same for runs of letters, which are encoded as one text."""
+        joined = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)
+        ids = np.array(joined[0].ids, np.uint32)
+        ends = np.nonzero(self.ends_word[ids])[0] + 1
+        if len(ends) == len(texts):
+            self.piece_ids.extend(ids, np.diff(ends, prepend=0))
+        else:
+            self._encode(texts)
+
+    def _piece_numbers(self, pieces: pa.Array, encode: Callable[[list[str]], None]) -> np.ndarray:
+        """Numbers of these pieces; those not met before are encoded."""
+        coded = pieces.dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.pieces.get, texts, repeat(-1)), np.int64, len(texts))
+        missing = np.nonzero(numbers < 0)[0]
+        if len(missing):
+            new = [texts[k] for k in missing.tolist()]
+            numbers[missing] = np.arange(len(missing)) + self.piece_ids.rows
+            self.pieces.update(zip(new, numbers[missing].tolist(), strict=True))
+            encode(new)
+        return numbers[coded.indices.to_numpy()]
 
     def learn(self, words: list[bytes]) -> None:
-        # Words hold no line break: one pass of the pattern splits them all.
-        split = _SIMPLE.findall(b"\n".join(words).decode("utf-8", "surrogatepass"))
-        split = [(core.lower(), tail, other) for core, tail, other in split]
-        known = self.parts.keys()
-        self._learn_parts(list({core for core, _, _ in split} - known))
-        marks = list({tail for _, tail, _ in split} - known)
-        others = [other for _, _, other in split if other]
-        encoded = self.tokenizer.encode_batch_fast(marks + others, add_special_tokens=False)
-        encoded = [e.ids for e in encoded]
-        self.parts.update(zip(marks, encoded, strict=False))
-        parts, rest = self.parts, iter(encoded[len(marks) :])
-        lists = [
-            next(rest) if other else parts[core] + parts[tail] if tail else parts[core]
-            for core, tail, other in split
-        ]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
-        first = len(self.known)
-        last = first + len(words)
-        while last > len(self.begins):
-            self.begins = np.append(self.begins, np.zeros_like(self.begins))
-            self.lengths = np.append(self.lengths, np.zeros_like(self.lengths))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.lengths[first:last] = lengths
-        self.begins[first:last] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
-        self.known.update(zip(words, range(first, last), strict=True))
+        texts = pa.array(words, pa.binary()).cast(pa.string())
+        split = pc.extract_regex(texts, _SIMPLE)
+        simple = split.is_valid()
+        split, others = split.filter(simple), texts.filter(pc.invert(simple))
+        cores = self._piece_numbers(
+            pc.utf8_lower(pc.struct_field(split, "core")), self._encode_letters
+        )
+        tails = self._piece_numbers(pc.struct_field(split, "tail"), self._encode)
+        # Words of another kind are pieces without a name, as the words are remembered.
+        rest = np.arange(len(others)) + self.piece_ids.rows
+        self._encode(others.to_pylist())
+        simple = simple.to_numpy(zero_copy_only=False)
+        widths = np.where(simple, 2, 1)
+        ends = np.cumsum(widths)
+        pieces = np.zeros(int(widths.sum()), np.int64)
+        pieces[ends[simple] - 2], pieces[ends[simple] - 1] = cores, tails
+        pieces[ends[~simple] - 1] = rest
+        flat, through = self.piece_ids.gather(pieces)
+        first = self.word_ids.rows
+        self.word_ids.extend(flat, np.diff(through[ends - 1], prepend=0))
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
 
     def indices(self, words: np.ndarray) -> np.ndarray:
         """Numbers of distinct words."""
@@ -129,14 +166,9 @@ def word_encoder(tokenizer_path: str) -> Callable[[list], tuple[np.ndarray, np.n
         held[:] = words
         codes, distinct = pd.factorize(held)
         numbers = known.indices(distinct)[codes]
-        per_word = known.lengths[numbers]
-        ends = np.cumsum(per_word)
-        total = int(ends[-1])
-        # Ragged gather: each word's ids follow one another in `flat`.
-        starts = known.begins[numbers] - (ends - per_word)
-        index = np.arange(total) + np.repeat(starts, per_word)
+        ids, ends = known.word_ids.gather(numbers)
         last = np.cumsum(counts)
         through = np.append(0, ends)[np.stack([last - counts, last])]
-        return known.flat[index], through[1] - through[0]
+        return ids, through[1] - through[0]
 
     return encode

@@ -1,8 +1,10 @@
 """Every operator against brute force, on texts with nulls, empties, copies and odd columns."""
 
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -406,3 +408,43 @@ def test_classifier_on_documents(spark, docs, empty):
         assert r.held_out == held and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
     assert quality_model.score_quality(docs, labels.limit(0)).count() == len(ROWS)
     assert quality_model.score_quality(empty, labels).count() == 0
+
+
+def _windows(weights, blocks):
+    """(release, due) of every source's blocks by exact fractions, those of the whole schedule."""
+    def reached(v):
+        return sum(min(w * v, n) for w, n in zip(weights, blocks, strict=True))
+
+    return [
+        [(math.floor(reached(i / w)), math.ceil(reached((i + 1) / w))) for i in range(n)]
+        for w, n in zip(weights, blocks, strict=True)
+    ]
+
+
+@pytest.mark.parametrize(
+    "weights,blocks",
+    [
+        # Of 256 slots 12.41, 230.2 and 0.1 are due; then the others run out.
+        ([Fraction(1241), Fraction(23020), Fraction(10), Fraction(1329)], [150, 2600, 3, 170]),
+        # More than 256 sources, of two weights.
+        ([Fraction(1 + 2 * (n % 2)) for n in range(300)], [2 + 4 * (n % 2) for n in range(300)]),
+    ],
+)
+def test_plan_keeps_the_targets_over_many_rounds(spark, weights, blocks):
+    names = [f"s{n:03}" for n in range(len(weights))]
+    totals = spark.createDataFrame(list(zip(names, blocks, strict=True)), "source string, blocks bigint")
+    given = {name: float(w) for name, w in zip(names, weights, strict=True)}
+    found = mixing.slot_plan(mixing.target_weights(totals, given)).collect()
+    assert sorted(r.slot for r in found) == list(range(sum(blocks)))
+    windows = _windows(weights, blocks)
+    before_end = min(n / w for w, n in zip(weights, blocks, strict=True)) * sum(weights)
+    for k, name in enumerate(names):
+        own = sorted((r.slot, r.block, r.release, r.due) for r in found if r.source == name)
+        assert [r[1] for r in own] == list(range(blocks[k]))
+        for slot, i, release, due in own:
+            assert release <= slot < due
+            # A weight that is not a whole number in 64 bits may move an edge that is one.
+            assert abs(release - windows[k][i][0]) <= 1 and abs(due - windows[k][i][1]) <= 1
+            if slot < before_end:
+                target = weights[k] / sum(weights)
+                assert abs(i - target * slot) < 1 + 1e-9 and abs(i + 1 - target * (slot + 1)) < 1 + 1e-9

@@ -1,33 +1,38 @@
 """Mix sources to target weights by Pfair scheduling, with DataFrame operations only.
 
-Each source's documents, in a pseudo-random order, form blocks of about equal bytes. With the
-integer weight a of a source and the total M, time is divided into rounds: in each round a
-source releases its next a blocks (in its last round, what is left). Block i of c in a round of
-m slots may start at slot floor(i * m / c) and must be done by slot ceil((i + 1) * m / c).
-Earliest deadline first then keeps every source within one block of its weight at every slot,
-and in step at the end of each round.
-
-All rounds with the same counts have the same schedule, so it is computed once per distinct
-round: at most one more than twice the number of sources. A block's slot is the start of its
-round plus its place in the round. Nothing grows with the number of blocks but plain joins.
+Each source's documents, in a pseudo-random order, form blocks of about equal bytes. At virtual
+time v a source of weight w and b blocks is due min(w * v, b) blocks, and the slot in which v is
+reached is the sum of that over all sources, so one that runs out leaves its share to the others
+in proportion to their weights. Block i may start at the slot, rounded down, at which its source
+is due i blocks, and must be done by the slot, rounded up, at which it is due i + 1. While no
+source has run out these are floor(i / w) and ceil((i + 1) / w) for weights that sum to 1.
+Earliest deadline first then keeps every source within one block of its target at every slot of
+the whole schedule.
+
+Weights are integers, as large as 64 bits allow for the number of blocks, so all windows are
+exact. Which block comes next depends on all blocks before it, so the schedule is one fold, over
+sources and blocks but not documents; all else are plain joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wheeltrace.llm.common import known_small
-from wheeltrace.operators.scale import materialize, running_total, salted_join
+from wheeltrace.operators.scale import materialize, running_total
 
 BLOCK_BYTES = 1 << 18
-ROUND_SLOTS = 256
+# Slots that the fold appends at a time.
+FOLD_SLOTS = 256
 # Default targets are in proportion to a source's bytes to this power.
 EXPONENT = 0.5
-# A row of a round's plan has about 60 bytes; longer plans are joined by shuffle.
+# A row of the plan has about 60 bytes; longer plans are joined by shuffle.
 BROADCAST_PLAN = 200_000
+# Weights times blocks stay below this, so that their sums fit in 64 bits.
+LARGEST_PRODUCT = float(1 << 61)
 
 
 def source_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -75,12 +80,14 @@ def source_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def target_weights(
-    totals: DataFrame, weights: Mapping[str, float] | None, round_slots: int = ROUND_SLOTS
+    totals: DataFrame, weights: Mapping[str, float] | None, round_slots: int | None = None
 ) -> DataFrame:
-    """`totals` (source, blocks) with `share`: whole blocks per round, one at least.
+    """`totals` (source, blocks) with `weight`: an integer in proportion to the target.
 
     Without given weights the target is the number of blocks to the power EXPONENT. Sources
-    that `weights` does not name, and the null source, get its smallest weight.
+    that `weights` does not name, and the null source, get its smallest weight. Rounding moves
+    the end of a schedule of n blocks by less than n * n / 2^61 blocks. Only with `round_slots`
+    are targets rounded to whole blocks, one at least, of a round of so many slots.
     """
     if weights:
         least = min(weights.values())
@@ -89,83 +96,80 @@ def target_weights(
     else:
         weight = F.pow("blocks", F.lit(EXPONENT))
     weighed = totals.withColumn("weight", weight.cast("double"))
-    total = weighed.agg(F.sum("weight").alias("total")).scalar()
-    share = F.greatest(F.lit(1), F.round(F.col("weight") / total * round_slots))
-    return weighed.select("source", "blocks", share.cast("bigint").alias("share"))
-
-
-def _first_rounds(targets: DataFrame) -> Column:
-    """The rounds whose counts differ from those of the round before, as a sorted array.
-
-    Counts change in the round in which a source runs short and in the one after its last.
-    """
-    rounds = F.col("blocks") / F.col("share")
-    starts = F.array(F.lit(0).cast("bigint"), F.floor(rounds), F.ceil(rounds))
-    return (
-        targets.select(F.explode(starts).alias("first_round"))
-        .agg(F.sort_array(F.collect_set("first_round")))
-        .scalar()
-    )
-
-
-def round_plans(targets: DataFrame) -> DataFrame:
-    """One row per slot of each distinct round: first_round, source, place, due, slot.
-
-    `first_round` is the first round with these counts; `start` and `slots` are its first slot
-    in the whole schedule and its length.
-    """
-    done = F.least(F.col("blocks"), F.col("first_round") * F.col("share"))
-    own = F.least(F.col("share"), F.col("blocks") - done)
-    # Sources times differing rounds: bounded by the number of sources, not by the data.
-    counts = targets.select("*", F.explode(_first_rounds(targets)).alias("first_round")).select(
-        "first_round", "source", done.alias("done"), own.alias("own")
-    )
-    rounds = counts.groupBy("first_round").agg(
-        F.sum("done").alias("start"),
-        F.sum("own").alias("slots"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("own") > 0, F.struct("source", "own")))
-        ).alias("sources"),
-    )
-    rounds = rounds.where("slots > 0")
-    # Fold over the slots: of the released blocks the one with the earliest deadline goes next.
-    state = (
-        "struct<next: array<bigint>, chosen: array<struct<source: string, place: bigint, "
-        "release: bigint, due: bigint, slot: bigint>>>"
-    )
-    planned = rounds.select(
-        "first_round",
-        "start",
-        "slots",
+    parts = F.lit(float(round_slots)) if round_slots else F.lit(LARGEST_PRODUCT) / F.sum("blocks")
+    unit = weighed.agg((parts / F.sum("weight")).alias("unit")).scalar()
+    whole = F.greatest(F.lit(1), F.round(F.col("weight") * unit).cast("bigint"))
+    return weighed.select("source", "blocks", whole.alias("weight"))
+
+
+def slot_plan(targets: DataFrame) -> DataFrame:
+    """One row per block of the whole schedule: source, block, release, due, slot."""
+    gathered = targets.agg(
+        F.sort_array(F.collect_list(F.struct("source", "blocks", "weight"))).alias("sources"),
+        F.sum("blocks").alias("slots"),
+    ).where("slots > 0")
+
+    def window(n: str, block: str) -> str:
+        """Of a source's block; after the last one a window that never opens."""
+        own = f"sources[{n}].weight"
+        reached = (
+            "aggregate(sources, cast(0 AS bigint), (sum, s) -> "
+            f"sum + least(s.weight * ({{}}), s.blocks * {own}))"
+        )
+        return f"""if({block} < sources[{n}].blocks, named_struct(
+            'due', ({reached.format(f"{block} + 1")} + {own} - 1) div {own},
+            'n', {n},
+            'release', {reached.format(block)} div {own},
+            'block', {block}), {never.format(n=n, block=block)})"""
+
+    # Of the released blocks the one with the earliest deadline goes next. A source's entry in
+    # `next` is its first block that has no slot yet.
+    entry = "struct<due: bigint, n: int, release: bigint, block: bigint>"
+    latest = (1 << 63) - 1
+    never = f"named_struct('due', {latest}L, 'n', {{n}}, 'release', {latest}L, 'block', {{block}})"
+    inner = f"struct<next: array<{entry}>, chosen: array<{entry}>>"
+    outer = f"struct<next: array<{entry}>, rounds: array<array<{entry}>>>"
+    step = f"""aggregate(
+      sequence(first, least(first + {FOLD_SLOTS}, slots) - 1),
+      cast(named_struct('next', held.next, 'chosen', array()) AS {inner}),
+      (acc, t) -> transform(
+        array(array_min(filter(acc.next, c -> c.release <= t))),
+        best -> cast(named_struct(
+          'next', transform(acc.next, c -> if(c.n = best.n, {window("c.n", "(c.block + 1)")}, c)),
+          'chosen', concat(acc.chosen, array(best))) AS {inner}))[0])"""
+    rounds = gathered.select(
         F.expr(
             f"""aggregate(
-              sequence(cast(0 AS bigint), slots - 1),
-              cast(named_struct('next', transform(sources, s -> cast(0 AS bigint)),
-                                'chosen', array()) AS {state}),
-              (acc, t) -> transform(
-                array(array_min(filter(
-                  transform(sources, (s, n) -> named_struct(
-                    'due', ceil((acc.next[n] + 1) * slots / s.own),
-                    'release', floor(acc.next[n] * slots / s.own),
-                    'n', n, 'open', acc.next[n] < s.own)),
-                  c -> c.open AND c.release <= t))),
-                best -> cast(named_struct(
-                  'next', transform(acc.next, (x, n) -> if(n = best.n, x + 1, x)),
-                  'chosen', concat(acc.chosen, array(named_struct(
-                    'source', sources[best.n].source, 'place', acc.next[best.n],
-                    'release', best.release, 'due', best.due, 'slot', t)))) AS {state})
-              )[0],
-              acc -> acc.chosen)"""
-        ).alias("chosen"),
+              sequence(cast(0 AS bigint), slots - 1, {FOLD_SLOTS}L),
+              cast(named_struct(
+                'next', transform(sources, (x, n) -> {window("n", "cast(0 AS bigint)")}),
+                'rounds', array()) AS {outer}),
+              (held, first) -> transform(
+                array({step}),
+                done -> cast(named_struct(
+                  'next', done.next,
+                  'rounds', concat(held.rounds, array(done.chosen))) AS {outer}))[0],
+              held -> held.rounds)"""
+        ).alias("rounds"),
+        "sources",
+    )
+    each = rounds.select("sources", F.posexplode("rounds").alias("round", "chosen")).select(
+        "sources", "round", F.posexplode("chosen").alias("place", "entry")
+    )
+    return each.select(
+        F.expr("sources[entry.n].source").alias("source"),
+        "entry.block",
+        "entry.release",
+        "entry.due",
+        (F.col("round").cast("bigint") * FOLD_SLOTS + F.col("place")).alias("slot"),
     )
-    return planned.select("first_round", "start", "slots", F.inline("chosen"))
 
 
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
     block_bytes: int = BLOCK_BYTES,
-    round_slots: int = ROUND_SLOTS,
+    round_slots: int | None = None,
 ) -> DataFrame:
     """Every row of `docs` (doc_id, text, source) with its block and slot in the mixture.
 
@@ -180,36 +184,15 @@ def mix(
         placed.groupBy("source").agg((F.max("block") + 1).alias("blocks")), "totals"
     )
     targets = materialize(target_weights(totals, weights, round_slots), "targets")
-    plans = materialize(round_plans(targets), "plans")
-    shares = known_small(
-        targets.select(F.col("source").alias("_source"), "share"), BROADCAST_PLAN
-    )
-    rows = placed.join(shares, placed["source"].eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("round", F.floor(F.col("block") / F.col("share")))
-    rows = rows.withColumn("place", F.col("block") - F.col("round") * F.col("share"))
-    # A round follows the plan of the latest first_round that is not later.
-    rows = rows.withColumn("_firsts", _first_rounds(targets)).withColumn(
-        "first_round", F.array_max(F.filter("_firsts", lambda first: first <= F.col("round")))
-    )
-    rows = rows.withColumn("_name", F.struct("source"))
-    plans = plans.withColumn("_name", F.struct("source")).drop("source")
-    keys = ["first_round", "_name", "place"]
-    few = known_small(plans, BROADCAST_PLAN)
-    if few is plans:
-        joined = salted_join(rows, plans, keys, spread_by=["at"], how="inner")
-    else:
-        joined = rows.join(few, keys)
-    begin = F.col("start") + (F.col("round") - F.col("first_round")) * F.col("slots")
-    return joined.select(
-        "doc_id",
-        "source",
-        "text_hash",
-        "size",
-        "block",
-        "at",
-        (begin + F.col("release")).alias("release"),
-        (begin + F.col("due")).alias("due"),
-        (begin + F.col("slot")).alias("slot"),
+    plan = materialize(slot_plan(targets), "plan")
+    # A block has at most `block_bytes` documents, so no key of the join is large.
+    plan = known_small(plan.withColumn("_name", F.struct("source")).drop("source"), BROADCAST_PLAN)
+    return (
+        placed.withColumn("_name", F.struct("source"))
+        .join(plan, ["_name", "block"])
+        .select(
+            "doc_id", "source", "text_hash", "size", "block", "at", "release", "due", "slot"
+        )
     )
 
 

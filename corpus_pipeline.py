@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wheeltrace.llm import minhash, mixing, packing, pii, quality_rules
 from wheeltrace.llm.common import table, tokenizer_path
-from wheeltrace.operators.scale import materialize
+from wheeltrace.operators.scale import materialize, stored_order
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 2,048 tokens, in stored order."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of documents in windows of 2,048 tokens, in the order in which `docs` was stored."""
+    return packing.pack(stored_order(docs), tokenizer_path())
 
 
 STAGES = [

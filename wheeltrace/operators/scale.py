@@ -47,6 +47,24 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def stored_order(frame: DataFrame) -> DataFrame:
+    """A frame read from files, its rows in the order in which Spark wrote them.
+
+    A scan groups files by size. Rows are range-partitioned on the number of the part, the
+    file's name and the row in it, so partitions and their rows follow the written order.
+    """
+    keys = ["_part", "_file", "_row"]
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    placed = frame.select(
+        "*",
+        # The name alone would put part 100000 before part 99999.
+        number.try_cast("bigint").alias("_part"),
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+    )
+    return placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+
+
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,

@@ -137,6 +137,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 {
                     "gram": hashes.view(np.int64),
                     "doc": rows["doc"].to_numpy()[owner],
+                    "class": rows["class"].to_numpy()[owner],
                     "first": first - begins[owner],
                     "low": np.maximum(0, begins[owner] - first),
                     "high": np.minimum(REACH, ends[owner] - STRING_BYTES + 1 - first),
@@ -204,7 +205,7 @@ def least_ids(cells: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc, first, covered): bits of the starts that an earlier document has too.
+    """(doc, class, first, covered): bits of the starts that an earlier document has too.
 
     Rows are sorted by gram and id. A stretch ends with a gram. Where one gram fills more than
     a stretch, its distinct contexts so far, with their smallest ids, go into the next one.
@@ -232,7 +233,12 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = (hit.astype(np.int64) << starts).sum(axis=1)
         keep = (bits != 0) & (frame["fresh"].to_numpy())
         return pd.DataFrame(
-            {"doc": docs[keep], "first": frame["first"].to_numpy()[keep], "covered": bits[keep]}
+            {
+                "doc": docs[keep],
+                "class": frame["class"].to_numpy()[keep],
+                "first": frame["first"].to_numpy()[keep],
+                "covered": bits[keep],
+            }
         )
 
     def ready(frame: pd.DataFrame):
@@ -297,8 +303,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A byte is removed if a 50-byte string covers it that also starts in a document with a
     smaller doc_id; strings are judged on the input. `kept` is what remains, which may split a
     character. Null and empty texts, and texts below 50 bytes, lose nothing. A null doc_id
-    counts as larger than all others. Repeated rows, having one doc_id, do not remove each
-    other. An empty table gives an empty result; other columns are ignored.
+    counts as larger than all others. Rows with one doc_id, or without any, do not remove each
+    other's bytes, whether their texts are equal or not. An empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -323,28 +329,30 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     # At most one gram per byte of a text.
     per_class = grams.groupBy("class").agg(F.collect_set("gram").alias("grams"))
     leaders = first.join(per_class, "class").select(F.col("_first").alias("doc"), "copies", "grams")
+    # Texts that share a doc_id, or have none, are told apart by their class.
     covered = (
         rows.join(leaders, ["doc", "copies"])
-        .select("doc", "text", "copies", "grams")
+        .select("doc", "text", "copies", "class", "grams")
         .dropDuplicates(["doc", "copies"])
         .mapInPandas(
             _contexts,
-            "gram bigint, doc bigint, first bigint, low bigint, high bigint, bytes binary",
+            "gram bigint, doc bigint, class bigint, first bigint, low bigint, high bigint, "
+            "bytes binary",
         )
         .repartition("gram")
         .sortWithinPartitions("gram", "doc")
-        .mapInPandas(_covered, "doc bigint, first bigint, covered bigint")
+        .mapInPandas(_covered, "doc bigint, class bigint, first bigint, covered bigint")
     )
     cuts = materialize(
-        covered.groupBy("doc").agg(
+        covered.groupBy("doc", "class").agg(
             F.collect_list("first").alias("firsts"), F.collect_list("covered").alias("masks")
         ),
         "cuts",
     )
-    fate = rows.select("doc", "copies").join(first.drop("class"), "copies").select(
-        "doc", "copies", (F.col("_first") < F.col("doc")).alias("copied")
+    fate = rows.select("doc", "copies").join(first, "copies").select(
+        "doc", "copies", "class", (F.col("_first") < F.col("doc")).alias("copied")
     )
-    fate = fate.distinct().join(cuts, "doc", "left")
+    fate = fate.distinct().join(cuts, ["doc", "class"], "left").drop("class")
     # What becomes of a document is joined to its text, which is shuffled once here.
     return (
         rows.join(fate, ["doc", "copies"])

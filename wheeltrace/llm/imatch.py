@@ -1,8 +1,10 @@
 """I-Match fingerprints with several randomised lexicons.
 
 The lexicon is the terms of a middle band of inverse document frequency. Each of the randomised
-lexicons is a random part of it; a document's fingerprint has, for each, the hash of its sorted
-distinct terms in that part. Small edits change few terms and so leave most hashes as they are.
+lexicons is a random part of it, and each term is in one of them; a document's fingerprint has,
+for each, the hash of its sorted distinct terms in that part. Small edits change few terms and so
+leave most hashes as they are. A document without terms of the band is described by all its
+terms, dealt to the lexicons alike, so that unlike documents do not look the same.
 
 Document frequencies are counted over all documents. A term of the band is in at least
 MIN_SHARE of the documents, so the band has at most (terms per document) / MIN_SHARE terms
@@ -26,10 +28,6 @@ from wheeltrace.operators.scale import materialize
 MIN_SHARE = 0.0005
 MAX_SHARE = 0.2
 LEXICONS = 128
-# The band is dealt at random into so many parts, of which the first LEXICONS are used. Small
-# parts hold about one term of a document each, so the share of equal hashes follows the share
-# of common terms also for long texts.
-PARTS = 256
 # Hexadecimal digits of a hash in a fingerprint.
 HASH_DIGITS = 4
 # 8 bytes per term of the lexicon.
@@ -94,30 +92,44 @@ def lexicon(docs: DataFrame) -> np.ndarray:
 
 
 def _fingerprints(texts: list, terms: np.ndarray) -> np.ndarray:
-    """(texts, lexicons) hashes; 0 where a text has no term of the lexicon."""
+    """(texts, lexicons) hashes; 0 where a text has no term in a lexicon.
+
+    A text without terms of the band has all its terms dealt to the lexicons instead, one
+    without any term but not blank itself as a term.
+    """
     hashes, counts = term_hashes(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
+    bare = [(row, utf8(texts[row]).strip()) for row in np.nonzero(counts == 0)[0]]
+    bare = [(row, data) for row, data in bare if data]
+    if bare:
+        whole = np.empty(len(bare), object)
+        whole[:] = [data for _, data in bare]
+        hashes = np.append(hashes, pd.util.hash_array(whole, categorize=False))
+        owner = np.append(owner, [row for row, _ in bare])
+    known = np.zeros(len(hashes), bool)
+    if len(terms):
+        place = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+        known = terms[place] == hashes
+    used = known | (np.bincount(owner[known], minlength=len(texts)) == 0)[owner]
+    hashes, owner = hashes[used], owner[used]
+    part = (mix(hashes + np.uint64(1)) >> np.uint64(32)).astype(np.int64) % LEXICONS
     prints = np.zeros((len(texts), LEXICONS), np.uint64)
-    if not len(terms) or not len(hashes):
-        return prints
-    place = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-    known = terms[place] == hashes
-    hashes, owner = hashes[known], owner[known]
-    part = (mix(hashes + np.uint64(1)) >> np.uint64(32)).astype(np.int64) % PARTS
-    used = part < LEXICONS
-    # Terms come sorted and distinct, so a sum of mixed hashes stands for their sequence.
-    np.add.at(prints, (owner[used], part[used]), mix(hashes[used] + np.uint64(2)))
+    # Terms are distinct, so a sum of mixed hashes stands for their sorted sequence.
+    np.add.at(prints, (owner, part), mix(hashes + np.uint64(2)))
     return prints
 
 
 def _text(prints: np.ndarray) -> list[str]:
-    shift, digits = np.uint64(64 - 4 * HASH_DIGITS), HASH_DIGITS
-    return ["".join(f"{v:0{digits}x}" for v in row) for row in (prints >> shift).tolist()]
+    digits = HASH_DIGITS
+    short = prints >> np.uint64(64 - 4 * digits)
+    # Zero means no term.
+    short[(short == 0) & (prints != 0)] = 1
+    return ["".join(f"{v:0{digits}x}" for v in row) for row in short.tolist()]
 
 
 @pandas_udf(T.DoubleType())
 def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of equal hashes among the lexicons in which either text has terms; 1 if none."""
+    """Share of equal hashes among the lexicons in which either text has terms; 1 if both are blank."""
     sides = [
         np.frombuffer("".join(side).encode(), np.uint8).reshape(-1, LEXICONS, HASH_DIGITS)
         for side in (left, right)
@@ -130,8 +142,8 @@ def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
 def fingerprinter(docs: DataFrame):
     """A column function from texts to fingerprints under the lexicon of `docs.text`.
 
-    Equal texts have equal fingerprints. Null and empty texts, and texts without terms of the
-    lexicon, have that of no terms (all zeros). Repeated rows count one by one.
+    Equal texts have equal fingerprints. Only null, empty and blank texts have that of no terms
+    (all zeros). Repeated rows count one by one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
 

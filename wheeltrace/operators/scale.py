@@ -119,3 +119,70 @@ def running_total(
         .withColumn(name, F.sum(amount).over(within) + F.col(_BEFORE))
         .drop(_SLICE, _BEFORE)
     )
+
+
+# A group with more than 1 / HEAVY_SHARE of all rows is joined by broadcast; there are fewer
+# than HEAVY_SHARE of them, whatever the data.
+HEAVY_SHARE = 4096
+
+
+def grouped_join(
+    rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int
+) -> DataFrame:
+    """Inner join of rows with the row of their group, where a few groups may hold most rows.
+
+    `groups` has one row per group, with its number of rows in `size` (dropped from the
+    result); `total` is the number of all rows; keys are not null. Heavy groups are broadcast
+    (fewer than HEAVY_SHARE rows), the others join by shuffle, where no key has more than
+    1 / HEAVY_SHARE of the rows. `rows` is read twice: hand over a written table.
+    """
+    is_heavy = F.col(size) * F.lit(HEAVY_SHARE) > F.lit(total)
+    heavy = groups.where(is_heavy).drop(size)
+    light = groups.where(~is_heavy).drop(size)
+    others = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on)
+    return rows.join(F.broadcast(heavy), on).unionByName(others)
+
+
+def running_in_groups(
+    frame: DataFrame, groups: list[str], order: list[str], totals: dict[str, Column]
+) -> DataFrame:
+    """Add running aggregates per group, up to and including the row, of groups of any size.
+
+    `totals` maps new names to aggregates that can be merged by adding (F.sum, F.count) or,
+    where the name begins with `xor`, by bit_xor. Rows are range-partitioned on
+    (groups, order), which splits a large group; (groups, order) should be unique and the
+    group columns not null. Only groups at the edge of a slice need the totals of earlier
+    slices: at most two per slice, so that table has a few rows per slice and is broadcast.
+    """
+    sliced = materialize(
+        frame.repartitionByRange(*groups, *order).withColumn(_SLICE, F.spark_partition_id()),
+        "slices",
+    )
+    ends = sliced.groupBy(_SLICE).agg(
+        F.min(F.struct(*groups)).alias("low"), F.max(F.struct(*groups)).alias("high")
+    )
+    edges = ends.select(F.explode(F.array("low", "high")).alias("edge")).select("edge.*")
+    pieces = (
+        sliced.join(F.broadcast(edges.distinct()), groups)
+        .groupBy(*groups, _SLICE)
+        .agg(*[total.alias(_BEFORE + name) for name, total in totals.items()])
+    )
+    earlier = Window.partitionBy(*groups).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    merged = {
+        name: (F.bit_xor if name.startswith("xor") else F.sum)(_BEFORE + name) for name in totals
+    }
+    offsets = pieces.select(
+        *groups, _SLICE, *[m.over(earlier).alias(_BEFORE + name) for name, m in merged.items()]
+    )
+    within = (
+        Window.partitionBy(*groups, _SLICE)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    result = sliced.join(F.broadcast(offsets), [*groups, _SLICE], "left")
+    for name, total in totals.items():
+        before = F.coalesce(_BEFORE + name, F.lit(0))
+        own = total.over(within)
+        joined = own.bitwiseXOR(before) if name.startswith("xor") else own + before
+        result = result.withColumn(name, joined)
+    return result.drop(_SLICE, *[_BEFORE + name for name in totals])

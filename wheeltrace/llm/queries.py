@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheeltrace.llm import (
+    exact_dedup,
+    filter_audit,
     imatch,
     minhash,
     mixing,
     packing,
     pii,
+    prefix_trie,
     quality_model,
     quality_rules,
     sharding,
@@ -96,6 +99,19 @@ def op10_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit(docs, labels)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), all_hashes=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_gam": op1_quality_gam,
@@ -108,9 +124,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_imatch": op8_imatch,
         "op9_histogram_shards": op9_histogram_shards,
         "op10_minhash_tensored": op10_minhash_tensored,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_exact_dedup": op13_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.ORACLE_SQL}
+    return {
+        "op5_url_filter": url_filter.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+        "op13_exact_dedup": exact_dedup.ORACLE_SQL,
+    }

@@ -499,7 +499,15 @@ def oracle_sql() -> dict[str, str]:
               'medium' AS severity
             FROM metrics ORDER BY events_per_100_km DESC, start_time_us, drive_id LIMIT 1"""
         ),
-        "ingest_csv": _from_source(f"SELECT {_CANONICAL} FROM telemetry"),
+        # Logs of drives with an odd number have no road class.
+        "ingest_csv": _from_source(
+            f"""SELECT {_CANONICAL} FROM (
+              SELECT * REPLACE (
+                CASE WHEN cast(drive_id[7:] AS bigint) % 2 = 0 THEN road_class END AS road_class,
+                CASE WHEN cast(drive_id[7:] AS bigint) % 2 = 0 THEN road_class_code END
+                  AS road_class_code)
+              FROM telemetry)"""
+        ),
         "client_events": _from_events("SELECT * FROM detected"),
         "client_drives": _with(_SOURCE, _SUMMARY, select="SELECT * FROM summary"),
         "fleet_event_totals": _from_events(

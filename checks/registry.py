@@ -32,7 +32,7 @@ from wheeltrace.operators import cleaning, detection, insights, metrics, samples
 from wheeltrace.operators.canonical import add_distance_delta, to_telemetry
 from wheeltrace.operators.scale import checkpoint_folder, materialize
 from wheeltrace.plans import ingest, reports
-from wheeltrace.sources.csv_logs import discover_csv_files, read_csv_logs
+from wheeltrace.sources.csv_logs import read_csv_logs
 from wheeltrace.sources.store import TelemetryStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,7 +307,8 @@ def _scratch(spark: SparkSession, label: str) -> str:
 def _write_logs(spark: SparkSession, sf_dir: str) -> str:
     """The raw rows as one CSV file per drive, named after it, its rows in order.
 
-    Every other drive has its columns in reverse, as logs of different versions do.
+    Drives with an odd number have their columns in reverse and no road class, as logs of
+    different versions do. A log is one file by definition, so one task writes a drive's.
     """
     rows = raw_rows(spark, sf_dir)
     names = [c for c in rows.columns if c not in ("source_file", "drive_id", "_chunk", "_pos")]
@@ -315,8 +316,8 @@ def _write_logs(spark: SparkSession, sf_dir: str) -> str:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     system = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(hadoop.Path(folder))
-    odd = F.pmod(F.xxhash64("drive_id"), F.lit(2))
-    for variant, order in enumerate((names, names[::-1])):
+    odd = F.regexp_extract("drive_id", r"(\d+)$", 1).cast("bigint") % 2
+    for variant, order in enumerate((names, [n for n in names[::-1] if n != "UI_roadClass"])):
         (
             rows.where(odd == variant)
             .repartition("drive_id")
@@ -329,14 +330,15 @@ def _write_logs(spark: SparkSession, sf_dir: str) -> str:
         )
         for part in system.globStatus(hadoop.Path(f"{staged}/{variant}/drive_id=*/part-*")):
             drive = part.getPath().getParent().getName().removeprefix("drive_id=")
-            system.rename(part.getPath(), hadoop.Path(f"{folder}/{drive}.csv"))
+            if not system.rename(part.getPath(), hadoop.Path(f"{folder}/{drive}.csv")):
+                raise OSError(f"{part.getPath()} could not be renamed")
     return folder
 
 
 def ingest_csv(spark, sf_dir):
     """Canonical telemetry read back from logs with two kinds of header."""
-    files = discover_csv_files(spark, _write_logs(spark, sf_dir))
-    cleaned = cleaning.clean(cleaning.coerce_columns(read_csv_logs(files)))
+    rows = read_csv_logs(spark, _write_logs(spark, sf_dir))
+    cleaned = cleaning.clean(cleaning.coerce_columns(rows))
     return _flat(to_telemetry(materialize(cleaned, "clean-rows")))
 
 

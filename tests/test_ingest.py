@@ -7,6 +7,7 @@ from wheeltrace.operators.canonical import add_distance_delta, to_telemetry
 from wheeltrace.operators.cleaning import clean, coerce_columns, quality_counts
 from wheeltrace.plans.ingest import compute_metrics, ingest_folder, summarize_ingest
 from wheeltrace.schemas import REQUIRED_SOURCE_COLUMNS, TELEMETRY_COLUMNS
+from wheeltrace.sources import csv_logs
 from wheeltrace.sources.csv_logs import discover_csv_files, read_csv_logs
 from wheeltrace.sources.store import TelemetryStore
 
@@ -158,7 +159,7 @@ def test_blank_lines_before_the_header(spark, tmp_path):
     write_log(logs, "a.csv", [source_row(0), source_row(1)])
     text = (logs / "a.csv").read_text()
     (logs / "a.csv").write_text("\n\n" + text)
-    rows = read_csv_logs(discover_csv_files(spark, str(logs)))
+    rows = read_csv_logs(spark, str(logs))
     assert rows.count() == 2
     assert rows.where("`veh_speed (kph)` IS NULL").count() == 0
 
@@ -170,6 +171,73 @@ def test_header_only_file(spark, tmp_path):
     assert (result.files_processed, result.rows_served) == (1, 0)
 
 
+def test_one_scan_for_any_headers(spark, tmp_path, monkeypatch):
+    """Permuted, wider, narrower and repeated columns, a byte order mark, long and short rows."""
+    logs = tmp_path / "logs"
+    names = list(REQUIRED_SOURCE_COLUMNS)
+    speed = "veh_speed (kph)"
+    for n in range(12):
+        order = names[n:] + names[:n]
+        if n % 3 == 1:
+            order = ["Unknown", *order, "", "", "UI_roadClass", "More"]
+        if n % 3 == 2:
+            order = [name for name in order if name != "BMS_socAvg (per)"]
+        extra = {speed: str(n), "UI_roadClass": f"R{n}|1", "More": 'quoted, "text"'}
+        write_log(logs, f"log{n:02}.csv", [source_row(k, **extra) for k in range(3)], order)
+    text = (logs / "log04.csv").read_text()
+    (logs / "log04.csv").write_text("\ufeff" + text)
+    (logs / "empty.csv").write_text("")
+    (logs / "odd.csv").write_text(
+        ",".join([speed, *names]) + "\n" + ",".join(["9", *["1"] * 20]) + "\n5\n\n"
+    )
+    scans = []
+    scan = csv_logs.scan_positions
+    monkeypatch.setattr(
+        csv_logs, "scan_positions", lambda *given: scans.append(1) or scan(*given)
+    )
+    monkeypatch.setattr(csv_logs, "BROADCAST_FILES", 3)
+    rows = read_csv_logs(spark, str(logs)).collect()
+    assert len(scans) == 1
+    by_drive = {}
+    for row in rows:
+        by_drive.setdefault(row.drive_id, []).append(row)
+    for n in range(12):
+        own = by_drive.pop(f"log{n:02}")
+        assert [row[speed] for row in own] == [str(n)] * 3
+        assert sorted(row["Time (epoch)"] for row in own) == [str(EPOCH + k) for k in range(3)]
+        assert {row["UI_roadClass"] for row in own} == {f"R{n}|1" if n % 3 == 1 else None}
+        assert {row["BMS_socAvg (per)"] for row in own} == {None if n % 3 == 2 else "1"}
+    # The first of two equal names counts; a short row has missing values.
+    assert sorted(row[speed] for row in by_drive.pop("odd")) == ["5", "9"]
+    assert by_drive == {}
+
+
+def test_other_schemes(spark, tmp_path):
+    """A path that only Hadoop's file systems resolve."""
+    logs = tmp_path / "my logs"
+    write_log(logs, "a b.csv", [source_row(0), source_row(1)])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.logs.link./in", f"file://{tmp_path}")
+    rows = read_csv_logs(spark, "viewfs://logs/in/my logs")
+    assert [row.drive_id for row in rows.collect()] == ["a b", "a b"]
+
+
+def test_raw_rows_are_shuffled_once(spark, tmp_path):
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [source_row(0), source_row(1)])
+    cleaned = clean(coerce_columns(read_csv_logs(spark, str(logs))))
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_header_without_rows(spark, tmp_path):
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [], list(REQUIRED_SOURCE_COLUMNS))
+    result, _ = run(spark, logs, tmp_path)
+    assert (result.files_processed, result.rows_ingested, result.rows_served) == (1, 0, 0)
+    assert result.warnings == ()
+
+
 def test_split_file_keeps_its_order(spark, tmp_path):
     """Distances across the pieces of a file that is read in many splits."""
     logs = tmp_path / "logs"
@@ -177,7 +245,7 @@ def test_split_file_keeps_its_order(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        rows = read_csv_logs(discover_csv_files(spark, str(logs)))
+        rows = read_csv_logs(spark, str(logs))
         assert rows.select("_chunk").distinct().count() > 5
         _, store = run(spark, logs, tmp_path)
     finally:

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wheeltrace.functions.scalars import iso_text
 from wheeltrace.operators.canonical import to_telemetry
 from wheeltrace.operators.cleaning import (
+    GPS_CLEARED,
     check_source_columns,
     clean,
     coerce_columns,
     missing_source_columns,
-    quality_counts,
+    quality_warnings,
 )
 from wheeltrace.operators.detection import detect_events
 from wheeltrace.operators.metrics import drive_metrics, fleet_metrics
 from wheeltrace.operators.samples import drive_intervals, prepare_samples
 from wheeltrace.operators.scale import materialize
-from wheeltrace.schemas import TELEMETRY_SCHEMA
+from wheeltrace.schemas import EPOCH, TELEMETRY_SCHEMA
 from wheeltrace.sources.csv_logs import discover_csv_files, read_csv_logs
 from wheeltrace.sources.store import TelemetryStore
 
@@ -51,9 +52,10 @@ class MetricsResult:
 def ingest_folder(spark: SparkSession, data_dir: str, store: TelemetryStore) -> IngestResult:
     """Read, clean and store all logs of a folder, and record the run.
 
-    The parsed rows are written once to the shared checkpoint folder. That fixes
-    each row's position in its file and spares the cleaning steps, which look at
-    the rows from several sides, a second pass over the CSV text.
+    The text is read once, by position, into the shared checkpoint folder, which fixes each
+    row's place in its file. Rows then cross the network once, to drop repeated samples; the
+    counters of that step are observed by the write that follows it. Its tasks end the job, so
+    a task that runs again after a lost executor is not counted twice.
     """
     files = discover_csv_files(spark, data_dir)
     files_processed = files.count()
@@ -62,19 +64,27 @@ def ingest_folder(spark: SparkSession, data_dir: str, store: TelemetryStore) ->
         warning = f"No CSV files found in {data_dir}."
         return IngestResult(empty, files, 0, 0, 0, 0, 0, (warning,))
 
-    raw = read_csv_logs(files)
+    raw = read_csv_logs(spark, data_dir)
     if missing_source_columns(raw.columns) and raw.isEmpty():
         telemetry = spark.createDataFrame([], TELEMETRY_SCHEMA)
         ingested = dropped = duplicates = 0
         warnings = ()
     else:
         check_source_columns(raw.columns)
-        coerced = materialize(coerce_columns(raw), "source-rows")
-        counts = quality_counts(coerced).first()
+        coerced = coerce_columns(raw)
+        read = coerced.agg(
+            F.count("*").alias("rows"), F.count_if(F.col(f"`{EPOCH}`").isNull()).alias("dropped")
+        ).first()
+        kept = Observation()
+        cleaned = clean(coerced).observe(
+            kept, F.count(F.lit(1)).alias("rows"), F.count_if(GPS_CLEARED).alias("cleared")
+        )
         # Written, as odometer steps look at the cleaned rows from two sides.
-        telemetry = to_telemetry(materialize(clean(coerced), "clean-rows"))
-        ingested, dropped = counts.rows_ingested, counts.rows_dropped
-        duplicates, warnings = counts.duplicate_rows_removed, tuple(counts.warnings)
+        telemetry = to_telemetry(materialize(cleaned, "clean-rows"))
+        ingested, dropped = read.rows, read.dropped
+        duplicates = ingested - dropped - kept.get["rows"]
+        texts = quality_warnings(*[F.lit(n) for n in (dropped, duplicates, kept.get["cleared"])])
+        warnings = tuple(spark.range(1).select(texts.alias("texts")).first().texts)
 
     served = store.write_telemetry(telemetry)
     store.record_run(files_processed, ingested, served, dropped, duplicates)

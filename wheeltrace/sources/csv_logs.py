@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wheeltrace.operators.scale import materialize
 from wheeltrace.schemas import (
     CHUNK,
     LINEAGE_COLUMNS,
@@ -26,7 +26,17 @@ _FILE_SCHEMA = T.StructType(
         T.StructField("bytes", T.LongType()),
     ]
 )
-_KNOWN_COLUMNS = {*NUMERIC_SOURCE_COLUMNS, *TEXT_SOURCE_COLUMNS}
+_KNOWN_COLUMNS = (*NUMERIC_SOURCE_COLUMNS, *TEXT_SOURCE_COLUMNS)
+# The raw line of a row whose number of cells differs from the scan's.
+_ODD_LINE = "_odd_line"
+_PLACES = "_places"
+# A byte order mark.
+_MARK = "\ufeff"
+_CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE"}
+
+# Files with an unusual header whose column places are broadcast, some 200 bytes each; more
+# than these are joined by shuffle.
+BROADCAST_FILES = 100_000
 
 
 def _literal_path(path: str) -> str:
@@ -34,17 +44,23 @@ def _literal_path(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path)
 
 
+def _whole_path(spark: SparkSession, data_dir: str) -> str:
+    """The folder's path with scheme, without "." and ".." pieces."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(str(data_dir))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(folder).toString().rstrip("/")
+
+
 def discover_csv_files(spark: SparkSession, data_dir: str) -> DataFrame:
     """The CSV files directly in a folder: `path`, `source_file`, `bytes`.
 
     Spark lists the folder; file contents are not read. A missing folder has no files. Spark
     passes over names that begin with "_" or "."; such logs are an error, not a silent loss.
     """
+    whole = _whole_path(spark, data_dir)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(str(data_dir))
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # Absolute, with scheme, and without "." and ".." pieces.
-    whole = system.makeQualified(folder).toString().rstrip("/")
+    system = hadoop.Path(whole).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     hidden = system.globStatus(hadoop.Path(f"{_literal_path(whole)}/[_.]*.csv")) or []
     if len(hidden):
         names = ", ".join(sorted(status.getPath().getName() for status in hidden))
@@ -61,112 +77,147 @@ def discover_csv_files(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
-def _header_reader() -> Callable[[Iterator], Iterator]:
-    """The function executors run to read header lines.
+def _header_cells(line: str) -> list[str]:
+    return next(csv.reader([line.removeprefix(_MARK)]), [])
 
-    It is nested and imports what it needs, so it is sent as code and works
-    where this package is not installed.
-    """
 
-    def first_line(path: str) -> str | None:
-        from urllib.parse import quote
-
-        from pyarrow.fs import FileSystem, LocalFileSystem
-
-        scheme, _, rest = path.partition(":")
-        if scheme == "file":
-            stream = LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
-        else:
-            filesystem, inner = FileSystem.from_uri(quote(path, safe=":/@"))
-            stream = filesystem.open_input_stream(inner)
-        text = b"\xef\xbb\xbf"
-        with stream:
-            first = stream.read(1 << 16)
-            text = first.removeprefix(text).lstrip(b"\r\n \t")
-            # The first line that is not blank; reads only as far as its end.
-            while first and b"\n" not in text:
-                first = stream.read(1 << 16)
-                text = (text + first).lstrip(b"\r\n \t") if first else text
-        line = text.split(b"\n", 1)[0].decode("utf-8").rstrip("\r")
-        return line or None
-
-    def read(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            paths = batch.column("path").to_pylist()
-            lines = [first_line(path) for path in paths]
-            yield pa.RecordBatch.from_pydict(
-                {"path": pa.array(paths, pa.string()), "header": pa.array(lines, pa.string())}
-            )
+def _cell_columns(count: int) -> list[str]:
+    return [f"_c{k}" for k in range(count)]
 
-    return read
 
+def scan_positions(spark: SparkSession, data_dir: str, width: int) -> DataFrame:
+    """All lines of a folder's logs in one scan: file, chunk, position, cells by position.
+
+    `width` is the number of cells most lines have. A line with another number keeps its raw
+    text in `_odd_line`. Header lines are among the rows. The position must be taken on the
+    scan itself; `multiLine` stays off so that large files are split; a split is one `_chunk`.
+    """
+    whole = _whole_path(spark, data_dir)
+    cells = _cell_columns(width)
+    fields = [T.StructField(name, T.StringType()) for name in (*cells, _ODD_LINE)]
+    rows = (
+        spark.read.schema(T.StructType(fields))
+        .options(**_CSV_OPTIONS)
+        .option("columnNameOfCorruptRecord", _ODD_LINE)
+        .csv(f"{_literal_path(whole)}/*.csv")
+    )
+
+    def decoded(name: str) -> Column:
+        # Metadata names are URL-encoded, and a plus sign in them is just a plus.
+        return F.url_decode(F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B")))
 
-def read_headers(files: DataFrame) -> DataFrame:
-    """Header line of each file, read in parallel by the executors."""
-    return files.select("path").mapInArrow(_header_reader(), "path string, header string")
+    # A folder called x.csv matches the pattern too; its files are not directly in data_dir.
+    bare = r"^[A-Za-z0-9+.-]+:/*"
+    parent = F.regexp_replace(F.regexp_replace(decoded("file_path"), bare, ""), "/[^/]*$", "")
+    return rows.select(
+        decoded("file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias(CHUNK),
+        F.monotonically_increasing_id().alias(POSITION),
+        parent.alias("_parent"),
+        *cells,
+        _ODD_LINE,
+    ).where(F.col("_parent") == re.sub(bare, "", whole)).drop("_parent")
 
 
-def _column_names(header: str) -> list[str]:
-    """Names of a header line; repeated names get `.1`, `.2` and so on."""
-    seen: dict[str, int] = {}
-    names = []
-    for name in next(csv.reader([header])):
-        repeat = seen.get(name, 0)
-        seen[name] = repeat + 1
-        names.append(f"{name}.{repeat}" if repeat else name)
-    return names
+def _odd_cells(width: int) -> Column:
+    """The cells of a raw line, as an array of `width`."""
+    names = _cell_columns(width)
+    schema = ", ".join(f"{name} string" for name in names)
+    parsed = F.from_csv(F.col(_ODD_LINE), schema, _CSV_OPTIONS)
+    return F.array(*[parsed[name] for name in names])
 
 
-def _scan(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
-    """Files that share a header: known columns as text, plus file and position.
+def _places(header: Column) -> Column:
+    """Where each known column stands in a header, from 0; -1 where it is missing.
 
-    The position must be taken on the scan itself. `multiLine` stays off so that
-    large files are split; a split is one `_chunk`.
+    Of equal names the first counts. A byte order mark before the first name does not.
     """
-    names = _column_names(header)
-    rows = (
-        spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in names]))
-        .option("header", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv([_literal_path(path) for path in paths])
+    clean = F.transform(header, lambda cell: F.regexp_replace(cell, "^" + _MARK, ""))
+    return F.array(
+        *[F.array_position(clean, F.lit(name)).cast("int") - 1 for name in _KNOWN_COLUMNS]
     )
-    # The file name is URL-encoded here, and a plus sign in it is just a plus.
-    file_name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    known = [name for name in names if name in _KNOWN_COLUMNS]
-    return rows.select(
-        file_name.alias("source_file"),
-        F.col("_metadata.file_block_start").alias(CHUNK),
-        F.monotonically_increasing_id().alias(POSITION),
-        *[F.col(f"`{name}`") for name in known],
-    ).withColumn("drive_id", F.regexp_replace("source_file", r"\.[^.]*$", ""))
 
 
-def read_csv_logs(files: DataFrame) -> DataFrame:
-    """All rows of the files, matched by column name.
+def header_places(lines: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """(source_file, _head: position of the header line, _places) per file, and the widest header.
 
-    A multi-file CSV scan matches by position, so there is one scan per distinct
-    header. What reaches the driver is the distinct headers and, as for every
-    file scan, the file paths.
+    The header is a file's first line that is not blank. All of this is found by Spark in the
+    written lines.
     """
-    spark = files.sparkSession
-    groups = (
-        read_headers(files)
-        .where("header IS NOT NULL")
-        .groupBy("header")
-        .agg(F.collect_list("path").alias("paths"))
-        .orderBy("header")
-        .collect()
+    heads = (
+        lines.where(F.col(CHUNK) == 0)
+        .groupBy("source_file")
+        .agg(F.min(POSITION).alias("_head"))
+        .withColumnRenamed("source_file", "_file")
+    )
+    headers = lines.where(F.col(CHUNK) == 0).join(
+        heads, (F.col("source_file") == F.col("_file")) & (F.col(POSITION) == F.col("_head"))
     )
-    if not groups:
-        empty = [T.StructField(name, T.StringType()) for name in ("source_file", "drive_id")]
-        empty += [T.StructField(name, T.LongType()) for name in (CHUNK, POSITION)]
-        return spark.createDataFrame([], T.StructType(empty))
-    rows = _scan(spark, groups[0].paths, groups[0].header)
-    for group in groups[1:]:
-        scan = _scan(spark, group.paths, group.header)
-        rows = rows.unionByName(scan, allowMissingColumns=True)
-    others = [name for name in rows.columns if name not in LINEAGE_COLUMNS]
-    return rows.select(*LINEAGE_COLUMNS, *[F.col(f"`{name}`") for name in others])
+    headers = materialize(headers.drop("_file"), "headers")
+    commas = F.char_length(_ODD_LINE) - F.char_length(F.replace(_ODD_LINE, F.lit(",")))
+    widest = headers.agg(F.max(commas + 1).alias("n")).first().n or 0
+    cells = F.array(*_cell_columns(width))
+    if widest:
+        cells = F.when(F.col(_ODD_LINE).isNull(), cells).otherwise(_odd_cells(widest))
+    return headers.select("source_file", "_head", _places(cells).alias(_PLACES)), widest
+
+
+def read_csv_logs(spark: SparkSession, data_dir: str) -> DataFrame:
+    """All rows of a folder's logs, matched by column name, whatever the headers.
+
+    The text is read once, by position, and written to the shared folder. A file's header
+    then tells which position holds which column. Files whose columns stand where they do in
+    the first header seen need nothing else; the places of the others are joined by file.
+    What reaches the driver is one header line and a few counts, no list of files.
+    """
+    names = [T.StructField(name, T.StringType()) for name in ("source_file", "drive_id")]
+    numbers = [T.StructField(name, T.LongType()) for name in (CHUNK, POSITION)]
+    empty = spark.createDataFrame([], T.StructType(names + numbers))
+    files = discover_csv_files(spark, data_dir)
+    if files.isEmpty():
+        return empty
+    text = spark.read.text(f"{_literal_path(_whole_path(spark, data_dir))}/*.csv")
+    first = text.where(F.trim("value") != "").take(1)
+    if not first:
+        return empty
+    usual = _header_cells(first[0].value.lstrip())
+    width = len(usual)
+    lines = materialize(scan_positions(spark, data_dir, width), "lines")
+    headers, widest = header_places(lines, width)
+    headers = materialize(headers, "header-places")
+
+    usual_places = [usual.index(name) if name in usual else -1 for name in _KNOWN_COLUMNS]
+    usual_places_column = F.array(*[F.lit(place) for place in usual_places])
+    other = headers.where(F.col(_PLACES) != usual_places_column)
+    found = headers.agg(
+        *[F.max(F.col(_PLACES)[k]).alias(f"_{k}") for k in range(len(_KNOWN_COLUMNS))],
+        F.count_if(F.col(_PLACES) != usual_places_column).alias("_others"),
+    ).first()
+    known = [(k, name) for k, name in enumerate(_KNOWN_COLUMNS) if found[f"_{k}"] >= 0]
+
+    # The header is the first line of a file, which is in its first chunk.
+    heads = headers.select("source_file", F.col("_head").alias(POSITION))
+    few = len(headers.select(F.lit(1)).take(BROADCAST_FILES + 1)) <= BROADCAST_FILES
+    rows = lines.join(F.broadcast(heads) if few else heads, ["source_file", POSITION], "left_anti")
+    values = {k: F.col(f"_c{p}") if p >= 0 else F.lit(None) for k, p in enumerate(usual_places)}
+    if found["_others"]:
+        other = other.select("source_file", _PLACES)
+        rows = rows.join(F.broadcast(other) if few else other, "source_file", "left")
+        cells = F.array(*_cell_columns(width))
+        if widest:
+            cells = F.when(F.col(_ODD_LINE).isNull(), cells).otherwise(_odd_cells(widest))
+        rows = rows.withColumn("_cells", F.when(F.col(_PLACES).isNotNull(), cells))
+        place = F.col(_PLACES)
+        values = {
+            k: F.when(place.isNull(), value).otherwise(
+                F.when(place[k] >= 0, F.get("_cells", place[k]))
+            )
+            for k, value in values.items()
+        }
+    return rows.select(
+        F.regexp_replace("source_file", r"\.[^.]*$", "").alias("drive_id"),
+        "source_file",
+        CHUNK,
+        POSITION,
+        *[values[k].cast("string").alias(name) for k, name in known],
+    ).select(*LINEAGE_COLUMNS, *[F.col(f"`{name}`") for _, name in known])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -326,12 +327,19 @@ def _write_logs(spark: SparkSession, sf_dir: str) -> str:
             .write.partitionBy("drive_id")
             .option("header", True)
             .option("escape", '"')
+            # Files go to their place when a task ends, not one by one when the job ends.
+            .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
             .csv(f"{staged}/{variant}")
         )
-        for part in system.globStatus(hadoop.Path(f"{staged}/{variant}/drive_id=*/part-*")):
-            drive = part.getPath().getParent().getName().removeprefix("drive_id=")
-            if not system.rename(part.getPath(), hadoop.Path(f"{folder}/{drive}.csv")):
-                raise OSError(f"{part.getPath()} could not be renamed")
+    parts = system.globStatus(hadoop.Path(f"{staged}/*/drive_id=*/part-*"))
+
+    def place(part) -> None:
+        drive = part.getPath().getParent().getName().removeprefix("drive_id=")
+        if not system.rename(part.getPath(), hadoop.Path(f"{folder}/{drive}.csv")):
+            raise OSError(f"{part.getPath()} could not be renamed")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(place, parts))
     return folder
 
 

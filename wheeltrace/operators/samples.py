@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from wheeltrace.config import (
     SECOND_US,
 )
 from wheeltrace.functions.scalars import autopilot_active, cell_start, to_number
+from wheeltrace.operators.scale import materialize
 
 MEASURES = (
     "speed_kph",
@@ -21,6 +22,10 @@ MEASURES = (
     "lateral_accel_mps2",
     "steering_rate_deg_s",
 )
+# Pauses up to the sampling limit fall into cells of this width: about as many cells as there
+# are values in one.
+MEDIAN_CELL = 2048
+
 # Columns the metrics cannot do without.
 REQUIRED_TELEMETRY = ("drive_id", "timestamp", *MEASURES, "autopilot_state")
 
@@ -132,8 +137,51 @@ def sample_intervals(
     )
 
 
+def weighted_medians(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact median per key of `value` (a whole number from 0), each counted `weight` times.
+
+    Returns the keys and `median`, the mean of the two middle values. Counts below the edges of
+    fixed cells tell which cell holds the middle, then counts inside that cell tell the value.
+    No task needs more than the cells of one key, or the distinct values of one cell, a few
+    thousand rows either way. Rows without weight do not count; a key without any is left out.
+    """
+    cell = F.expr(f"value div {MEDIAN_CELL}").alias("_cell")
+    counted = values.where("weight > 0").select(*keys, "value", "weight", cell)
+    up_to_here = (Window.unboundedPreceding, Window.currentRow)
+    of_key = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(of_key.orderBy("_cell").rowsBetween(*up_to_here))
+    total = F.sum("_n").over(of_key)
+    middle = (
+        counted.groupBy(*keys, "_cell")
+        .agg(F.sum("weight").alias("_n"))
+        .select(
+            *keys,
+            "_cell",
+            (upto - F.col("_n")).alias("_before"),
+            upto.alias("_upto"),
+            # Ranks from 0 of the two middle values, the same one if the count is odd.
+            F.floor((total - 1) / 2).alias("_low"),
+            F.floor(total / 2).alias("_high"),
+        )
+        .where("_before <= _high AND _upto > _low")
+    )
+    in_cell = Window.partitionBy(*keys, "_cell").orderBy("value").rowsBetween(*up_to_here)
+    ranked = counted.join(middle.drop("_upto"), [*keys, "_cell"]).withColumn(
+        "_upto", F.col("_before") + F.sum("weight").over(in_cell)
+    )
+    first = F.col("_upto") - F.col("weight")
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((first <= F.col(rank)) & (F.col("_upto") > F.col(rank)), F.col("value")))
+
+    return ranked.groupBy(*keys).agg(((at("_low") + at("_high")) / 2).alias("median"))
+
+
 def drive_intervals(
-    samples: DataFrame, cell_us: int = FINE_CELL_US, combine_copies: bool = True
+    samples: DataFrame,
+    cell_us: int = FINE_CELL_US,
+    combine_copies: bool = True,
+    pauses: DataFrame | None = None,
 ) -> DataFrame:
     """Per drive: typical interval, active time, and whether one sample makes an event.
 
@@ -143,21 +191,45 @@ def drive_intervals(
     `single_sample_counts` tells whether the median of all pauses reaches the
     minimum event duration. For that question pauses beyond the sampling limit
     may count as just beyond it, so exact medians need no unbounded state.
+
+    `pauses` takes a written result of `sample_intervals` to use again; else it is
+    computed and written, as sums and medians look at it from several sides.
     """
+    if pauses is None:
+        pauses = materialize(sample_intervals(samples, cell_us, combine_copies), "pauses")
     gap, count = F.col("gap_us"), F.col("samples")
     usable = (gap > 0) & gap.isNotNull()
     beyond = F.lit(MAX_SAMPLE_GAP_US + 1)
     # The last sample of a drive has a NULL pause that is not a pause at all.
-    pauses = count - F.when(gap.isNull(), 1).otherwise(0)
-    return (
-        sample_intervals(samples, cell_us, combine_copies)
+    both = F.array(
+        F.struct(
+            F.lit("usable").alias("kind"),
+            gap.alias("value"),
+            F.when(usable, count).otherwise(0).alias("weight"),
+        ),
+        F.struct(
+            F.lit("any").alias("kind"),
+            F.coalesce(gap, beyond).alias("value"),
+            (count - F.when(gap.isNull(), 1).otherwise(0)).alias("weight"),
+        ),
+    )
+    medians = (
+        weighted_medians(
+            pauses.select("drive_id", F.inline(both)), ["drive_id", "kind"]
+        )
         .groupBy("drive_id")
         .agg(
-            F.percentile(F.when(usable, gap), 0.5, count).alias("_median_us"),
-            F.percentile(F.coalesce(gap, beyond), 0.5, pauses).alias("_any_median_us"),
+            F.max(F.when(F.col("kind") == "usable", F.col("median"))).alias("_median_us"),
+            F.max(F.when(F.col("kind") == "any", F.col("median"))).alias("_any_median_us"),
+        )
+    )
+    return (
+        pauses.groupBy("drive_id")
+        .agg(
             F.sum(F.when(usable, gap * F.col("active")).otherwise(0)).alias("_active_us"),
             F.sum(F.when(usable, 0).otherwise(F.col("active"))).alias("_active_other"),
         )
+        .join(medians, "drive_id", "left")
         .select(
             "drive_id",
             (F.coalesce("_median_us", F.lit(0.0)) / SECOND_US).alias("typical_interval_s"),
@@ -180,18 +252,13 @@ def duration_weights(samples: DataFrame, cell_us: int = FINE_CELL_US) -> DataFra
 
     The same weights as per sample, one row per distinct pause.
     """
-    typical = drive_intervals(samples, cell_us).select("drive_id", "typical_interval_s")
+    pauses = materialize(sample_intervals(samples, cell_us), "pauses")
+    typical = drive_intervals(samples, cell_us, pauses=pauses)
     gap = F.col("gap_us")
-    return (
-        sample_intervals(samples, cell_us)
-        .join(typical, "drive_id")
-        .select(
-            "drive_id",
-            "gap_us",
-            "samples",
-            "active",
-            F.when(gap > 0, gap / SECOND_US)
-            .otherwise(F.col("typical_interval_s"))
-            .alias("weight_s"),
-        )
+    return pauses.join(typical.select("drive_id", "typical_interval_s"), "drive_id").select(
+        "drive_id",
+        "gap_us",
+        "samples",
+        "active",
+        F.when(gap > 0, gap / SECOND_US).otherwise(F.col("typical_interval_s")).alias("weight_s"),
     )

@@ -32,6 +32,8 @@ _ODD_LINE = "_odd_line"
 _PLACES = "_places"
 # A byte order mark.
 _MARK = "\ufeff"
+# The folder is listed once; a path pattern would make Spark look at every file by itself.
+_ONLY_CSV = {"pathGlobFilter": "*.csv"}
 _CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE"}
 
 # Files with an unusual header whose column places are broadcast, some 200 bytes each; more
@@ -66,7 +68,7 @@ def discover_csv_files(spark: SparkSession, data_dir: str) -> DataFrame:
         names = ", ".join(sorted(status.getPath().getName() for status in hidden))
         raise ValueError(f"Rename logs whose names begin with '_' or '.': {names}")
     try:
-        listed = spark.read.format("binaryFile").load(f"{_literal_path(whole)}/*.csv")
+        listed = spark.read.format("binaryFile").options(**_ONLY_CSV).load(_literal_path(whole))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], _FILE_SCHEMA)
@@ -97,16 +99,16 @@ def scan_positions(spark: SparkSession, data_dir: str, width: int) -> DataFrame:
     fields = [T.StructField(name, T.StringType()) for name in (*cells, _ODD_LINE)]
     rows = (
         spark.read.schema(T.StructType(fields))
-        .options(**_CSV_OPTIONS)
+        .options(**_CSV_OPTIONS, **_ONLY_CSV)
         .option("columnNameOfCorruptRecord", _ODD_LINE)
-        .csv(f"{_literal_path(whole)}/*.csv")
+        .csv(_literal_path(whole))
     )
 
     def decoded(name: str) -> Column:
         # Metadata names are URL-encoded, and a plus sign in them is just a plus.
         return F.url_decode(F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B")))
 
-    # A folder called x.csv matches the pattern too; its files are not directly in data_dir.
+    # A folder called x=1 or x.csv may be listed too; its files are not directly in data_dir.
     bare = r"^[A-Za-z0-9+.-]+:/*"
     parent = F.regexp_replace(F.regexp_replace(decoded("file_path"), bare, ""), "/[^/]*$", "")
     return rows.select(
@@ -176,7 +178,8 @@ def read_csv_logs(spark: SparkSession, data_dir: str) -> DataFrame:
     files = discover_csv_files(spark, data_dir)
     if files.isEmpty():
         return empty
-    text = spark.read.text(f"{_literal_path(_whole_path(spark, data_dir))}/*.csv")
+    whole = _literal_path(_whole_path(spark, data_dir))
+    text = spark.read.options(**_ONLY_CSV).text(whole)
     first = text.where(F.trim("value") != "").take(1)
     if not first:
         return empty
@@ -184,7 +187,6 @@ def read_csv_logs(spark: SparkSession, data_dir: str) -> DataFrame:
     width = len(usual)
     lines = materialize(scan_positions(spark, data_dir, width), "lines")
     headers, widest = header_places(lines, width)
-    headers = materialize(headers, "header-places")
 
     usual_places = [usual.index(name) if name in usual else -1 for name in _KNOWN_COLUMNS]
     usual_places_column = F.array(*[F.lit(place) for place in usual_places])

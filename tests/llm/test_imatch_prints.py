@@ -15,7 +15,7 @@ def _prints(texts):
 
 
 def _like(a, b):
-    return imatch.likeness.func(pd.Series([a]), pd.Series([b])).iloc[0]
+    return imatch.likeness([a], [b])[0]
 
 
 def test_fingerprints_by_brute_force():

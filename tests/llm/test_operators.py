@@ -347,21 +347,36 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.cut_repeats(empty).count() == 0
 
 
-def test_imatch(spark, docs, empty):
-    report = imatch.edit_report(docs).collect()
+@pytest.mark.parametrize("range_bytes", [32 << 20, 3000])
+def test_imatch(spark, docs, empty, range_bytes):
+    """The report against plain Python, in one range and in many."""
+    report = imatch.edit_report(docs, range_bytes).collect()
     assert len(report) == len(ROWS)
-    prints = {}
+    terms = imatch.lexicon(docs)
+
+    def prints(texts):
+        return imatch._text(imatch._fingerprints(texts, terms))
+
     for r in report:
-        assert prints.setdefault(r.text, r.fingerprint) == r.fingerprint
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    ordered = [r[1] or "" for r in reversed(NAMED)]
-    found = {r.doc_id: r.edited_text for r in report}
+    found = {r.doc_id: r for r in report}
+    # Repeated and missing ids have several rows; their neighbours are tested by the others.
+    ordered = list(reversed(NAMED))
     unique = {r[0] for r in NAMED} - {ROWS[7][0], NAMED[0][0]}
-    for n, row in enumerate(reversed(NAMED)):
-        if row[0] in unique and n + 1 < len(ordered):
-            text, after = ordered[n], ordered[n + 1]
-            assert found[row[0]] == text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+    for row, after in zip(ordered, ordered[1:], strict=False):
+        if row[0] not in unique:
+            continue
+        text, following = row[1] or "", after[1] or ""
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        own, changed, near = prints([text, edited, following])
+        r = found[row[0]]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(text), own, changed)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.near_edited == imatch.likeness([own], [changed])[0]
+        assert r.near_next == imatch.likeness([own], [near])[0]
     assert imatch.edit_report(empty).count() == 0
+    alone = imatch.edit_report(spark.createDataFrame([(1, "a b c d", "", "", 0)], SCHEMA)).first()
+    assert alone.edited_sha256 == hashlib.sha256(b"a b " + b"a b").hexdigest()
 
 
 def test_shards(docs, empty):

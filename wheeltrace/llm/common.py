@@ -34,6 +34,38 @@ def text_slices(texts: pd.Series, limit: int = SLICE_CHARS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def arrow_slices(batch, names: list[str], limit: int = SLICE_CHARS):
+    """Consecutive parts of an Arrow batch with at most `limit` bytes in the named texts.
+
+    Only such a part is turned into Python objects at a time; a part may be one longer row.
+    """
+    import pyarrow.compute as pc
+
+    sizes = sum(
+        pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        for name in names
+    )
+    start, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def map_with_ids(docs: DataFrame, columns: list, function, schema: str) -> DataFrame:
+    """mapInPandas over doc_id and `columns`; `schema` begins with doc_id bigint.
+
+    Ids travel as text: a batch that holds a null id would turn long ids into floats, which
+    are not exact above 2^53.
+    """
+    sent = docs.select(F.col("doc_id").cast("string").alias("doc_id"), *columns)
+    found = sent.mapInPandas(function, schema.replace("doc_id bigint", "doc_id string", 1))
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def utf8(text) -> bytes:
     """UTF-8 bytes of a text, none for null."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

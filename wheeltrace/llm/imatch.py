@@ -8,21 +8,23 @@ terms, dealt to the lexicons alike, so that unlike documents do not look the sam
 
 Document frequencies are counted over all documents. A term of the band is in at least
 MIN_SHARE of the documents, so the band has at most (terms per document) / MIN_SHARE terms
-however many documents there are; that bound is what allows broadcasting it, and it is checked.
+however many documents there are; that bound, and MAX_LEXICON, are what allows broadcasting it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from wheeltrace.llm.common import mix, text_slices, utf8
+from wheeltrace.llm.common import arrow_slices, mix, text_slices, utf8
 from wheeltrace.operators.scale import materialize
 
 MIN_SHARE = 0.0005
@@ -72,7 +74,11 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def lexicon(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms whose share of documents lies in the band."""
+    """Sorted hashes of the terms whose share of documents lies in the band.
+
+    With more than MAX_LEXICON of these, which takes texts of thousands of distinct terms each,
+    the band begins higher: its MAX_LEXICON most frequent terms are the lexicon.
+    """
     total = docs.count()
     if total == 0:
         return np.zeros(0, np.uint64)
@@ -82,13 +88,11 @@ def lexicon(docs: DataFrame) -> np.ndarray:
         .groupBy("term")
         .agg(F.sum("documents").alias("documents"))
         .where(F.col("documents").between(max(2, MIN_SHARE * total), MAX_SHARE * total))
-        .select("term")
     )
     band = materialize(band, "lexicon")
-    terms = band.limit(MAX_LEXICON + 1).toArrow()["term"].to_numpy()
-    if len(terms) > MAX_LEXICON:
-        raise ValueError("Texts are too long for MIN_SHARE: the lexicon exceeds MAX_LEXICON.")
-    return np.sort(terms.view(np.uint64))
+    if band.count() > MAX_LEXICON:
+        band = band.orderBy(F.desc("documents"), "term").limit(MAX_LEXICON)
+    return np.sort(band.select("term").toArrow()["term"].to_numpy().view(np.uint64))
 
 
 def _fingerprints(texts: list, terms: np.ndarray) -> np.ndarray:
@@ -127,8 +131,7 @@ def _text(prints: np.ndarray) -> list[str]:
     return ["".join(f"{v:0{digits}x}" for v in row) for row in short.tolist()]
 
 
-@pandas_udf(T.DoubleType())
-def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
+def likeness(left: list[str], right: list[str]) -> np.ndarray:
     """Share of equal hashes among the lexicons in which either text has terms; 1 if both are blank."""
     sides = [
         np.frombuffer("".join(side).encode(), np.uint8).reshape(-1, LEXICONS, HASH_DIGITS)
@@ -136,7 +139,7 @@ def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
     ]
     used = ((sides[0] != ord("0")) | (sides[1] != ord("0"))).any(axis=2).sum(axis=1)
     same = (sides[0] == sides[1]).all(axis=2).sum(axis=1) - (LEXICONS - used)
-    return pd.Series(np.where(used == 0, 1.0, same / np.maximum(used, 1)))
+    return np.where(used == 0, 1.0, same / np.maximum(used, 1))
 
 
 def fingerprinter(docs: DataFrame):
@@ -157,108 +160,140 @@ def fingerprinter(docs: DataFrame):
     return fingerprint
 
 
-_NEXT_SCHEMA = (
-    "doc_id bigint, text string, fingerprint string, next_text string, next_fingerprint string"
+# `part` numbers the ranges of doc_ids; `place` is first, last, both or null for a row that has
+# its neighbour in its range; only first and last rows carry their text.
+_PLACED = (
+    "doc_id string, part bigint, place string, text string, n_chars bigint, edited_sha256 string, "
+    "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 )
+_REPORT = (
+    "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+    "near_next",
+)
 
 
-def with_next_text(docs: DataFrame, slice_bytes: int = 32 << 20) -> DataFrame:
-    """Each of `docs` (doc_id, text, fingerprint) with the next by falling doc_id.
+def edited_text(text: str, following: str) -> str:
+    """The text with its second half replaced by the start of the following one."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
 
-    The first follows the last. `next_text` is the start of the next text, of as many
-    characters as the second half of `text` has; `next_fingerprint` is that of the whole. Documents go to slices of
-    the doc_id range; the first of a slice also goes, as a lookahead, to the slice before.
-    Texts are shuffled once. Null doc_ids come last, equal ones by their texts.
-    """
-    narrow = materialize(
-        docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")),
-        "ids",
-    )
-    total = narrow.agg(F.sum("size")).first()[0] or 0
-    slices = total // slice_bytes + 1
-    shares = [k / slices for k in range(1, slices)]
-    cuts = sorted(set(narrow.approxQuantile("doc_id", shares, 0.1 / slices))) if shares else []
-    lowest = -(1 << 63)
-    key = F.coalesce(F.col("doc_id"), F.lit(lowest))
-    # Falling order: slice 0 has the largest ids.
-    above = F.filter(F.lit([int(c) for c in cuts]).cast("array<bigint>"), lambda c: c > key)
-    slice_no = F.size(above) if cuts else F.lit(0)
-    heads = (
-        narrow.groupBy(slice_no.alias("slice"))
-        .agg(F.max(key).alias("head"))
-        .orderBy("slice")
-        .collect()
+
+def _judge(texts: list[str], following: list[str], terms: np.ndarray) -> dict[str, list]:
+    """The report on texts next to the texts that follow them."""
+    edited = [edited_text(a, b) for a, b in zip(texts, following, strict=True)]
+    own, after, changed = (
+        _text(_fingerprints(side, terms)) for side in (texts, following, edited)
     )
+    return {
+        "n_chars": [len(text) for text in texts],
+        "edited_sha256": [hashlib.sha256(utf8(text)).hexdigest() for text in edited],
+        "fingerprint": own,
+        "edited_fingerprint": changed,
+        "near_edited": likeness(own, changed).tolist(),
+        "near_next": likeness(own, after).tolist(),
+    }
+
+
+def _in_ranges(terms):
+    """Judge all rows of a range but its last, which waits for the next range's first row."""
+    names = [part.split()[0] for part in _PLACED.split(", ")]
+
+    def run(batches: Iterator) -> Iterator:
+        part = TaskContext.get().partitionId()
+        waiting, first = None, True
+        for batch in batches:
+            for piece in arrow_slices(batch, ["text"]):
+                rows = list(zip(*(piece.column(n).to_pylist() for n in ("doc_id", "text")), strict=True))
+                if waiting is not None:
+                    rows.insert(0, waiting)
+                waiting = rows.pop()
+                if not rows:
+                    continue
+                ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+                columns = {"doc_id": ids, "part": [part] * len(ids)}
+                columns["place"] = ["first" if first and not k else None for k in range(len(ids))]
+                columns["text"] = [texts[0] if first and not k else None for k in range(len(ids))]
+                first = False
+                columns |= _judge(texts, [*texts[1:], waiting[1]], terms.value)
+                yield pa.RecordBatch.from_pydict(columns, schema=_arrow_schema(_PLACED))
+        if waiting is not None:
+            row = dict.fromkeys(names)
+            row |= {"doc_id": waiting[0], "part": part, "text": waiting[1]}
+            row["place"] = "both" if first else "last"
+            yield pa.RecordBatch.from_pylist([row], schema=_arrow_schema(_PLACED))
+
+    return run
+
+
+def _arrow_schema(spec: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    return pa.schema([(p.split()[0], kinds[p.split()[1]]) for p in spec.split(", ")])
+
+
+def _at_edges(terms):
+    """Judge the last rows of the ranges next to the first texts of the next ones."""
+
+    def run(batches: Iterator) -> Iterator:
+        schema = _arrow_schema(_PLACED)
+        names = [n for n in schema.names if n in _REPORT]
+        schema = pa.schema([schema.field(n) for n in names])
+        for batch in batches:
+            for piece in arrow_slices(batch, ["text", "following"]):
+                columns = {"doc_id": piece.column("doc_id").to_pylist()}
+                sides = (piece.column(n).to_pylist() for n in ("text", "following"))
+                columns |= _judge(*sides, terms.value)
+                yield pa.RecordBatch.from_pydict(columns, schema=schema)
+
+    return run
+
+
+def edit_report(docs: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
+    """Every row of `docs` (doc_id, text), and how alike its fingerprint is to two others.
+
+    The text is compared with its edited text, in which the start of the next document takes
+    the place of the second half, and with the next document. Columns: doc_id, n_chars,
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Next is by falling doc_id; the first follows the last. Null doc_ids come last, rows of one
+    doc_id (or none) in the order of their texts' hashes. Null texts count as empty. Other
+    columns are not read. An empty table gives an empty result; a single row follows itself.
+
+    Texts are range-partitioned once and judged there in bounded slices; no text leaves the
+    task but the first and last of each range, which are joined afterwards.
+    """
+    terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
+    text = F.coalesce("text", F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     rows = docs.select(
-        "doc_id",
-        F.coalesce("text", F.lit("")).alias("text"),
-        "fingerprint",
-        key.alias("_key"),
+        F.col("doc_id").cast("string").alias("doc_id"),
+        text.alias("text"),
+        F.col("doc_id").alias("_key"),
+        F.xxhash64(text).alias("_hash"),
+        # Parts equal rows, which may be many.
+        F.monotonically_increasing_id().alias("_row"),
     )
-    rows = rows.withColumn("_slice", slice_no).withColumn("_ahead", F.lit(0))
-    # One row per slice: its head is read ahead by the slice before it, the first by the last.
-    before = {row["head"]: heads[n - 1]["slice"] for n, row in enumerate(heads)}
-    if before:
-        pairs = F.create_map(*[F.lit(x) for item in before.items() for x in item])
-        ahead = rows.where(F.col("_key").isin(list(before)))
-        ahead = ahead.withColumn("_slice", F.element_at(pairs, F.col("_key")))
-        ahead = ahead.groupBy("_slice", "_key").agg(
-            F.min(F.struct("text", "fingerprint")).alias("first")
-        )
-        ahead = ahead.select(
-            F.lit(None).cast("bigint").alias("doc_id"),
-            "first.text",
-            "first.fingerprint",
-            "_key",
-            "_slice",
-            F.lit(1).alias("_ahead"),
-        )
-        rows = rows.union(ahead)
-    return (
-        rows.repartition(len(heads) or 1, "_slice")
-        .sortWithinPartitions("_slice", "_ahead", F.desc("_key"), "text")
-        .select("doc_id", "text", "fingerprint", "_ahead")
-        .mapInPandas(_next_texts, _NEXT_SCHEMA)
+    order = [F.desc_nulls_last("_key"), "_hash", "_row"]
+    placed = materialize(
+        rows.repartitionByRange(total // range_bytes + 1, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
+        .mapInArrow(_in_ranges(terms), _PLACED),
+        "judged-texts",
     )
-
-
-def _next_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [part.split()[0] for part in _NEXT_SCHEMA.split(", ")]
-    waiting = None
-    for batch in batches:
-        ids = batch["doc_id"].astype("Int64").tolist()
-        rows = []
-        for doc_id, text, own, ahead in zip(
-            ids, batch["text"], batch["fingerprint"], batch["_ahead"], strict=True
-        ):
-            if waiting is not None:
-                rows.append((*waiting, text[: len(waiting[1]) // 2], own))
-            waiting = None if ahead else (doc_id, text, own)
-        frame = pd.DataFrame(rows, columns=names)
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
-
-
-def edit_report(docs: DataFrame) -> DataFrame:
-    """Every document of `docs` (doc_id, text), its edited text, and how alike fingerprints are.
-
-    The edited text has the start of the next document in place of its second half. Columns:
-    doc_id, text, fingerprint, edited_text, edited_fingerprint, near_edited, near_next. Null
-    texts count as empty.
-    """
-    marker = fingerprinter(docs)
-    pairs = with_next_text(docs.select("doc_id", "text").withColumn("fingerprint", marker("text")))
-    size = F.char_length("text")
-    start = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
-    edited = F.concat(start, "next_text")
-    pairs = pairs.withColumn("edited_text", F.when(size > 0, edited).otherwise(""))
-    pairs = pairs.withColumn("edited_fingerprint", marker("edited_text"))
-    return pairs.select(
-        "doc_id",
-        "text",
-        "fingerprint",
-        "edited_text",
-        "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    edges = placed.where("place IS NOT NULL")
+    starts = edges.where("place IN ('first', 'both')")
+    ends = edges.where("place IN ('last', 'both')").select("doc_id", "part", "text")
+    # One row per range, without texts.
+    numbers = starts.select("part", F.lit(1).alias("_one"))
+    in_order = Window.partitionBy("_one").orderBy("part")
+    following = numbers.select(
+        "part",
+        F.coalesce(F.lead("part").over(in_order), F.first("part").over(in_order)).alias("_next"),
+    )
+    pairs = ends.join(following, "part").join(
+        starts.select(F.col("part").alias("_next"), F.col("text").alias("following")), "_next"
     )
+    spec = ", ".join(p for p in _PLACED.split(", ") if p.split()[0] in _REPORT)
+    last = pairs.select("doc_id", "text", "following").mapInArrow(_at_edges(terms), spec)
+    inner = placed.where("place IS NULL OR place = 'first'").select(*_REPORT)
+    return inner.unionByName(last).withColumn("doc_id", F.col("doc_id").cast("bigint"))

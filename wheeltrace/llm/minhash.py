@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheeltrace.llm.common import mix, text_slices, word_lists
+from wheeltrace.llm.common import arrow_slices, map_with_ids, mix, text_slices, word_lists
 from wheeltrace.llm.graph import connected_components
 from wheeltrace.operators.scale import materialize
 
@@ -145,7 +146,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
     """Shingle count, set identity, half keys and sketch of every document, no shuffle."""
-    return docs.select("doc_id", "text").mapInPandas(_sketches, _SKETCH_SCHEMA)
+    return map_with_ids(docs, ["text"], _sketches, _SKETCH_SCHEMA)
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -221,11 +222,11 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInPandas(_similar_sketches, "a bigint, b bigint")
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(batches: Iterator) -> Iterator:
     """Pairs whose full shingle sets overlap enough."""
     for batch in batches:
-        for part in text_slices(batch["text_a"].str.cat(batch["text_b"])):
-            rows = batch.iloc[part]
+        for part in arrow_slices(batch, ["text_a", "text_b"]):
+            rows = part.select(["text_a", "text_b"]).to_pandas()
             numbers, texts = pd.factorize(pd.concat([rows["text_a"], rows["text_b"]]))
             shingles, sizes = shingle_hashes(list(texts))
             sets = np.split(shingles, np.cumsum(sizes)[:-1])
@@ -235,7 +236,7 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 union = len(left) + len(right) - common
                 links[k] = common > 0 and 100 * common >= MIN_PERCENT * union
-            yield rows.loc[links, ["a", "b"]]
+            yield part.select(["a", "b"]).filter(pa.array(links))
 
 
 def _in_bitmap(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -278,7 +279,7 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ).join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     # A doc_id without a text in one of its rows has no shingles there.
     both = both.where("text_a IS NOT NULL AND text_b IS NOT NULL")
-    return materialize(both.mapInPandas(_linked, "a bigint, b bigint").distinct(), "links")
+    return materialize(both.mapInArrow(_linked, "a bigint, b bigint").distinct(), "links")
 
 
 def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from wheeltrace.llm.common import text_slices
+from wheeltrace.llm.common import map_with_ids, text_slices
 from wheeltrace.llm.tokens import word_encoder
 
 WINDOW = 2048
@@ -172,12 +172,10 @@ def _pack(tokenizer_path: str, window: int):
                 begin += length
             stretch, parts, held = [ids[taken:]], rest, len(ids) - taken
             columns = [part.split()[0] for part in SCHEMA.split(", ")]
-            frame = pd.DataFrame(rows, columns=columns)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            return frame
+            return pd.DataFrame(rows, columns=columns)
 
         for batch in batches:
-            numbers = batch["doc_id"].astype("Int64").tolist()
+            numbers = batch["doc_id"].tolist()
             for part in text_slices(batch["text"]):
                 ids, counts = encode(batch["text"].iloc[part].tolist())
                 begin = 0
@@ -204,4 +202,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     times 2^40. `closed_by` tells what the window of the piece ends with: document, sentence
     or split. An empty table gives an empty result; other columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInPandas(_pack(tokenizer_path, window), SCHEMA)
+    return map_with_ids(docs, ["text"], _pack(tokenizer_path, window), SCHEMA)

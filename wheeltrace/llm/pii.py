@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +24,11 @@ from pyspark.sql.functions import pandas_udf
 
 KINDS = ("email", "ip", "card", "phone")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# Patterns are written so that no long run of characters is tried from each of its places.
+_LOCAL = "[A-Za-z0-9._%+-]"
+_LOCAL_CHARACTERS = frozenset(string.ascii_letters + string.digits + "._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -45,31 +51,36 @@ _WORD = "(?:" + "|".join(_DIGIT_WORDS) + ")"
 # A spelled digit counts in a run of three or more digits or spelled digits.
 _DIGIT = f"(?:[0-9]|{_WORD}(?![A-Za-z]))"
 _SPELLED_RUN = re.compile(
-    rf"(?<![A-Za-z])(?:plus[ ]*(?={_DIGIT}))?(?:{_DIGIT}[ ().+-]{{0,3}}(?:(?:dot|point)[ ]+)?)"
+    rf"(?<![A-Za-z])(?:plus[ ]{{0,4}}(?={_DIGIT}))?(?:{_DIGIT}[ ().+-]{{0,3}}(?:(?:dot|point)[ ]{{1,4}})?)"
     rf"{{2,}}{_DIGIT}",
     re.IGNORECASE,
 )
 _SPELLED = re.compile(
-    rf"plus[ ]*|[ ]*(?<![A-Za-z])(?:dot|point)(?![A-Za-z])[ ]*"
+    rf"plus[ ]{{0,4}}|[ ]{{0,4}}(?<![A-Za-z])(?:dot|point)(?![A-Za-z])[ ]{{0,4}}"
     rf"|{_WORD}(?![A-Za-z])(?:[ -](?={_DIGIT}))?",
     re.IGNORECASE,
 )
-_AT = r"[ ]*[\[({<][ ]*(?:at|@)[ ]*[\])}>][ ]*|[ ]+at[ ]+|[ ]+@[ ]*|@[ ]+"
-_DOT = r"[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*|[ ]+dot[ ]+"
+# White space inside a disguise, line breaks included; bounded, so that long gaps cost nothing.
+_GAP = "[ \\t\\r\\n]{1,4}"
+_MAY = "[ \\t\\r\\n]{0,4}"
+_AT = rf"{_MAY}[\[({{<]{_MAY}(?:at|@){_MAY}[\])}}>]{_MAY}|{_GAP}at{_GAP}|{_GAP}@{_MAY}|@{_GAP}"
+_DOT = rf"{_MAY}[\[({{<]{_MAY}(?:dot|\.){_MAY}[\])}}>]{_MAY}|{_GAP}dot{_GAP}"
+_DOT_BACKWARDS = rf"{_MAY}[\])}}>]{_MAY}(?:tod|\.){_MAY}[\[({{<]{_MAY}|{_GAP}tod{_GAP}"
 # An address in disguise needs both a written "at" and a dot of some form after it, and one of
-# the two disguised, so that prose with the word "at" is left alone.
-_SPLIT_ADDRESS = re.compile(
-    rf"[A-Za-z0-9._%+-]+(?:(?:{_DOT})[A-Za-z0-9._%+-]+)*"
-    rf"(?:{_AT}|@)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+",
-    re.IGNORECASE,
+# the two disguised, so that prose with the word "at" is left alone. It is looked for from its
+# "at" to both sides, to the left in the reversed text.
+_ANY_AT = re.compile(rf"{_AT}|@", re.IGNORECASE)
+_RIGHT_OF_AT = re.compile(
+    rf"[A-Za-z0-9-]++(?:(?:{_DOT}|\.)[A-Za-z0-9-]++)+", re.IGNORECASE
 )
+_LEFT_OF_AT = re.compile(rf"{_LOCAL}++(?:(?:{_DOT_BACKWARDS}){_LOCAL}++)*", re.IGNORECASE)
 _ADDRESS_PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 _SPLIT_IP = re.compile(
     rf"[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}",
     re.IGNORECASE,
 )
-_AT_HINT = re.compile(r"@|[\[({<][ ]*at[ ]*[\])}>]", re.IGNORECASE)
-_DOT_HINT = re.compile(r"[\[({<][ ]*(?:dot|\.)[ ]*[\])}>]|[ ]dot[ ]", re.IGNORECASE)
+_AT_HINT = re.compile(rf"@|[\[({{<]{_MAY}at{_MAY}[\])}}>]", re.IGNORECASE)
+_DOT_HINT = re.compile(rf"[\[({{<]{_MAY}(?:dot|\.){_MAY}[\])}}>]|\sdot\s", re.IGNORECASE)
 _SPELLED_HINT = re.compile(rf"(?<![A-Za-z]){_WORD}(?![A-Za-z])", re.IGNORECASE)
 
 
@@ -81,11 +92,25 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that do not overlap, found from their "@" to both sides."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL_CHARACTERS:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+            done = domain.end()
+        at = text.find("@", max(at + 1, done))
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """Plain identifiers as (kind, start, end), kind by kind, from left to right."""
     found = []
     if "@" in text:
-        found += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+        found += [("email", *span) for span in _emails(text)]
     for m in _IP.finditer(text):
         # Longer numbers exceed 255 without being read, leading zeros aside.
         if all(len(part.lstrip("0")) <= 3 and int(part[-9:]) <= 255 for part in m[0].split(".")):
@@ -135,13 +160,29 @@ def _spelled_digits(text: str) -> Iterator[tuple[int, int, str]]:
             yield (*m.span(), new or _DIGIT_WORDS[word])
 
 
+def _disguised_addresses(text: str) -> Iterator[tuple[int, int]]:
+    done, backwards, n = 0, text[::-1], len(text)
+    for at in _ANY_AT.finditer(text):
+        if at.start() < done:
+            continue
+        left = _LEFT_OF_AT.match(backwards, n - at.start(), n - done)
+        right = _RIGHT_OF_AT.match(text, at.end()) if left else None
+        if right:
+            yield n - left.end(), right.end()
+            done = right.end()
+
+
 def _split_addresses(text: str) -> Iterator[tuple[int, int, str]]:
-    for address in _SPLIT_ADDRESS.finditer(text):
-        parts = list(_ADDRESS_PART.finditer(text, *address.span()))
+    for span in _disguised_addresses(text):
+        parts = list(_ADDRESS_PART.finditer(text, *span))
         loose_at = any(m["at"] and m["at"].strip().lower() in ("at", "@") for m in parts)
         # Bare " at " or spaced "@" needs a written dot too: "left at home.com" is prose.
         if loose_at and not any(m["dot"] for m in parts):
             continue
+        cuts = [span[0], *[edge for m in parts for edge in m.span()], span[1]]
+        names = [text[a:b].lower() for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        if loose_at and not {"at", "dot"}.isdisjoint(names):
+            continue
         for m in parts:
             yield (*m.span(), "@" if m["at"] else ".")
 
@@ -179,9 +220,14 @@ def all_spans(text: str) -> tuple[list, list]:
     if tape is None:
         return plain, plain
     found = list(plain)
+    ordered = sorted((start, end) for _, start, end in plain)
+    starts = [start for start, _ in ordered]
+    reach = list(accumulate((end for _, end in ordered), max))
     for kind, start, end in find_spans(tape.text):
         span = tape.starts[start], tape.ends[end - 1]
-        if not any(s <= span[0] and span[1] <= e for _, s, e in plain):
+        # The plain spans that begin no later; does one of them reach as far?
+        before = bisect_right(starts, span[0])
+        if not before or reach[before - 1] < span[1]:
             found.append((kind, *span))
     return plain, sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -84,12 +84,13 @@ def _measures(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(_NAMES), dtype=np.int64)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """All columns of `docs`, and `quality`: a struct of the measures of `text`.
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of `docs`, and `quality`: a struct of the measures of the column `text`.
 
-    Words are runs of characters other than ASCII white space; a null text has none.
+    Words are runs of characters other than ASCII white space; a null text has none. A column
+    `quality` of the input is replaced.
     """
-    return docs.withColumn("quality", _measures("text"))
+    return docs.withColumn("quality", _measures(text))
 
 
 def rules() -> dict[str, Column]:
@@ -126,11 +127,14 @@ def host_verdicts(stats: DataFrame, host: str, max_rate: float = MAX_HOST_RATE)
     moments = counts.agg(
         *[(F.sum(name) / F.sum("n")).alias(f"{name}_mean") for name in failing],
         *[F.var_pop(F.col(name) / F.col("n")).alias(f"{name}_var") for name in failing],
+        F.avg(1 / F.col("n")).alias("per_document"),
     ).first()
     rates = []
     for name in failing:
         mean, var = moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0
         spread = mean * (1 - mean)
+        # Rates of hosts that are all alike differ too, as their documents are a sample.
+        var = max(var - spread * (moments["per_document"] or 0.0), 0.0)
         strength = max(spread / var - 1 if 0 < var < spread else 0.0, MIN_STRENGTH)
         rates.append((F.col(name) + mean * strength) / (F.col("n") + strength))
     return counts.select(
@@ -151,7 +155,12 @@ def judged(stats: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RA
     """
     own = ["base_failed", "host_documents", "host_rate", "host_rejected", "kept"]
     stats = materialize(stats.drop(*own), "measured")
-    hosts = materialize(host_verdicts(stats, host, max_rate), "host-verdicts")
+    return with_verdicts(stats, host_verdicts(stats, host, max_rate), host)
+
+
+def with_verdicts(stats: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
+    """`stats` with the verdicts of `hosts` (from `host_verdicts`) on its column `host`."""
+    hosts = materialize(hosts, "host-verdicts").withColumnRenamed(hosts.columns[0], host)
     few = known_small(hosts, BROADCAST_HOSTS)
     if few is hosts:
         joined = salted_join(stats, hosts, [host], spread_by=["quality"])

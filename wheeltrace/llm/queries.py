@@ -68,16 +68,7 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = imatch.edit_report(table(spark, sf_dir, "documents"))
-    return report.select(
-        "doc_id",
-        F.char_length("text").cast("bigint").alias("n_chars"),
-        F.sha2("edited_text", 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        "near_edited",
-        "near_next",
-    )
+    return imatch.edit_report(table(spark, sf_dir, "documents"))
 
 
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheeltrace.llm.common import mix, text_slices, utf8
+from wheeltrace.llm.common import map_with_ids, mix, text_slices, utf8
 from wheeltrace.operators.scale import materialize
 
 STRING_BYTES = 50
@@ -61,8 +61,22 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:-gap], values[gap:]) if gap else values
 
 
-def _grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Selected grams of all texts: hashes, positions in the joined bytes; and the texts' ends.
+def _owners(hashes: np.ndarray) -> np.ndarray:
+    """Of each run of REACH hashes the place of the leftmost least one."""
+    values, places, have = hashes, np.arange(len(hashes)), 1
+    while have < REACH:
+        # Runs of `have` hashes, and the run after it or as far after as fits.
+        gap = min(have, REACH - have)
+        later = values[gap:] < values[:-gap]
+        places = np.where(later, places[gap:], places[:-gap])
+        values = np.where(later, values[gap:], values[:-gap])
+        have += gap
+    return places
+
+
+def _grams(texts: list) -> tuple[np.ndarray, ...]:
+    """Selected grams of all texts: hashes and positions in the joined bytes; the texts' ends,
+    the joined bytes and the hashes of all grams.
 
     A gram is selected if it has the least hash of a run of REACH grams. Runs across two texts
     select a few more, grams across two texts never are.
@@ -71,7 +85,7 @@ def _grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     ends = np.cumsum([len(d) for d in data])
     joined = np.frombuffer(b"".join(data), np.uint8)
     if len(joined) < STRING_BYTES:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), ends, joined
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), ends, joined, np.zeros(0, np.uint64)
     hashes = _gram_hashes(joined)
     across = (ends[:-1, None] - np.arange(1, GRAM)).reshape(-1)
     hashes[across[(across >= 0) & (across < len(hashes))]] = ~np.uint64(0)
@@ -80,14 +94,14 @@ def _grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     edge = np.zeros(REACH - 1, np.uint64)
     best = _sliding(np.concatenate([edge, least, edge]), REACH, np.maximum)
     at = np.nonzero((best == hashes) & (hashes != ~np.uint64(0)))[0]
-    return hashes[at], at, ends, joined
+    return hashes[at], at, ends, joined, hashes
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         classes = batch["class"].to_numpy()
         for part in text_slices(batch["text"]):
-            hashes, at, ends, _ = _grams(batch["text"].iloc[part].tolist())
+            hashes, at, ends, *_ = _grams(batch["text"].iloc[part].tolist())
             owner = np.searchsorted(ends, at, side="right")
             found = pd.DataFrame(
                 {"gram": hashes.view(np.int64), "class": classes[part][owner]}
@@ -116,11 +130,15 @@ def _shared_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes around each shared anchor; `low` and `high` bound the starts that exist."""
+    """The bytes around each shared anchor; `low` and `high` bound the starts that it owns.
+
+    A start belongs to the leftmost least gram of its own 50 bytes, so equal strings belong to
+    equal grams and each string is looked at under one anchor only.
+    """
     for batch in batches:
         for part in text_slices(batch["text"]):
             rows = batch.iloc[part]
-            hashes, at, ends, joined = _grams(rows["text"].tolist())
+            hashes, at, ends, joined, every = _grams(rows["text"].tolist())
             owner = np.searchsorted(ends, at, side="right")
             begins = np.append(0, ends[:-1])
             wanted = np.zeros(len(at), bool)
@@ -128,6 +146,12 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for row, shared in enumerate(rows["grams"]):
                 own = slice(bounds[row], bounds[row + 1])
                 wanted[own] = np.isin(hashes[own].view(np.int64), np.asarray(shared, np.int64))
+            # Owners do not fall from one start to the next.
+            owners = _owners(every) if len(at) else at
+            low = np.maximum(np.searchsorted(owners, at, side="left"), begins[owner])
+            high = np.searchsorted(owners, at, side="right")
+            high = np.minimum(high, ends[owner] - STRING_BYTES + 1)
+            wanted &= low < high
             hashes, at, owner = hashes[wanted], at[wanted], owner[wanted]
             padded = np.zeros(len(joined) + 2 * CONTEXT, np.uint8)
             padded[CONTEXT : CONTEXT + len(joined)] = joined
@@ -139,8 +163,8 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "doc": rows["doc"].to_numpy()[owner],
                     "class": rows["class"].to_numpy()[owner],
                     "first": first - begins[owner],
-                    "low": np.maximum(0, begins[owner] - first),
-                    "high": np.minimum(REACH, ends[owner] - STRING_BYTES + 1 - first),
+                    "low": low[wanted] - first,
+                    "high": high[wanted] - first,
                     "bytes": [cells[k : k + CONTEXT] for k in range(0, len(cells), CONTEXT)],
                 }
             )
@@ -158,11 +182,13 @@ def _names(*keys: np.ndarray) -> np.ndarray:
     return names
 
 
-def least_ids(cells: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def least_ids(
+    cells: np.ndarray, docs: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> np.ndarray:
     """(contexts, starts): the smallest id with the same 50 bytes at a start of the same gram.
 
-    docs is (contexts, starts) too: the id that has the string, the largest long where a start
-    lies outside its text.
+    `docs` has the id of each context; its starts are those from `low` to `high`, and only
+    these, with the samples they lead to, are sorted. Elsewhere the result is the largest long.
 
     Equal 50-byte strings in different groups of grams are not compared: strings that share a
     gram meet in its own group.
@@ -170,37 +196,37 @@ def least_ids(cells: np.ndarray, docs: np.ndarray) -> np.ndarray:
     m = len(cells)
     wide = np.zeros((m, CONTEXT + 32), np.uint8)
     wide[:, :CONTEXT] = cells
+    places = np.arange(CONTEXT + 8)
     # Sampled positions: those of a start or up to two bytes on, and 24 bytes after each.
-    sample = np.array([i for i in range(REACH + 2) if i % 3])
-    second = sample + 24
-    spots = np.union1d(sample, second)
+    reached = (places >= low[:, None]) & (places < high[:, None] + 2) & (places % 3 != 0)
+    named = reached.copy()
+    named[:, 24:] |= reached[:, :-24]
     words = np.zeros((m, CONTEXT + 8), np.uint64)
     for k in range(8):
         words |= wide[:, k : k + CONTEXT + 8].astype(np.uint64) << np.uint64(56 - 8 * k)
-    triples = [words[:, spots + 8 * k].reshape(-1) for k in range(3)]
+    row, spot = np.nonzero(named)
     names = np.zeros((m, CONTEXT + 8), np.int64)
-    names[:, spots] = _names(*triples).reshape(m, -1)
-    deep = np.zeros((m, REACH + 2), np.int64)
-    pairs = _names(names[:, sample].reshape(-1), names[:, second].reshape(-1))
-    deep[:, sample] = pairs.reshape(m, -1)
+    names[row, spot] = _names(*[words[row, spot + 8 * k] for k in range(3)])
+    deep = np.zeros((m, CONTEXT + 8), np.int64)
+    row, spot = np.nonzero(reached)
+    deep[row, spot] = _names(names[row, spot], names[row, spot + 24])
     least = np.full((m, REACH), _NO_ID)
     # All contexts of a gram have it at the same place.
     group = _names(*[words[:, REACH - 1 + k] for k in (0, 8, GRAM - 8)])
+    starts = np.arange(REACH)
+    real = (starts >= low[:, None]) & (starts < high[:, None])
     for offset in range(3):
-        starts = np.array([i for i in range(REACH) if (i + offset) % 3])
+        row, start = np.nonzero(real & ((starts + offset) % 3 != 0))
+        if not len(row):
+            continue
         # The bytes before the sampled position and after its 48.
-        rest = np.zeros((m, len(starts)), np.int64)
+        rest = np.zeros(len(row), np.int64)
         for k in [*range(offset), *range(offset + 48, STRING_BYTES)]:
-            rest = rest * 256 + cells[:, starts + k]
-        keys = _names(
-            np.repeat(group, len(starts)),
-            deep[:, starts + offset].reshape(-1),
-            rest.reshape(-1),
-        )
+            rest = rest * 256 + cells[row, start + k]
+        keys = _names(group[row], deep[row, start + offset], rest)
         lowest = np.full(keys.max() + 1, _NO_ID)
-        np.minimum.at(lowest, keys, docs[:, starts].reshape(-1))
-        found = lowest[keys].reshape(m, -1)
-        least[:, starts] = np.minimum(least[:, starts], found)
+        np.minimum.at(lowest, keys, docs[row])
+        least[row, start] = np.minimum(least[row, start], lowest[keys])
     return least
 
 
@@ -224,11 +250,7 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.frombuffer(b"".join(distinct[pairs // (4 * REACH * REACH)]), np.uint8)
         smallest = np.full(len(pairs), _NO_ID)
         np.minimum.at(smallest, codes, docs)
-        real = (starts >= low[:, None]) & (starts < high[:, None])
-        least = least_ids(
-            cells.reshape(-1, CONTEXT), np.where(real, smallest[:, None], _NO_ID)
-        )
-        least = np.where(real, least, _NO_ID)
+        least = least_ids(cells.reshape(-1, CONTEXT), smallest, low, high)
         hit = least[codes] < docs[:, None]
         bits = (hit.astype(np.int64) << starts).sum(axis=1)
         keep = (bits != 0) & (frame["fresh"].to_numpy())
@@ -293,7 +315,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             rows.append((n, int(gone.sum()), spans, kept))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-        out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+        out.insert(0, "doc_id", batch["doc_id"])
         yield out
 
 
@@ -354,10 +376,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     )
     fate = fate.distinct().join(cuts, ["doc", "class"], "left").drop("class")
     # What becomes of a document is joined to its text, which is shuffled once here.
-    return (
-        rows.join(fate, ["doc", "copies"])
-        .select("doc_id", "text", "copied", "firsts", "masks")
-        .mapInPandas(
-            _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-        )
+    return map_with_ids(
+        rows.join(fate, ["doc", "copies"]),
+        ["text", "copied", "firsts", "masks"],
+        _cut,
+        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary",
     )

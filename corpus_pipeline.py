@@ -16,34 +16,61 @@ from wheeltrace.operators.scale import materialize, stored_order
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither fail the base rules nor come from a rejected host."""
-    return quality_rules.judged(quality_rules.measured(docs)).where("kept").select(*docs.columns)
+    """Documents that neither fail the base rules nor come from a rejected host.
+
+    Rows are judged one by one, repeated ones too; null texts have no words and go; a null
+    source is no host. Hosts are judged on measures alone; a second pass over the texts, whose
+    columns carry names of their own meanwhile, applies the verdicts. Empty stays empty.
+    """
+    stats = quality_rules.measured(docs.select("source", "text")).drop("text")
+    hosts = quality_rules.host_verdicts(materialize(stats, "measured"), "source")
+    inner = {name: f"_in{k}" for k, name in enumerate(docs.columns)}
+    renamed = docs.toDF(*inner.values())
+    measured = quality_rules.measured(renamed, inner["text"])
+    judged = quality_rules.with_verdicts(measured, hosts, inner["source"])
+    return judged.where("kept").select(*[F.col(new).alias(old) for old, new in inner.items()])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates.
+    """One row of each group of near-duplicates: the smallest doc_id, null last.
 
-    Rows that repeat a kept doc_id are near-duplicates too: one of them stays.
+    Rows are told apart by a number of their own, so rows that share a doc_id, or have none,
+    are compared by their texts like all others. Texts without words are all kept. Empty stays
+    empty.
     """
-    found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.union(left.where("doc_id IS NULL")).select(*docs.columns)
+    row, text = "_pipeline_row", F.col("text")
+    numbered = materialize(
+        docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents"
+    )
+    found = minhash.near_duplicates(numbered.select(F.col(row).alias("doc_id"), text))
+    groups = found.select(F.col("doc_id").alias(row), "component_id")
+    named = numbered.select(row, "doc_id").join(groups, row)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row)))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(f"first.{row}")
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by placeholders."""
+    """Documents with personal data replaced by placeholders.
+
+    Null texts stay null; repeated rows are redacted alike; empty stays empty.
+    """
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stored in the order of the mixture, which packing follows."""
+    """Documents stored in the order of the mixture, which packing follows.
+
+    A null source is a source of its own; repeated rows stay; empty stays empty.
+    """
     return mixing.mixed_order(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 2,048 tokens, in the order in which `docs` was stored."""
+    """Pieces of documents in windows of 2,048 tokens, in the order in which `docs` was stored.
+
+    Null and empty texts are one token; repeated rows are packed one by one; empty stays empty.
+    """
     return packing.pack(stored_order(docs), tokenizer_path())
 
 

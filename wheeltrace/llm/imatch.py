@@ -164,7 +164,7 @@ def fingerprinter(docs: DataFrame):
 # its neighbour in its range; only first and last rows carry their text.
 _PLACED = (
     "doc_id string, part bigint, place string, text string, n_chars bigint, edited_sha256 string, "
-    "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 )
 _REPORT = (
     "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
@@ -187,8 +187,9 @@ def _judge(texts: list[str], following: list[str], terms: np.ndarray) -> dict[st
     return {
         "n_chars": [len(text) for text in texts],
         "edited_sha256": [hashlib.sha256(utf8(text)).hexdigest() for text in edited],
-        "fingerprint": own,
-        "edited_fingerprint": changed,
+        # Stored as bytes, half as long as the hexadecimal text.
+        "fingerprint": [bytes.fromhex(prints) for prints in own],
+        "edited_fingerprint": [bytes.fromhex(prints) for prints in changed],
         "near_edited": likeness(own, changed).tolist(),
         "near_next": likeness(own, after).tolist(),
     }
@@ -226,7 +227,9 @@ def _in_ranges(terms):
 
 
 def _arrow_schema(spec: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    kinds = {
+        "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()
+    }
     return pa.schema([(p.split()[0], kinds[p.split()[1]]) for p in spec.split(", ")])
 
 
@@ -296,4 +299,10 @@ def edit_report(docs: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
     spec = ", ".join(p for p in _PLACED.split(", ") if p.split()[0] in _REPORT)
     last = pairs.select("doc_id", "text", "following").mapInArrow(_at_edges(terms), spec)
     inner = placed.where("place IS NULL OR place = 'first'").select(*_REPORT)
-    return inner.unionByName(last).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return inner.unionByName(last).withColumns(
+        {
+            "doc_id": F.col("doc_id").cast("bigint"),
+            "fingerprint": F.lower(F.hex("fingerprint")),
+            "edited_fingerprint": F.lower(F.hex("edited_fingerprint")),
+        }
+    )

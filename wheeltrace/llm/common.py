@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Texts are handled in slices of about this many characters, so that the memory of a task
 # depends on the longest single text and not on the size of a batch or partition.
 SLICE_CHARS = 1 << 20
+BATCH_ROWS = 500
 
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
@@ -34,6 +35,17 @@ def text_slices(texts: pd.Series, limit: int = SLICE_CHARS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python in batches of at most BATCH_ROWS rows, in this session.
+
+    A worker holds a batch two or three times over. With Spark's 10,000 rows that is several
+    hundred megabytes of ordinary documents in each worker of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def arrow_slices(batch, names: list[str], limit: int = SLICE_CHARS):
     """Consecutive parts of an Arrow batch with at most `limit` bytes in the named texts.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheeltrace.llm import minhash, mixing, packing, pii, quality_rules
-from wheeltrace.llm.common import table, tokenizer_path
+from wheeltrace.llm.common import small_batches, table, tokenizer_path
 from wheeltrace.operators.scale import materialize, stored_order
 
 
@@ -22,6 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source is no host. Hosts are judged on measures alone; a second pass over the texts, whose
     columns carry names of their own meanwhile, applies the verdicts. Empty stays empty.
     """
+    small_batches(spark)
     stats = quality_rules.measured(docs.select("source", "text")).drop("text")
     hosts = quality_rules.host_verdicts(materialize(stats, "measured"), "source")
     inner = {name: f"_in{k}" for k, name in enumerate(docs.columns)}
@@ -38,6 +39,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are compared by their texts like all others. Texts without words are all kept. Empty stays
     empty.
     """
+    small_batches(spark)
     row, text = "_pipeline_row", F.col("text")
     numbered = materialize(
         docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents"
@@ -55,6 +57,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null; repeated rows are redacted alike; empty stays empty.
     """
+    small_batches(spark)
     return pii.redact(docs)
 
 
@@ -71,6 +74,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts are one token; repeated rows are packed one by one; empty stays empty.
     """
+    small_batches(spark)
     return packing.pack(stored_order(docs), tokenizer_path())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheeltrace.llm import minhash, mixing, packing, pii, quality_rules
-from wheeltrace.llm.common import small_batches, table, tokenizer_path
+from wheeltrace.llm.common import known_small, small_batches, table, tokenizer_path
 from wheeltrace.operators.scale import materialize, stored_order
 
 
@@ -35,20 +35,30 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the smallest doc_id, null last.
 
-    Rows are told apart by a number of their own, so rows that share a doc_id, or have none,
+    Rows that share a doc_id, or have none, get a number of their own above all doc_ids and so
     are compared by their texts like all others. Texts without words are all kept. Empty stays
     empty.
     """
     small_batches(spark)
-    row, text = "_pipeline_row", F.col("text")
+    row, own = "_pipeline_row", "_pipeline_id"
     numbered = materialize(
         docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents"
     )
-    found = minhash.near_duplicates(numbered.select(F.col(row).alias("doc_id"), text))
-    groups = found.select(F.col("doc_id").alias(row), "component_id")
-    named = numbered.select(row, "doc_id").join(groups, row)
+    top = numbered.agg(F.max("doc_id")).first()[0] or 0
+    repeated = materialize(
+        numbered.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1"), "repeated"
+    ).select(F.col("doc_id").alias("_repeated"))
+    # Doc_ids that leave no room above them, as hashes may, are all replaced by the numbers.
+    named = F.lit(top < 1 << 62) & F.col("doc_id").isNotNull() & F.col("_repeated").isNull()
+    free = F.lit(max(top, 0) + 1 if top < 1 << 62 else 0)
+    marked = numbered.join(
+        known_small(repeated, 1 << 18), F.col("doc_id") == F.col("_repeated"), "left"
+    ).withColumn(own, F.when(named, F.col("doc_id")).otherwise(free + F.col(row)))
+    found = minhash.near_duplicates(marked.select(F.col(own).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias(own), "component_id")
+    named_rows = marked.select(row, own, "doc_id").join(groups, own)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row)))
-    kept = named.groupBy("component_id").agg(first.alias("first")).select(f"first.{row}")
+    kept = named_rows.groupBy("component_id").agg(first.alias("first")).select(f"first.{row}")
     return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 

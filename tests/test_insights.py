@@ -36,6 +36,15 @@ def test_notable_matches_numpy(spark, percentile):
         assert row.severity == ("high" if share >= 99 else "medium")
 
 
+def test_ranks_are_computed_once_and_looked_up_after_the_threshold(spark):
+    frame = drives(spark, [float(i % 7) for i in range(40)] + [99.0])
+    found = find_notable_metrics(frame)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Expand" not in plan
+    assert "sequence(" not in plan
+    assert {row.value for row in found.collect()} >= {99.0}
+
+
 def test_equal_drives_are_all_notable(spark):
     found = find_notable_metrics(drives(spark, [0.0] * 5))
     assert [(r.percentile_rank, r.severity) for r in found.collect()] == [(100.0, "high")] * 5

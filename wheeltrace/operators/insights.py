@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wheeltrace.functions.scalars import finite, iso_text, number_text, to_number
-from wheeltrace.operators.scale import running_total, salted_join
+from wheeltrace.operators.scale import grouped_join, materialize, running_total
 from wheeltrace.schemas import EVENT_SCHEMA
 
 # Event rates that trends are reported for.
@@ -221,31 +221,39 @@ def find_notable_metrics(
     """Metrics in which a drive is extreme among all drives.
 
     Covers every drive, or one if named. Ranks come from cumulative counts of
-    distinct values, computed in slices, so no task holds all drives of a metric.
+    distinct values, computed in slices and written once, so no task holds all drives
+    of a metric. Drives are compared with the threshold first; only notable ones look
+    up their rank, and a value that many drives share is spread over all tasks.
     """
     if not 0.5 < percentile < 1.0:
         raise ValueError("percentile must be greater than 0.5 and less than 1.0.")
     long = _long_form(metrics, metric_names, ["drive_id"]).where("value IS NOT NULL")
     counted = long.groupBy("metric", "value").agg(F.count("*").alias("_drives"))
-    ranked = running_total(counted, ["metric"], ["value"], F.col("_drives"), "upto")
-    thresholds = _percentile_thresholds(ranked, percentile)
+    ranked = materialize(
+        running_total(counted, ["metric"], ["value"], F.col("_drives"), "upto"), "ranked"
+    )
+    # One row per metric.
+    thresholds = F.broadcast(_percentile_thresholds(ranked, percentile))
 
     low = F.col("metric").isin(*LOW_IS_NOTABLE)
     value, threshold = F.col("value"), F.col("threshold")
     notable = F.when(low, value <= threshold).otherwise(value >= threshold)
-    # Decided per distinct value, then handed to the drives that have it.
-    unusual = (
-        ranked.join(F.broadcast(thresholds), "metric")
+    drives = long if drive_id is None else long.where(F.col("drive_id") == drive_id)
+    unusual = materialize(
+        drives.join(thresholds, "metric").where(notable).drop("population"), "unusual"
+    )
+    ranks = (
+        ranked.join(thresholds, "metric")
         .where(notable)
         .select(
             "metric",
             "value",
-            "threshold",
+            "_drives",
             (F.col("upto") / F.col("population") * 100.0).alias("_rank"),
         )
     )
-    drives = long if drive_id is None else long.where(F.col("drive_id") == drive_id)
-    found = salted_join(drives, unusual, ["metric", "value"], ["drive_id"], "inner")
+    total = ranked.agg(F.sum("_drives")).first()[0] or 0
+    found = grouped_join(unusual, ranks, ["metric", "value"], "_drives", total)
     rank = F.col("_rank")
     return found.select(
         "drive_id",

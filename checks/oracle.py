@@ -510,6 +510,29 @@ def oracle_sql() -> dict[str, str]:
         ),
         "client_events": _from_events("SELECT * FROM detected"),
         "client_drives": _with(_SOURCE, _SUMMARY, select="SELECT * FROM summary"),
+        "client_projection": _from_source(
+            """SELECT drive_id, timestamp_us, speed_kph FROM telemetry
+            WHERE drive_id = 'drive_0' AND timestamp_us <= 1704088800000000"""
+        ),
+        "client_metric": _from_metrics(
+            """SELECT cast((SELECT total_events FROM fleet) AS bigint) AS fleet_events,
+              (SELECT max_speed_kph FROM metrics WHERE drive_id = 'drive_7') AS top_speed_kph"""
+        ),
+        "client_summary": _from_metrics(
+            """SELECT s.drive_id, s.source_file, s.samples, s.start_time_us, s.end_time_us,
+              s.autopilot_samples, m.* EXCLUDE (drive_id, source_file, start_time_us, end_time_us)
+            FROM summary s JOIN metrics m USING (drive_id) WHERE s.drive_id = 'drive_7'""",
+            _SUMMARY,
+        ),
+        "export_events": _from_events("SELECT * FROM detected"),
+        "export_metrics": _from_metrics("SELECT * FROM metrics"),
+        "run_history": _from_source(
+            f"""SELECT id, files_processed, rows_ingested, rows_served, rows_dropped,
+              duplicate_rows_removed
+            FROM (SELECT {_COUNTERS},
+                (SELECT count(DISTINCT source_file) FROM coerced) AS files_processed),
+              (SELECT unnest([1, 2]::bigint[]) AS id)"""
+        ),
         "fleet_event_totals": _from_events(
             "SELECT count(*) AS events, count(*) AS metric_events FROM detected"
         ),

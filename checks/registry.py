@@ -33,6 +33,7 @@ from wheeltrace.operators import cleaning, detection, insights, metrics, samples
 from wheeltrace.operators.canonical import add_distance_delta, to_telemetry
 from wheeltrace.operators.scale import checkpoint_folder, materialize
 from wheeltrace.plans import ingest, reports
+from wheeltrace.schemas import EVENT_SCHEMA
 from wheeltrace.sources.csv_logs import read_csv_logs
 from wheeltrace.sources.store import TelemetryStore
 
@@ -278,6 +279,60 @@ def client_events(spark, sf_dir):
     return _flat(_client(spark, sf_dir).events())
 
 
+def client_projection(spark, sf_dir):
+    """Two columns of a drive; the filter on the drive keeps its name in the result."""
+    rows = _client(spark, sf_dir).telemetry(
+        drive_id=LEFT_DRIVE, columns=["timestamp", "speed_kph"], end_time="2024-01-01T06:00:00"
+    )
+    return _flat(rows)
+
+
+def client_metric(spark, sf_dir):
+    """One metric of the fleet and one of a drive, as plain values."""
+    client = _client(spark, sf_dir)
+    return spark.range(1).select(
+        F.lit(client.metric("total_events")).cast("bigint").alias("fleet_events"),
+        F.lit(client.metric("max_speed_kph", RIGHT_DRIVE)).alias("top_speed_kph"),
+    )
+
+
+def client_summary(spark, sf_dir):
+    return _flat(_client(spark, sf_dir).summary(RIGHT_DRIVE))
+
+
+def export_events(spark, sf_dir):
+    """All events, exported as CSV and read back with the types they had."""
+    client = _client(spark, sf_dir)
+    path = client.export_events(f"{_scratch(spark, 'export')}/events.csv")
+    back = spark.read.schema(EVENT_SCHEMA).option("header", True).option("escape", '"').csv(path)
+    return _flat(back)
+
+
+def export_metrics(spark, sf_dir):
+    """The drive metrics, exported as Parquet and read back."""
+    client = _client(spark, sf_dir)
+    return _flat(
+        spark.read.parquet(client.export(client.metrics(), f"{_scratch(spark, 'export')}/m.parquet"))
+    )
+
+
+def run_history(spark, sf_dir):
+    """The history after two runs with the counters of the raw rows, newest first."""
+    target = TelemetryStore(spark, _scratch(spark, "history"))
+    rows = coerced_rows(spark, sf_dir)
+    counts = cleaning.quality_counts(rows).first()
+    files = rows.select("source_file").distinct().count()
+    for _ in range(2):
+        target.record_run(
+            files,
+            counts.rows_ingested,
+            counts.rows_served,
+            counts.rows_dropped,
+            counts.duplicate_rows_removed,
+        )
+    return FleetClient(target).ingestion_history().drop("loaded_at")
+
+
 def fleet_event_totals(spark, sf_dir):
     """The event totals of the default fleet report, from its events and from its metrics."""
     report = reports.analyze_fleet(_client(spark, sf_dir))
@@ -404,6 +459,12 @@ def queries() -> dict[str, Query]:
         "busiest_drive": busiest_drive,
         "client_events": client_events,
         "client_drives": lambda s, d: _flat(_client(s, d).drives()),
+        "client_projection": client_projection,
+        "client_metric": client_metric,
+        "client_summary": client_summary,
+        "export_events": export_events,
+        "export_metrics": export_metrics,
+        "run_history": run_history,
         "fleet_event_totals": fleet_event_totals,
         "drive_report": drive_report,
         "fleet_report": fleet_report,

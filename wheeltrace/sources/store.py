@@ -192,7 +192,10 @@ def export(frame: DataFrame, path: str) -> str:
     suffix = str(path).rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
     writer = frame.write.mode("overwrite")
     if suffix == "csv":
-        writer.option("header", True).option("escape", '"').csv(str(path))
+        # By default Spark cuts times to milliseconds.
+        writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option(
+            "header", True
+        ).option("escape", '"').csv(str(path))
     elif suffix in ("parquet", "pq"):
         writer.parquet(str(path))
     else:

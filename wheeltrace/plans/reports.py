@@ -33,6 +33,7 @@ from wheeltrace.operators.insights import (
     summarize_events,
 )
 from wheeltrace.operators.metrics import fleet_metrics
+from wheeltrace.operators.scale import materialize
 from wheeltrace.plans.ingest import IngestResult, compute_metrics, summarize_ingest
 
 SAMPLE_ROWS = 100
@@ -76,6 +77,14 @@ def _row(frame: DataFrame) -> Column:
     return F.struct(*[F.col(name) for name in frame.columns])
 
 
+def _written_summary(events: DataFrame) -> DataFrame:
+    """The one-row event summary, written: cells, findings and counts of a report read it.
+
+    Scalar subqueries of one plan would each scan the events again.
+    """
+    return materialize(summarize_events(events), "event-summary")
+
+
 def drive_report(
     profile: DataFrame,
     events: DataFrame,
@@ -90,7 +99,7 @@ def drive_report(
     """
     own = metrics.where(F.col("drive_id") == drive_id)
     compact = own.select(*[name for name in SUMMARY_COLUMNS if name in own.columns])
-    events_row = summarize_events(events)
+    events_row = _written_summary(events)
     notable = notable_findings(find_notable_metrics(metrics, drive_id, percentile=percentile))
     rate = finite(F.col("events_per_100_km"))
     rate_text = F.concat(
@@ -127,7 +136,7 @@ def fleet_report(telemetry: DataFrame, events: DataFrame, metrics: DataFrame) ->
     """Report on the fleet: totals, events, trends of event rates, the busiest drive."""
     fleet = fleet_metrics(metrics)
     totals = fleet.select(*[name for name in SUMMARY_COLUMNS if name in fleet.columns])
-    events_row = summarize_events(events)
+    events_row = _written_summary(events)
     trends = analyze_trends(
         metrics, [name for name in EVENT_RATE_COLUMNS if name in metrics.columns]
     )

@@ -34,6 +34,11 @@ REACH = STRING_BYTES - GRAM + 1
 CONTEXT = REACH + STRING_BYTES - 1
 # Contexts sorted at a time in a task.
 STRETCH = 40_000
+# An anchor that more texts hold is dealt out by the strings around it.
+MANY_TEXTS = 20_000
+# Repeated contexts a task remembers, some 200 bytes each; on reaching it, it starts afresh. More
+# rows are compared then, the result is the same.
+REMEMBERED = 20_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _NO_ID = (1 << 63) - 1
@@ -129,43 +134,93 @@ def _shared_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held[["gram", "class"]]
 
 
+def _by_start(low: np.ndarray, high: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces (context, low, high) of the contexts: single starts where `alone`, else all."""
+    pieces = np.where(alone, high - low, 1)
+    context = np.repeat(np.arange(len(low)), pieces)
+    nth = np.arange(len(context)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    from_start = low[context] + nth
+    return context, from_start, np.where(alone[context], from_start + 1, high[context])
+
+
+def _bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bits of the starts from `low` to `high`."""
+    return (np.int64(1) << high.astype(np.int64)) - (np.int64(1) << low.astype(np.int64))
+
+
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes around each shared anchor; `low` and `high` bound the starts that it owns.
+    """The bytes around each shared anchor, with the bounds of the starts that it owns.
 
     A start belongs to the leftmost least gram of its own 50 bytes, so equal strings belong to
-    equal grams and each string is looked at under one anchor only.
+    equal grams and each string is looked at under one anchor only. `bytes` holds what these
+    strings cover, zeros elsewhere, and the two bounds. Rows that are to be compared have one
+    `key`: the gram or, for a gram of many texts, the 50 bytes of a single start.
+
+    Rows come by doc. Of equal `bytes` only the first document in reach of the task is to be
+    compared: the later ones are covered whatever else there is, so they go on without bytes and
+    under keys of their own. What was met more than once is remembered up to REMEMBERED.
     """
+    known: dict[bytes, int] = {}
     for batch in batches:
         for part in text_slices(batch["text"]):
             rows = batch.iloc[part]
             hashes, at, ends, joined, every = _grams(rows["text"].tolist())
             owner = np.searchsorted(ends, at, side="right")
             begins = np.append(0, ends[:-1])
-            wanted = np.zeros(len(at), bool)
+            wanted, many = np.zeros(len(at), bool), np.zeros(len(at), bool)
             bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
-            for row, shared in enumerate(rows["grams"]):
+            for row, (shared, hot) in enumerate(zip(rows["grams"], rows["hot"], strict=True)):
                 own = slice(bounds[row], bounds[row + 1])
-                wanted[own] = np.isin(hashes[own].view(np.int64), np.asarray(shared, np.int64))
+                names = hashes[own].view(np.int64)
+                wanted[own] = np.isin(names, np.asarray(shared, np.int64))
+                if len(hot):
+                    many[own] = np.isin(names, np.asarray(hot, np.int64))
             # Owners do not fall from one start to the next.
             owners = _owners(every) if len(at) else at
             low = np.maximum(np.searchsorted(owners, at, side="left"), begins[owner])
             high = np.searchsorted(owners, at, side="right")
             high = np.minimum(high, ends[owner] - STRING_BYTES + 1)
             wanted &= low < high
-            hashes, at, owner = hashes[wanted], at[wanted], owner[wanted]
+            if not wanted.any():
+                continue
+            hashes, at, owner, many = hashes[wanted], at[wanted], owner[wanted], many[wanted]
+            first = at - (REACH - 1)
+            context, low, high = _by_start(low[wanted] - first, high[wanted] - first, many)
+            hashes, first, owner, many = (x[context] for x in (hashes, first, owner, many))
             padded = np.zeros(len(joined) + 2 * CONTEXT, np.uint8)
             padded[CONTEXT : CONTEXT + len(joined)] = joined
-            first = at - (REACH - 1)
-            cells = padded[(first + CONTEXT)[:, None] + np.arange(CONTEXT)].tobytes()
+            cells = np.empty((len(first), CONTEXT + 2), np.uint8)
+            places = np.arange(CONTEXT)
+            cells[:, :CONTEXT] = padded[(first + CONTEXT)[:, None] + places]
+            cells[:, :CONTEXT] *= (places >= low[:, None]) & (
+                places < high[:, None] + STRING_BYTES - 1
+            )
+            cells[:, CONTEXT], cells[:, CONTEXT + 1] = low, high
+            joined_cells, width = cells.tobytes(), CONTEXT + 2
+            held = np.empty(len(first), object)
+            held[:] = [joined_cells[k : k + width] for k in range(0, len(joined_cells), width)]
+            codes, distinct = pd.factorize(held)
+            docs, classes = rows["doc"].to_numpy()[owner], rows["class"].to_numpy()[owner]
+            smallest = np.array([known.get(own, _NO_ID) for own in distinct], np.int64)
+            np.minimum.at(smallest, codes, docs)
+            for code in np.nonzero(np.bincount(codes) > 1)[0]:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[distinct[code]] = int(smallest[code])
+            settled = docs > smallest[codes]
+            keys = hashes.copy()
+            keys[many] = pd.util.hash_array(held[many], categorize=False)
+            own_keys = mix(docs[settled].view(np.uint64) + keys[settled])
+            keys[settled] = own_keys
+            held[settled] = None
             yield pd.DataFrame(
                 {
-                    "gram": hashes.view(np.int64),
-                    "doc": rows["doc"].to_numpy()[owner],
-                    "class": rows["class"].to_numpy()[owner],
+                    "key": keys.view(np.int64),
+                    "doc": docs,
+                    "class": classes,
                     "first": first - begins[owner],
-                    "low": low[wanted] - first,
-                    "high": high[wanted] - first,
-                    "bytes": [cells[k : k + CONTEXT] for k in range(0, len(cells), CONTEXT)],
+                    "covered": np.where(settled, _bits(low, high), 0),
+                    "bytes": held,
                 }
             )
 
@@ -233,35 +288,28 @@ def least_ids(
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(doc, class, first, covered): bits of the starts that an earlier document has too.
 
-    Rows are sorted by gram and id. A stretch ends with a gram. Where one gram fills more than
+    Rows are sorted by key and id. A stretch ends with a key. Where one key fills more than
     a stretch, its distinct contexts so far, with their smallest ids, go into the next one.
+    Keys of more than MANY_TEXTS texts are single strings, so these are few.
     """
     seen = None
     held: list[pd.DataFrame] = []
     count = 0
+    results = ["doc", "class", "first", "covered"]
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         docs, starts = frame["doc"].to_numpy(), np.arange(REACH)
         # Copies of a passage have equal contexts: each is sorted once.
-        bounds = frame["low"].to_numpy() * (2 * REACH) + frame["high"].to_numpy()
         codes, distinct = pd.factorize(frame["bytes"])
-        codes, pairs = pd.factorize(codes * (4 * REACH * REACH) + bounds)
-        low, high = np.divmod(pairs % (4 * REACH * REACH), 2 * REACH)
-        cells = np.frombuffer(b"".join(distinct[pairs // (4 * REACH * REACH)]), np.uint8)
-        smallest = np.full(len(pairs), _NO_ID)
+        cells = np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, CONTEXT + 2)
+        low, high = cells[:, CONTEXT].astype(np.int64), cells[:, CONTEXT + 1].astype(np.int64)
+        smallest = np.full(len(distinct), _NO_ID)
         np.minimum.at(smallest, codes, docs)
-        least = least_ids(cells.reshape(-1, CONTEXT), smallest, low, high)
+        least = least_ids(cells[:, :CONTEXT], smallest, low, high)
         hit = least[codes] < docs[:, None]
         bits = (hit.astype(np.int64) << starts).sum(axis=1)
         keep = (bits != 0) & (frame["fresh"].to_numpy())
-        return pd.DataFrame(
-            {
-                "doc": docs[keep],
-                "class": frame["class"].to_numpy()[keep],
-                "first": frame["first"].to_numpy()[keep],
-                "covered": bits[keep],
-            }
-        )
+        return frame.assign(covered=bits).loc[keep, results]
 
     def ready(frame: pd.DataFrame):
         nonlocal seen
@@ -270,19 +318,22 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return work(whole), whole
 
     for batch in batches:
-        batch = batch.assign(fresh=True)
+        settled = batch["bytes"].isna()
+        if settled.any():
+            yield batch.loc[settled, results]
+        batch = batch[~settled].assign(fresh=True)
         for start in range(0, len(batch), STRETCH):
             held.append(batch.iloc[start : start + STRETCH])
             count += len(held[-1])
             if count < STRETCH:
                 continue
             frame = pd.concat(held, ignore_index=True)
-            last = frame["gram"].to_numpy() == frame["gram"].iloc[-1]
+            last = frame["key"].to_numpy() == frame["key"].iloc[-1]
             if last.all():
                 found, whole = ready(frame)
                 yield found
                 whole = whole.sort_values("doc", kind="stable").assign(fresh=False)
-                seen = whole.drop_duplicates(["gram", "bytes", "low", "high"])
+                seen = whole.drop_duplicates(["key", "bytes"])
                 held, count = [], 0
             else:
                 yield ready(frame[~last])[0]
@@ -348,21 +399,29 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         .mapInPandas(_shared_anchors, "gram bigint, class bigint"),
         "anchors",
     )
+    # One row per MANY_TEXTS anchors at most; Spark broadcasts it only if it turns out small.
+    hot = grams.groupBy("gram").count().where(F.col("count") > MANY_TEXTS)
+    marked = grams.join(hot.select("gram", F.lit(True).alias("many")), "gram", "left")
     # At most one gram per byte of a text.
-    per_class = grams.groupBy("class").agg(F.collect_set("gram").alias("grams"))
-    leaders = first.join(per_class, "class").select(F.col("_first").alias("doc"), "copies", "grams")
+    per_class = marked.groupBy("class").agg(
+        F.collect_set("gram").alias("grams"), F.collect_set(F.expr("IF(many, gram, NULL)")).alias("hot")
+    )
+    leaders = first.join(per_class, "class").select(
+        F.col("_first").alias("doc"), "copies", "grams", "hot"
+    )
     # Texts that share a doc_id, or have none, are told apart by their class.
     covered = (
         rows.join(leaders, ["doc", "copies"])
-        .select("doc", "text", "copies", "class", "grams")
+        .select("doc", "text", "copies", "class", "grams", "hot")
         .dropDuplicates(["doc", "copies"])
+        # Already so, which makes a repeated task do the same.
+        .sortWithinPartitions("doc", "copies")
         .mapInPandas(
             _contexts,
-            "gram bigint, doc bigint, class bigint, first bigint, low bigint, high bigint, "
-            "bytes binary",
+            "key bigint, doc bigint, class bigint, first bigint, covered bigint, bytes binary",
         )
-        .repartition("gram")
-        .sortWithinPartitions("gram", "doc")
+        .repartition("key")
+        .sortWithinPartitions("key", "doc")
         .mapInPandas(_covered, "doc bigint, class bigint, first bigint, covered bigint")
     )
     cuts = materialize(

@@ -43,10 +43,32 @@ def _texts():
         yield n * 7 % 61, text
 
 
-@pytest.mark.parametrize("many", [2, 10, 20_000])
-def test_hot_anchors(spark, monkeypatch, many):
-    texts = list(_texts())
+@pytest.mark.parametrize("many", [2, 4, 20])
+def test_shared_anchors(monkeypatch, many):
+    """Grams of several classes, with those of many, in batches that cut through them."""
     monkeypatch.setattr(suffix_dedup, "MANY_TEXTS", many)
+    rows = [(1, 1), (2, 1), (2, 2), (3, 5), (3, 5), (4, 1), (4, 2), (4, 2), (4, 3), (4, 4)]
+    rows += [(4, k) for k in range(5, 12)] + [(5, 2), (5, 2), (6, 1), (6, 9), (6, 9)]
+    frame = pd.DataFrame(rows, columns=["gram", "class"])
+    classes = frame.drop_duplicates().groupby("gram").size()
+    expected = {(g, c, bool(classes[g] > many)) for g, c in rows if classes[g] > 1}
+    for size in range(1, len(rows) + 1):
+        parts = suffix_dedup._shared_anchors(frame[k : k + size] for k in range(0, len(rows), size))
+        found = [tuple(row) for part in parts for row in part.itertuples(index=False)]
+        assert len(found) == len(set(found)) and set(found) == expected
+    assert not list(suffix_dedup._shared_anchors(iter(())))
+
+
+def test_hot_anchors(spark):
+    """More texts with one anchor than MANY_TEXTS, few of them alike."""
+    texts = list(_texts())
+    top = len(texts)
+    rng = random.Random(3)
+    line = "a line that a great many of the pages have in common"
+    texts += [
+        (top + 1 + k, f"{rng.randint(0, 9)}{line}{rng.randint(0, 400)}")
+        for k in range(suffix_dedup.MANY_TEXTS + 900)
+    ]
     frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
     found = suffix_dedup.cut_repeats(frame).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in found} == _expected(texts)

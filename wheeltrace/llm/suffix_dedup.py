@@ -35,7 +35,7 @@ CONTEXT = REACH + STRING_BYTES - 1
 # Contexts sorted at a time in a task.
 STRETCH = 40_000
 # An anchor that more texts hold is dealt out by the strings around it.
-MANY_TEXTS = 20_000
+MANY_TEXTS = 4_096
 # Repeated contexts a task remembers, some 200 bytes each; on reaching it, it starts afresh. More
 # rows are compared then, the result is the same.
 REMEMBERED = 20_000
@@ -115,23 +115,32 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _shared_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by gram and class, those whose gram has several classes, once each."""
-    held = None
+    """Of rows sorted by gram and class, those whose gram has several classes, once each.
+
+    `many` tells the grams of more than MANY_TEXTS classes: a gram's rows are held back until
+    its end or until they exceed that number.
+    """
+    held = opened = None
+
+    def told(frame: pd.DataFrame) -> pd.DataFrame:
+        sizes = frame.groupby("gram")["gram"].transform("size").to_numpy()
+        going = frame["gram"].to_numpy() == opened if opened is not None else False
+        return frame.assign(many=(sizes > MANY_TEXTS) | going)[(sizes > 1) | going]
+
     for batch in batches:
-        batch = batch.assign(twin=False)
         if held is not None:
             batch = pd.concat([held, batch], ignore_index=True)
-        batch = batch[~(batch["gram"].eq(batch["gram"].shift(-1)) & batch["class"].eq(batch["class"].shift(-1)) & ~batch["twin"])]
-        same = batch["gram"].to_numpy()[1:] == batch["gram"].to_numpy()[:-1]
-        other = same & (batch["class"].to_numpy()[1:] != batch["class"].to_numpy()[:-1])
-        twin = batch["twin"].to_numpy(bool).copy()
-        twin[1:] |= other
-        twin[:-1] |= other
-        batch = batch.assign(twin=twin)
-        yield batch.iloc[:-1].loc[twin[:-1], ["gram", "class"]]
-        held = batch.iloc[-1:]
-    if held is not None and held["twin"].iloc[0]:
-        yield held[["gram", "class"]]
+        gram, own = batch["gram"].to_numpy(), batch["class"].to_numpy()
+        new = np.append(True, (gram[1:] != gram[:-1]) | (own[1:] != own[:-1]))
+        batch, last = batch[new], gram[new] == gram[-1]
+        yield told(batch[~last])
+        held = batch[last]
+        if len(held) > MANY_TEXTS or opened == gram[-1]:
+            opened = gram[-1]
+            yield held.iloc[:-1].assign(many=True)
+            held = held.iloc[-1:]
+    if held is not None:
+        yield told(held)
 
 
 def _by_start(low: np.ndarray, high: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -396,14 +405,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         .mapInPandas(_anchors, "gram bigint, class bigint")
         .repartition("gram")
         .sortWithinPartitions("gram", "class")
-        .mapInPandas(_shared_anchors, "gram bigint, class bigint"),
+        .mapInPandas(_shared_anchors, "gram bigint, class bigint, many boolean"),
         "anchors",
     )
-    # One row per MANY_TEXTS anchors at most; Spark broadcasts it only if it turns out small.
-    hot = grams.groupBy("gram").count().where(F.col("count") > MANY_TEXTS)
-    marked = grams.join(hot.select("gram", F.lit(True).alias("many")), "gram", "left")
     # At most one gram per byte of a text.
-    per_class = marked.groupBy("class").agg(
+    per_class = grams.groupBy("class").agg(
         F.collect_set("gram").alias("grams"), F.collect_set(F.expr("IF(many, gram, NULL)")).alias("hot")
     )
     leaders = first.join(per_class, "class").select(

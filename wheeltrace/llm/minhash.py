@@ -16,7 +16,8 @@ How it stays spread out:
 * The smallest member leads a bucket, and each document is first confirmed against the leader
   it shares most buckets with: one candidate per document. Where confirmed links leave a bucket
   with several components, members of different components are compared by their sketches in
-  blocks of bounded size, which nothing caps, and the similar ones are confirmed too. So a
+  blocks of bounded size, which nothing caps, and the similar ones are confirmed too: first
+  each member's closest one alone, which merges most components, then all that remain. So a
   bucket never lists all its pairs, and no link between components is lost. The blocks follow
   the left half of the table key, the right halves are compared inside, and a pair counts at
   its first common left half only: ten rows per document instead of a hundred.
@@ -48,6 +49,9 @@ MIN_PERCENT = 75
 SKETCH_BINS = 512
 SKETCH_DEVIATIONS = 4.0
 BLOCK_ROWS = 1024
+# Rounds in which each document of a bucket with several components tries its closest partner
+# alone; each round at least halves the components that it can link.
+CLOSEST_ROUNDS = 2
 # Words of 64 bits in the bitmap of wanted doc_ids, at most as many rows in its broadcast.
 BITMAP_WORDS = 1 << 18
 
@@ -282,7 +286,14 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(_linked, "a bigint, b bigint").distinct(), "links")
 
 
-def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _closest_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each row's closest pair of those of `_across_components`."""
+    return _across_components(batches, closest=True)
+
+
+def _across_components(
+    batches: Iterator[pd.DataFrame], closest: bool = False
+) -> Iterator[pd.DataFrame]:
     """Similar pairs of different components within each (left, low, high) block.
 
     A pair must share a right half too, and counts where its first common left half is.
@@ -322,6 +333,9 @@ def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
                     others = others[
                         _may_link(sketches[others], sketches[left], sizes[others], sizes[left])
                     ]
+                    if closest and len(others) > 1:
+                        same = (sketches[others] == sketches[left]) & (sketches[left] != 0)
+                        others = others[[same.sum(axis=1).argmax()]]
                     mine = np.full(len(others), nodes[left])
                     found.append(
                         np.stack([np.minimum(mine, nodes[others]), np.maximum(mine, nodes[others])])
@@ -340,12 +354,8 @@ def _across_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield blocks(held)
 
 
-def pairs_across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Similar pairs that share a bucket and are not yet in one component.
-
-    Members of one left half are n rows, cut into ceil(n / 1024) blocks, and every pair of
-    blocks is one group of at most about 2,048 rows, so no task holds a bucket.
-    """
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, slot, left, node, component_id) of the buckets that hold several components."""
     labelled = members.join(labels, "node", "left").select(
         "key", "slot", "left", "node", F.coalesce("component_id", "node").alias("component_id")
     )
@@ -356,9 +366,23 @@ def pairs_across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> D
         .where("low < high")
         .select("key")
     )
+    return materialize(labelled.join(mixed, "key"), "open")
+
+
+def pairs_across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Similar pairs that share a bucket and are not yet in one component."""
+    return open_pairs(open_members(members, labels), classes)
+
+
+def open_pairs(opened: DataFrame, classes: DataFrame, closest: bool = False) -> DataFrame:
+    """Similar pairs of different components among `open_members`.
+
+    Members of one left half are n rows, cut into ceil(n / 1024) blocks, and every pair of
+    blocks is one group of at most about 2,048 rows, so no task holds a bucket. With `closest`
+    each row of a block gives at most one pair.
+    """
     open_rows = materialize(
-        labelled.join(mixed, "key").select("slot", "left", "node", "component_id").distinct(),
-        "open",
+        opened.select("slot", "left", "node", "component_id").distinct(), "open-rows"
     )
     sizes = open_rows.groupBy("left").agg(
         F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")
@@ -383,7 +407,7 @@ def pairs_across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> D
     return (
         rows.repartition("left", "low", "high")
         .sortWithinPartitions("left", "low", "high")
-        .mapInPandas(_across_components, "a bigint, b bigint")
+        .mapInPandas(_closest_across if closest else _across_components, "a bigint, b bigint")
         .distinct()
     )
 
@@ -414,10 +438,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(bucket_members(classes), "members")
     links = confirm_pairs(_filter_pairs(best_leaders(members), classes), docs)
     labels = connected_components(links)
-    left = pairs_across(members, classes, labels)
-    more = confirm_pairs(left.join(links, ["a", "b"], "left_anti"), docs)
+    opened = open_members(members, labels)
+    for _ in range(CLOSEST_ROUNDS):
+        more = confirm_pairs(open_pairs(opened, classes, closest=True), docs)
+        if more.isEmpty():
+            break
+        labels = connected_components(_as_links(labels).union(more))
+        # Buckets of one component stay so.
+        opened = open_members(opened.drop("component_id"), labels)
+    more = confirm_pairs(open_pairs(opened, classes), docs)
     labels = connected_components(
-        links.union(more).union(_shared_ids(sketched, classes)).distinct()
+        _as_links(labels).union(more).union(_shared_ids(sketched, classes)).distinct()
     )
     identity = ["set_sum", "set_mix", "n_shingles"]
     named = classes.join(labels, "node", "left").select(
@@ -435,6 +466,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _as_links(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("component_id").alias("a"), F.col("node").alias("b"))
+
+
 def _shared_ids(sketched: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of a doc_id that occurs with several texts."""
     identity = ["set_sum", "set_mix", "n_shingles"]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -364,40 +365,66 @@ def _write_logs(spark: SparkSession, sf_dir: str) -> str:
     """The raw rows as one CSV file per drive, named after it, its rows in order.
 
     Drives with an odd number have their columns in reverse and no road class, as logs of
-    different versions do. A log is one file by definition, so one task writes a drive's.
+    different versions do. A log is one file by definition, so one task writes a drive's. Spark's
+    own writer would make a folder for every file, which then has to be moved.
     """
     rows = raw_rows(spark, sf_dir)
     names = [c for c in rows.columns if c not in ("source_file", "drive_id", "_chunk", "_pos")]
-    staged, folder = _scratch(spark, "staged"), _scratch(spark, "logs")
+    orders = names, [name for name in names[::-1] if name != "UI_roadClass"]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    system = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.mkdirs(hadoop.Path(folder))
-    odd = F.regexp_extract("drive_id", r"(\d+)$", 1).cast("bigint") % 2
-    for variant, order in enumerate((names, [n for n in names[::-1] if n != "UI_roadClass"])):
-        (
-            rows.where(odd == variant)
-            .repartition("drive_id")
-            .sortWithinPartitions("drive_id", "_pos")
-            .select("drive_id", *[F.col(f"`{name}`") for name in order])
-            .write.partitionBy("drive_id")
-            .option("header", True)
-            .option("escape", '"')
-            # Files go to their place when a task ends, not one by one when the job ends.
-            .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-            .csv(f"{staged}/{variant}")
-        )
-    parts = system.globStatus(hadoop.Path(f"{staged}/*/drive_id=*/part-*"))
+    place = hadoop.Path(_scratch(spark, "logs"))
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    folder = system.makeQualified(place).toString().replace("file:/", "file:///", 1)
 
-    def place(part) -> None:
-        drive = part.getPath().getParent().getName().removeprefix("drive_id=")
-        if not system.rename(part.getPath(), hadoop.Path(f"{folder}/{drive}.csv")):
-            raise OSError(f"{part.getPath()} could not be renamed")
+    def line(cells: list[Column]) -> Column:
+        return F.to_csv(F.struct(*cells), {"escape": '"'})
 
-    with ThreadPoolExecutor(16) as pool:
-        list(pool.map(place, parts))
+    odd = F.regexp_extract("drive_id", r"(\d+)$", 1).cast("bigint") % 2
+    ordinary, reverse = (line([F.col(f"`{name}`") for name in order]) for order in orders)
+    heads = [line([F.lit(name).alias(f"_{k}") for k, name in enumerate(order)]) for order in orders]
+    texts = rows.where(odd.isNotNull()).select(
+        "drive_id",
+        "_pos",
+        F.when(odd == 0, heads[0]).otherwise(heads[1]).alias("head"),
+        F.when(odd == 0, ordinary).otherwise(reverse).alias("line"),
+    )
+    in_order = texts.repartition("drive_id").sortWithinPartitions("drive_id", "_pos")
+    written = in_order.select("drive_id", "head", "line").mapInArrow(
+        _file_writer(folder), "files bigint"
+    )
+    written.write.format("noop").mode("overwrite").save()
     return folder
 
 
+def _file_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the lines of each drive to its file, from rows that come by drive.
+
+    A file gets its name when it is whole, so a task that runs again leaves no half of one.
+    """
+
+    def write(batches):
+        system, root = pa_fs.FileSystem.from_uri(folder)
+        part, files = f"{root}/{uuid.uuid4().hex}.part", 0
+        drive = out = None
+        for batch in batches:
+            for name, head, line in zip(*(column.to_pylist() for column in batch.columns)):
+                if name != drive:
+                    if out:
+                        out.close()
+                        system.move(part, f"{root}/{drive}.csv")
+                    drive, files = name, files + 1
+                    out = system.open_output_stream(part, buffer_size=1 << 20)
+                    out.write(f"{head}\n".encode())
+                out.write(f"{line}\n".encode())
+        if out:
+            out.close()
+            system.move(part, f"{root}/{drive}.csv")
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    return write
+
+
 def ingest_csv(spark, sf_dir):
     """Canonical telemetry read back from logs with two kinds of header."""
     rows = read_csv_logs(spark, _write_logs(spark, sf_dir))

@@ -1,8 +1,11 @@
 import csv
+from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import registry
 from wheeltrace.operators.canonical import add_distance_delta, to_telemetry
 from wheeltrace.operators.cleaning import clean, coerce_columns, quality_counts
 from wheeltrace.plans.ingest import compute_metrics, ingest_folder, summarize_ingest
@@ -12,6 +15,7 @@ from wheeltrace.sources.csv_logs import discover_csv_files, read_csv_logs
 from wheeltrace.sources.store import TelemetryStore
 
 EPOCH = 1704067200
+T0 = datetime(2024, 1, 1)
 
 
 def source_row(second, **values):
@@ -322,3 +326,41 @@ def test_timestamps_are_utc(spark, tmp_path):
     _, store = run(spark, logs, tmp_path)
     row = store.telemetry().select(F.unix_micros("timestamp").alias("us")).first()
     assert row.us == EPOCH * 1_000_000 + 250_000
+
+
+def test_odd_lines_are_parsed_once_and_headers_joined_once(spark, tmp_path):
+    """A plan that parses a raw line for every cell, or joins heads and places apart, is slow."""
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [source_row(0), source_row(1)])
+    fewer = [name for name in list(source_row(0))[::-1] if name != "UI_roadClass"]
+    write_log(logs, "b.csv", [source_row(k, More="x") for k in range(2)], ["More", *fewer])
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        rows = coerce_columns(read_csv_logs(spark, str(logs)))
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # Once for the lines, once for their headers.
+    assert plan.count("from_csv(") == 2
+    assert plan.count("Join ") == 1
+    assert {(row.drive_id, row["Time (epoch)"] - EPOCH) for row in rows.collect()} == {
+        ("a", 0.0), ("a", 1.0), ("b", 0.0), ("b", 1.0)
+    }
+
+
+def test_logs_get_their_names_without_being_moved(spark, tmp_path):
+    """The derived logs: one file per drive, nothing staged, rows in order, two headers."""
+    events = [(2, 10, "view"), (1, 10, "click"), (4, 11, None), (3, 11, "view"), (5, None, "view")]
+    spark.createDataFrame(
+        [(n, T0, user, kind, 1.5, '{"k": 7}') for n, user, kind in events],
+        "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    logs = Path(registry._write_logs(spark, str(tmp_path)).removeprefix("file:"))
+    assert sorted(path.name for path in logs.iterdir()) == ["drive_10.csv", "drive_11.csv"]
+    assert not list(logs.parent.glob("staged-*"))
+    even, odd = ([*csv.reader(open(logs / f"drive_{n}.csv"))] for n in (10, 11))
+    assert odd[0] == [name for name in even[0][::-1] if name != "UI_roadClass"]
+    place = even[0].index("veh_odometer (km)")
+    # Event 1 has a copy of its sample.
+    assert [row[place] for row in even[1:]] == ["0.51", "0.51", "1.02"]
+    assert len(odd) == 3

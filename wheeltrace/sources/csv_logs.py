@@ -29,6 +29,8 @@ _FILE_SCHEMA = T.StructType(
 _KNOWN_COLUMNS = (*NUMERIC_SOURCE_COLUMNS, *TEXT_SOURCE_COLUMNS)
 # The raw line of a row whose number of cells differs from the scan's.
 _ODD_LINE = "_odd_line"
+_PARSED = "_parsed"
+_CELLS = "_cells"
 _PLACES = "_places"
 # A byte order mark.
 _MARK = "\ufeff"
@@ -121,12 +123,24 @@ def scan_positions(spark: SparkSession, data_dir: str, width: int) -> DataFrame:
     ).where(F.col("_parent") == re.sub(bare, "", whole)).drop("_parent")
 
 
-def _odd_cells(width: int) -> Column:
-    """The cells of a raw line, as an array of `width`."""
-    names = _cell_columns(width)
+def _with_cells(rows: DataFrame, width: int, widest: int) -> DataFrame:
+    """Add `_cells`: the cells of a line as an array.
+
+    A line with an unusual number of cells is parsed from its raw text, up to `widest` cells. The
+    parsed line is a column of its own, so it is parsed once and not once a cell.
+    """
+    usual = F.array(*_cell_columns(width))
+    if not widest:
+        return rows.withColumn(_CELLS, usual)
+    names = _cell_columns(widest)
     schema = ", ".join(f"{name} string" for name in names)
     parsed = F.from_csv(F.col(_ODD_LINE), schema, _CSV_OPTIONS)
-    return F.array(*[parsed[name] for name in names])
+    odd = F.array(*[F.col(_PARSED)[name] for name in names])
+    return (
+        rows.withColumn(_PARSED, F.when(F.col(_ODD_LINE).isNotNull(), parsed))
+        .withColumn(_CELLS, F.when(F.col(_ODD_LINE).isNull(), usual).otherwise(odd))
+        .drop(_PARSED)
+    )
 
 
 def _places(header: Column) -> Column:
@@ -158,10 +172,8 @@ def header_places(lines: DataFrame, width: int) -> tuple[DataFrame, int]:
     headers = materialize(headers.drop("_file"), "headers")
     commas = F.char_length(_ODD_LINE) - F.char_length(F.replace(_ODD_LINE, F.lit(",")))
     widest = headers.agg(F.max(commas + 1).alias("n")).first().n or 0
-    cells = F.array(*_cell_columns(width))
-    if widest:
-        cells = F.when(F.col(_ODD_LINE).isNull(), cells).otherwise(_odd_cells(widest))
-    return headers.select("source_file", "_head", _places(cells).alias(_PLACES)), widest
+    places = _places(F.col(_CELLS)).alias(_PLACES)
+    return _with_cells(headers, width, widest).select("source_file", "_head", places), widest
 
 
 def read_csv_logs(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -190,29 +202,27 @@ def read_csv_logs(spark: SparkSession, data_dir: str) -> DataFrame:
 
     usual_places = [usual.index(name) if name in usual else -1 for name in _KNOWN_COLUMNS]
     usual_places_column = F.array(*[F.lit(place) for place in usual_places])
-    other = headers.where(F.col(_PLACES) != usual_places_column)
+    unusual = F.col(_PLACES) != usual_places_column
     found = headers.agg(
         *[F.max(F.col(_PLACES)[k]).alias(f"_{k}") for k in range(len(_KNOWN_COLUMNS))],
-        F.count_if(F.col(_PLACES) != usual_places_column).alias("_others"),
+        F.count_if(unusual).alias("_others"),
+        F.count(F.lit(1)).alias("_files"),
     ).first()
     known = [(k, name) for k, name in enumerate(_KNOWN_COLUMNS) if found[f"_{k}"] >= 0]
 
-    # The header is the first line of a file, which is in its first chunk.
-    heads = headers.select("source_file", F.col("_head").alias(POSITION))
-    few = len(headers.select(F.lit(1)).take(BROADCAST_FILES + 1)) <= BROADCAST_FILES
-    rows = lines.join(F.broadcast(heads) if few else heads, ["source_file", POSITION], "left_anti")
+    # One join tells both a file's header line and, where it is unusual, its places.
+    heads = headers.select("source_file", "_head", F.when(unusual, F.col(_PLACES)).alias(_PLACES))
+    few = found["_files"] <= BROADCAST_FILES
+    rows = lines.join(F.broadcast(heads) if few else heads, "source_file", "left").where(
+        F.col("_head").isNull() | (F.col(POSITION) != F.col("_head"))
+    )
     values = {k: F.col(f"_c{p}") if p >= 0 else F.lit(None) for k, p in enumerate(usual_places)}
     if found["_others"]:
-        other = other.select("source_file", _PLACES)
-        rows = rows.join(F.broadcast(other) if few else other, "source_file", "left")
-        cells = F.array(*_cell_columns(width))
-        if widest:
-            cells = F.when(F.col(_ODD_LINE).isNull(), cells).otherwise(_odd_cells(widest))
-        rows = rows.withColumn("_cells", F.when(F.col(_PLACES).isNotNull(), cells))
+        rows = _with_cells(rows, width, widest)
         place = F.col(_PLACES)
         values = {
             k: F.when(place.isNull(), value).otherwise(
-                F.when(place[k] >= 0, F.get("_cells", place[k]))
+                F.when(place[k] >= 0, F.get(_CELLS, place[k]))
             )
             for k, value in values.items()
         }

@@ -17,7 +17,8 @@ from wheeltrace.operators.canonical import to_telemetry
 from wheeltrace.operators.cleaning import clean, coerce_columns
 from wheeltrace.operators.detection import detect_events
 from wheeltrace.operators.metrics import drive_metrics
-from wheeltrace.operators.scale import checkpoint_folder
+from wheeltrace.operators.samples import drive_intervals, prepare_samples
+from wheeltrace.operators.scale import checkpoint_folder, materialize
 from wheeltrace.sources.store import TelemetryStore
 
 # Rows per stretch of a derived "file", the stand-in for a CSV split.
@@ -77,11 +78,13 @@ def coerced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical telemetry, computed from the raw rows."""
-    return to_telemetry(clean(coerced_rows(spark, sf_dir)))
+    # Written, as odometer steps look at the cleaned rows from two sides.
+    return to_telemetry(materialize(clean(coerced_rows(spark, sf_dir)), "clean-rows"))
 
 
 _stores: dict[tuple[str, str], TelemetryStore] = {}
 _written: set[tuple[str, str]] = set()
+_intervals: dict[str, DataFrame] = {}
 
 
 def store(spark: SparkSession, sf_dir: str, *tables: str) -> TelemetryStore:
@@ -106,17 +109,34 @@ def store(spark: SparkSession, sf_dir: str, *tables: str) -> TelemetryStore:
     if tables:
         build("telemetry", lambda: target.write_telemetry(telemetry(spark, sf_dir)))
     if "events" in tables or "metrics" in tables:
-        build("events", lambda: target.write_events(detect_events(target.telemetry())))
+        build("events", lambda: target.write_events(_events(target)))
     if "metrics" in tables:
         build(
             "metrics",
             lambda: target.write_drive_metrics(
-                drive_metrics(target.telemetry(), target.events())
+                drive_metrics(target.telemetry(), target.events(), intervals=_of_drives(target))
             ),
         )
     return target
 
 
+def _of_drives(target: TelemetryStore) -> DataFrame:
+    """Intervals of the drives of a store, one row per drive, for its events and its metrics.
+
+    Repeated samples are gone from the store, so copies need not be combined first.
+    """
+    if target.root not in _intervals:
+        found = drive_intervals(prepare_samples(target.telemetry()), combine_copies=False)
+        _intervals[target.root] = materialize(found, "intervals")
+    return _intervals[target.root]
+
+
+def _events(target: TelemetryStore) -> DataFrame:
+    return detect_events(
+        target.telemetry(), intervals=_of_drives(target), combine_copies=False
+    )
+
+
 def stored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(spark, sf_dir, "telemetry").telemetry()
 

@@ -10,6 +10,7 @@ from wheeltrace.operators.detection import (
     detect_events,
     detect_hard_braking,
     detect_sharp_steering,
+    threshold_runs,
 )
 from wheeltrace.operators.metrics import drive_metrics
 from wheeltrace.operators.samples import drive_intervals, prepare_samples
@@ -197,3 +198,30 @@ def test_intervals_for_any_cell_width(spark):
     loose = drive_intervals(samples, combine_copies=False).collect()
     assert {r.drive_id: r.asDict() for r in loose} == expected
     assert COARSE_CELL_US % FINE_CELL_US == 0 and BASE_US % SECOND == 0
+
+
+def test_only_runs_at_an_edge_and_keys_travel_again(spark, tmp_path):
+    """Whole runs are shuffled into fine cells and to their numbers, nowhere else."""
+    frame = telemetry_frame(spark, random_rows(5))
+    shared = drive_intervals(prepare_samples(frame), combine_copies=False)
+    plan = detect_events(frame, intervals=shared, combine_copies=False)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    # The runs are read from written tables; what joins them is their number.
+    assert "windowspecdefinition(drive_id" not in text and text.count("Join Inner") == 2
+    samples = prepare_samples(frame, tuple(rule.column for rule in DEFAULT_RULES))
+    inside, wider = threshold_runs(samples, DEFAULT_RULES, combine_copies=False)
+    assert inside.count() > 0 and wider.count() > 0
+    edge = 500_000
+    for row in inside.select("first.moment_us", F.col("last.moment_us").alias("end")).collect():
+        assert row.moment_us % FINE_CELL_US > edge and -row.end % FINE_CELL_US > edge
+
+
+@pytest.mark.parametrize("widths", [(FINE_CELL_US, COARSE_CELL_US), (5 * SECOND, 15 * SECOND)])
+def test_copies_need_not_be_combined(spark, widths):
+    frame = telemetry_frame(spark, random_rows(6, hot=200))
+    frame = frame.unionByName(frame.where("drive_id = 'a'"))
+    found = [
+        sorted(map(tuple, detect_events(frame, DEFAULT_RULES, *widths, combine_copies=way).collect()))
+        for way in (True, False)
+    ]
+    assert found[0] and str(found[0]) == str(found[1])

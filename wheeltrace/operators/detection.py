@@ -22,7 +22,7 @@ from wheeltrace.config import (
 )
 from wheeltrace.functions.scalars import cell_start, event_id, severity_label, severity_score
 from wheeltrace.operators.samples import drive_intervals, prepare_samples
-from wheeltrace.operators.scale import running_total, salted_join
+from wheeltrace.operators.scale import materialize, running_total, salted_join
 from wheeltrace.schemas import EVENT_COLUMNS
 
 _KEYS = ["drive_id", "event_type"]
@@ -65,9 +65,9 @@ def candidate_samples(samples: DataFrame, rules: Sequence[EventRule]) -> DataFra
                 ),
             )
         )
-    sample = F.struct(
-        "moment_us", "source_file", "speed_kph", "road_class", "rainy", "snowy"
-    )
+    first = F.struct("moment_us", "source_file", "speed_kph", "road_class", "rainy", "snowy")
+    # An event takes only time and speed from its last sample.
+    last = F.struct("moment_us", "source_file", "speed_kph")
     return (
         samples.where(some_match)
         .withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
@@ -75,8 +75,8 @@ def candidate_samples(samples: DataFrame, rules: Sequence[EventRule]) -> DataFra
             "drive_id",
             F.col("_hit.event_type").alias("event_type"),
             "moment_us",
-            sample.alias("first"),
-            sample.alias("last"),
+            first.alias("first"),
+            last.alias("last"),
             # Of equally strong samples the earliest gives the peak.
             F.struct(
                 F.col("_hit.strength").alias("strength"),
@@ -128,20 +128,31 @@ def threshold_runs(
     rules: Sequence[EventRule],
     fine_us: int = FINE_CELL_US,
     coarse_us: int = COARSE_CELL_US,
-) -> DataFrame:
-    """Maximal runs of matching samples no more than the cooldown apart.
+    combine_copies: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Maximal runs of matching samples no more than the cooldown apart, in two frames.
 
     Built in steps of bounded width: equal instants, fine cells, coarse cells,
-    drives. Only runs that touch a cell's edge go on to the wider step together,
-    at most two per cell, so no task ever sees a whole drive's samples.
+    drives. Runs are written after the fine cells. Only those that touch a cell's
+    edge, at most two per cell, go on to the wider steps, so no task ever sees a
+    whole drive's samples and the other runs are not shuffled again: they are the
+    first frame, those of the wider steps the second.
     `coarse_us` must be a multiple of `fine_us`.
+
+    `combine_copies` merges samples of one instant first, as in `sample_intervals`;
+    it changes no result.
     """
     if coarse_us % fine_us or fine_us <= 2 * EVENT_COOLDOWN_US:
         raise ValueError("cells must nest and be wider than two cooldowns")
-    runs = candidate_samples(samples, rules).groupBy(*_KEYS, "moment_us").agg(*_merged())
-    runs = _join_runs(runs, F.lit(True), fine_us)
-    runs = _join_runs(runs, _touches_edge(fine_us), coarse_us)
-    return _join_runs(runs, _touches_edge(coarse_us), None)
+    runs = candidate_samples(samples, rules)
+    if combine_copies:
+        runs = runs.groupBy(*_KEYS, "moment_us").agg(*_merged())
+    columns = [*_KEYS, *_MERGE]
+    runs = materialize(_join_runs(runs, F.lit(True), fine_us).select(*columns), "runs")
+    touching = _touches_edge(fine_us)
+    wider = _join_runs(runs.where(touching), F.lit(True), coarse_us)
+    wider = _join_runs(wider, _touches_edge(coarse_us), None).select(*columns)
+    return runs.where(~touching), wider
 
 
 def _possible_matches(telemetry: DataFrame, rules: Sequence[EventRule]) -> DataFrame:
@@ -160,6 +171,40 @@ def _possible_matches(telemetry: DataFrame, rules: Sequence[EventRule]) -> DataF
     return telemetry.where(possible)
 
 
+def _qualifying(runs: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Keys and `_start_us` of the runs that last long enough to be events.
+
+    The test needs a few columns only, so whole runs need not travel to it.
+    """
+    length = F.col("last.moment_us") - F.col("first.moment_us")
+    keys = runs.select(
+        *_KEYS,
+        F.col("first.moment_us").alias("_start_us"),
+        (F.col("samples") == 1).alias("_single"),
+        (length >= MIN_EVENT_DURATION_US).alias("_long"),
+    ).where("_single OR _long")
+    gate = intervals.select("drive_id", "single_sample_counts")
+    # A drive with most of the fleet's events must not end up in one join task.
+    joined = salted_join(keys, gate, ["drive_id"], ["event_type", "_start_us"])
+    return joined.where("NOT _single OR single_sample_counts").select(*_KEYS, "_start_us")
+
+
+def _runs_and_intervals(
+    telemetry: DataFrame,
+    rules: Sequence[EventRule],
+    fine_us: int,
+    coarse_us: int,
+    intervals: DataFrame | None,
+    combine_copies: bool,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The two frames of runs, and the intervals unless given."""
+    measures = tuple(rule.column for rule in rules)
+    if intervals is None:
+        intervals = drive_intervals(prepare_samples(telemetry), fine_us, combine_copies)
+    samples = prepare_samples(_possible_matches(telemetry, rules), measures)
+    return (*threshold_runs(samples, rules, fine_us, coarse_us, combine_copies), intervals)
+
+
 def qualifying_runs(
     telemetry: DataFrame,
     rules: Sequence[EventRule],
@@ -167,26 +212,15 @@ def qualifying_runs(
     coarse_us: int = COARSE_CELL_US,
     intervals: DataFrame | None = None,
 ) -> DataFrame:
-    """Runs that last long enough to be events.
+    """`drive_id`, `event_type` and `_start_us` of runs that last long enough to be events.
 
     A run of a single sample lasts the drive's median sample interval instead of
     zero; `intervals` takes a result of `drive_intervals` to use again.
     """
-    measures = tuple(rule.column for rule in rules)
-    if intervals is None:
-        intervals = drive_intervals(prepare_samples(telemetry), fine_us)
-    gate = intervals.select("drive_id", "single_sample_counts")
-    samples = prepare_samples(_possible_matches(telemetry, rules), measures)
-    runs = threshold_runs(samples, rules, fine_us, coarse_us).select(
-        *_KEYS, *_MERGE, F.col("first.moment_us").alias("_start_us")
+    inside, wider, intervals = _runs_and_intervals(
+        telemetry, rules, fine_us, coarse_us, intervals, True
     )
-    length = F.col("last.moment_us") - F.col("first.moment_us")
-    long_enough = F.when(
-        F.col("samples") == 1, F.coalesce("single_sample_counts", F.lit(False))
-    ).otherwise(length >= MIN_EVENT_DURATION_US)
-    # A drive with most of the fleet's events must not end up in one join task.
-    joined = salted_join(runs, gate, ["drive_id"], ["event_type", "_start_us"])
-    return joined.where(long_enough).drop("single_sample_counts")
+    return _qualifying(inside.unionByName(wider), intervals)
 
 
 def _rule_value(rules: Sequence[EventRule], attribute: str) -> Column:
@@ -200,20 +234,27 @@ def detect_events(
     fine_us: int = FINE_CELL_US,
     coarse_us: int = COARSE_CELL_US,
     intervals: DataFrame | None = None,
+    combine_copies: bool = True,
 ) -> DataFrame:
     """Events of all rules in one pass, in the `driving_events` columns.
 
     The number in `event_id` counts the events of a type across all drives, in
-    drive and time order.
+    drive and time order. Only the runs' keys are tested and numbered; the runs
+    then look up their number, which no two of them share.
     """
-    runs = qualifying_runs(telemetry, rules, fine_us, coarse_us, intervals)
-    numbered = running_total(
-        runs,
+    inside, wider, intervals = _runs_and_intervals(
+        telemetry, rules, fine_us, coarse_us, intervals, combine_copies
+    )
+    runs = inside.unionByName(materialize(wider, "wider-runs"))
+    numbers = running_total(
+        _qualifying(runs, intervals),
         ["event_type"],
         ["drive_id", "_start_us"],
         F.lit(1).cast("bigint"),
         "_ordinal",
     )
+    start = F.col("first.moment_us").alias("_start_us")
+    numbered = runs.select("*", start).join(numbers, [*_KEYS, "_start_us"])
     peak = F.col("peak.value")
     score = severity_score(
         peak, _rule_value(rules, "threshold"), _rule_value(rules, "severe_reference")

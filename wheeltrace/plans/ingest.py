@@ -146,9 +146,9 @@ def compute_metrics(
 ) -> MetricsResult:
     """Events, drive metrics and fleet metrics of a telemetry table.
 
-    Reads the store's telemetry unless given a frame. `combine_copies=False` saves a shuffle
-    where no drive has two samples of one instant, as in what the ingest job stores. With `persist` the tables
-    are written, and the result reads the written tables.
+    Reads the store's telemetry unless given a frame. `combine_copies=False` saves two shuffles
+    where a drive has few samples of one instant, as in what the ingest job stores. With `persist`
+    the tables are written, and the result reads the written tables.
     """
     source = store.telemetry() if telemetry is None else telemetry
     # One row per drive, used by both steps.
@@ -156,7 +156,7 @@ def compute_metrics(
         drive_intervals(prepare_samples(source), combine_copies=combine_copies),
         "intervals",
     )
-    events = detect_events(source, intervals=intervals)
+    events = detect_events(source, intervals=intervals, combine_copies=combine_copies)
     if persist:
         # Metrics count the written events instead of detecting them again.
         store.write_events(events)

@@ -43,8 +43,23 @@ def _merged() -> list[Column]:
     return [function(name).alias(name) for name, function in _MERGE.items()]
 
 
+def _merged_samples() -> list[Column]:
+    """The same from candidate samples, which travel as plain columns, at half the width."""
+    values = {
+        "first": F.struct("moment_us", "source_file", "speed_kph", "road_class", "rainy", "snowy"),
+        # An event takes only time and speed from its last sample.
+        "last": F.struct("moment_us", "source_file", "speed_kph"),
+        # Of equally strong samples the earliest gives the peak.
+        "peak": F.struct("strength", (-F.col("moment_us")).alias("earliest"), "value"),
+        "samples": F.lit(1).cast("bigint"),
+        "active": F.col("is_active").cast("bigint"),
+        "distance_km": F.col("distance_delta_km"),
+    }
+    return [function(values[name]).alias(name) for name, function in _MERGE.items()]
+
+
 def candidate_samples(samples: DataFrame, rules: Sequence[EventRule]) -> DataFrame:
-    """One row per sample and rule it matches, already in run form.
+    """One row per sample and rule it matches.
 
     The rules become an exploded array, not a union, so the samples are read
     once; samples that match none are dropped in the scan's stage.
@@ -65,9 +80,6 @@ def candidate_samples(samples: DataFrame, rules: Sequence[EventRule]) -> DataFra
                 ),
             )
         )
-    first = F.struct("moment_us", "source_file", "speed_kph", "road_class", "rainy", "snowy")
-    # An event takes only time and speed from its last sample.
-    last = F.struct("moment_us", "source_file", "speed_kph")
     return (
         samples.where(some_match)
         .withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
@@ -75,21 +87,34 @@ def candidate_samples(samples: DataFrame, rules: Sequence[EventRule]) -> DataFra
             "drive_id",
             F.col("_hit.event_type").alias("event_type"),
             "moment_us",
-            first.alias("first"),
-            last.alias("last"),
-            # Of equally strong samples the earliest gives the peak.
-            F.struct(
-                F.col("_hit.strength").alias("strength"),
-                (-F.col("moment_us")).alias("earliest"),
-                F.col("_hit.value").alias("value"),
-            ).alias("peak"),
-            F.lit(1).cast("bigint").alias("samples"),
-            F.col("is_active").cast("bigint").alias("active"),
-            F.col("distance_delta_km").alias("distance_km"),
+            "source_file",
+            "speed_kph",
+            "road_class",
+            "rainy",
+            "snowy",
+            F.col("_hit.strength").alias("strength"),
+            F.col("_hit.value").alias("value"),
+            "is_active",
+            "distance_delta_km",
         )
     )
 
 
+def _join_samples(candidates: DataFrame, width_us: int) -> DataFrame:
+    """Runs of samples that lie within the cooldown of each other inside a cell."""
+    keys = [*_KEYS, "_cell"]
+    in_cell = Window.partitionBy(*keys).orderBy("moment_us")
+    up_to_here = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.col("moment_us") - F.lag("moment_us").over(in_cell)
+    return (
+        candidates.withColumn("_cell", cell_start(F.col("moment_us"), width_us))
+        .withColumn("_new", F.when(gap <= EVENT_COOLDOWN_US, 0).otherwise(1))
+        .withColumn("_run", F.sum("_new").over(up_to_here))
+        .groupBy(*keys, "_run")
+        .agg(*_merged_samples())
+    )
+
+
 def _join_runs(runs: DataFrame, open_runs: Column, width_us: int | None) -> DataFrame:
     """Merge runs that lie within the cooldown of each other inside a cell.
 
@@ -144,11 +169,14 @@ def threshold_runs(
     """
     if coarse_us % fine_us or fine_us <= 2 * EVENT_COOLDOWN_US:
         raise ValueError("cells must nest and be wider than two cooldowns")
-    runs = candidate_samples(samples, rules)
+    candidates = candidate_samples(samples, rules)
     if combine_copies:
-        runs = runs.groupBy(*_KEYS, "moment_us").agg(*_merged())
+        instants = candidates.groupBy(*_KEYS, "moment_us").agg(*_merged_samples())
+        runs = _join_runs(instants, F.lit(True), fine_us)
+    else:
+        runs = _join_samples(candidates, fine_us)
     columns = [*_KEYS, *_MERGE]
-    runs = materialize(_join_runs(runs, F.lit(True), fine_us).select(*columns), "runs")
+    runs = materialize(runs.select(*columns), "runs")
     touching = _touches_edge(fine_us)
     wider = _join_runs(runs.where(touching), F.lit(True), coarse_us)
     wider = _join_runs(wider, _touches_edge(coarse_us), None).select(*columns)

@@ -10,6 +10,7 @@ from wheeltrace.operators.canonical import add_distance_delta, to_telemetry
 from wheeltrace.operators.cleaning import clean, coerce_columns, quality_counts
 from wheeltrace.plans.ingest import compute_metrics, ingest_folder, summarize_ingest
 from wheeltrace.schemas import REQUIRED_SOURCE_COLUMNS, TELEMETRY_COLUMNS
+from wheeltrace.plans import ingest
 from wheeltrace.sources import csv_logs
 from wheeltrace.sources.csv_logs import discover_csv_files, read_csv_logs
 from wheeltrace.sources.store import TelemetryStore
@@ -234,6 +235,44 @@ def test_raw_rows_are_shuffled_once(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_long_stages_are_compiled(spark, tmp_path):
+    """Methods above 8,000 bytes are interpreted; such stages generate code by operator."""
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [source_row(0), source_row(1)])
+    name = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(name)
+    rows = read_csv_logs(spark, str(logs))
+    assert int(spark.conf.get(name)) <= 8000
+    assert rows.count() == 2
+
+
+def test_ingest_lists_the_folder_twice(spark, tmp_path, monkeypatch):
+    """Once for the files, once for their lines."""
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [source_row(0), source_row(1)])
+    listings = []
+    for module, name in (
+        (ingest, "discover_csv_files"),
+        (csv_logs, "discover_csv_files"),
+        (csv_logs, "_text_lines"),
+    ):
+        listed = getattr(module, name)
+        monkeypatch.setattr(
+            module, name, lambda *given, listed=listed: listings.append(1) or listed(*given)
+        )
+    result, _ = run(spark, logs, tmp_path)
+    assert (result.rows_ingested, len(listings)) == (2, 2)
+
+
+def test_blank_lines_and_control_characters(spark, tmp_path):
+    """Lines of white space and control characters are blank, also before the header."""
+    logs = tmp_path / "logs"
+    write_log(logs, "a.csv", [source_row(0), source_row(1)])
+    text = (logs / "a.csv").read_text()
+    (logs / "a.csv").write_text("\t \n\n" + text + " \x01\t\n\n")
+    assert read_csv_logs(spark, str(logs)).count() == 2
+
+
 def test_header_without_rows(spark, tmp_path):
     logs = tmp_path / "logs"
     write_log(logs, "a.csv", [], list(REQUIRED_SOURCE_COLUMNS))

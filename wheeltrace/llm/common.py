@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wheeltrace.operators.scale import known_small  # noqa: F401
+
 # Texts are handled in slices of about this many characters, so that the memory of a task
 # depends on the longest single text and not on the size of a batch or partition.
 SLICE_CHARS = 1 << 20
@@ -110,12 +112,6 @@ def word_lists(texts, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return pd.util.hash_array(distinct, categorize=False)[codes], counts
 
 
-def known_small(frame: DataFrame, rows: int) -> DataFrame:
-    """Mark a written frame for broadcast if it has at most `rows` rows, else leave it."""
-    few = len(frame.select(F.lit(1)).take(rows + 1)) <= rows
-    return F.broadcast(frame) if few else frame
-
-
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where a public tokenizer's file is."""
     import public_tokenizers

@@ -35,6 +35,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+# The JVM interprets longer methods instead of compiling them.
+COMPILED_METHOD_BYTES = 8000
+
+
+def compiled_stages(spark: SparkSession) -> None:
+    """Have Spark generate only code that the JVM compiles, in this session.
+
+    A stage of many columns makes one method; beyond this length each row is interpreted, at
+    several times the cost. Spark then generates code by operator, in short methods.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > COMPILED_METHOD_BYTES:
+        spark.conf.set(name, str(COMPILED_METHOD_BYTES))
+
+
 def materialize(frame: DataFrame, label: str) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
@@ -47,6 +62,12 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def known_small(frame: DataFrame, rows: int) -> DataFrame:
+    """Mark a written frame for broadcast if it has at most `rows` rows, else leave it."""
+    few = len(frame.select(F.lit(1)).take(rows + 1)) <= rows
+    return F.broadcast(frame) if few else frame
+
+
 def stored_order(frame: DataFrame) -> DataFrame:
     """A frame read from files, its rows in the order in which Spark wrote them.
 

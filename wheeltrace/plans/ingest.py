@@ -64,7 +64,7 @@ def ingest_folder(spark: SparkSession, data_dir: str, store: TelemetryStore) ->
         warning = f"No CSV files found in {data_dir}."
         return IngestResult(empty, files, 0, 0, 0, 0, 0, (warning,))
 
-    raw = read_csv_logs(spark, data_dir)
+    raw = read_csv_logs(spark, data_dir, files)
     if missing_source_columns(raw.columns) and raw.isEmpty():
         telemetry = spark.createDataFrame([], TELEMETRY_SCHEMA)
         ingested = dropped = duplicates = 0

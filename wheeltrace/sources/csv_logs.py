@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wheeltrace.operators.scale import materialize
+from wheeltrace.operators.scale import compiled_stages, known_small, materialize
 from wheeltrace.schemas import (
     CHUNK,
     LINEAGE_COLUMNS,
@@ -89,22 +89,28 @@ def _cell_columns(count: int) -> list[str]:
     return [f"_c{k}" for k in range(count)]
 
 
-def scan_positions(spark: SparkSession, data_dir: str, width: int) -> DataFrame:
+def _text_lines(spark: SparkSession, data_dir: str) -> DataFrame:
+    """All lines of a folder's logs as text. The folder is listed here, once per frame."""
+    whole = _whole_path(spark, data_dir)
+    return spark.read.options(**_ONLY_CSV).text(_literal_path(whole))
+
+
+def scan_positions(
+    spark: SparkSession, data_dir: str, width: int, text: DataFrame | None = None
+) -> DataFrame:
     """All lines of a folder's logs in one scan: file, chunk, position, cells by position.
 
     `width` is the number of cells most lines have. A line with another number keeps its raw
-    text in `_odd_line`. Header lines are among the rows. The position must be taken on the
-    scan itself; `multiLine` stays off so that large files are split; a split is one `_chunk`.
+    text in `_odd_line`. Header lines are among the rows, blank lines are not. The position must
+    be taken on the scan itself; large files are split; a split is one `_chunk`. Lines are read
+    as text and parsed by `from_csv`, as Spark's CSV scan sets up a parser for every file. `text`
+    are the folder's lines where the caller has listed them.
     """
     whole = _whole_path(spark, data_dir)
-    cells = _cell_columns(width)
-    fields = [T.StructField(name, T.StringType()) for name in (*cells, _ODD_LINE)]
-    rows = (
-        spark.read.schema(T.StructType(fields))
-        .options(**_CSV_OPTIONS, **_ONLY_CSV)
-        .option("columnNameOfCorruptRecord", _ODD_LINE)
-        .csv(_literal_path(whole))
-    )
+    names = [*_cell_columns(width), _ODD_LINE]
+    schema = ", ".join(f"{name} string" for name in names)
+    options = {**_CSV_OPTIONS, "columnNameOfCorruptRecord": _ODD_LINE}
+    rows = _text_lines(spark, data_dir) if text is None else text
 
     def decoded(name: str) -> Column:
         # Metadata names are URL-encoded, and a plus sign in them is just a plus.
@@ -113,14 +119,20 @@ def scan_positions(spark: SparkSession, data_dir: str, width: int) -> DataFrame:
     # A folder called x=1 or x.csv may be listed too; its files are not directly in data_dir.
     bare = r"^[A-Za-z0-9+.-]+:/*"
     parent = F.regexp_replace(F.regexp_replace(decoded("file_path"), bare, ""), "/[^/]*$", "")
-    return rows.select(
+    placed = rows.select(
         decoded("file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias(CHUNK),
         F.monotonically_increasing_id().alias(POSITION),
         parent.alias("_parent"),
-        *cells,
-        _ODD_LINE,
-    ).where(F.col("_parent") == re.sub(bare, "", whole)).drop("_parent")
+        "value",
+    )
+    # A line of white space and control characters alone is blank to a CSV scan.
+    own = placed.where(
+        (F.col("_parent") == re.sub(bare, "", whole)) & F.col("value").rlike(r"[^\x00-\x20]")
+    )
+    return own.withColumn(_PARSED, F.from_csv("value", schema, options)).select(
+        "source_file", CHUNK, POSITION, *[F.col(_PARSED)[name].alias(name) for name in names]
+    )
 
 
 def _with_cells(rows: DataFrame, width: int, widest: int) -> DataFrame:
@@ -166,6 +178,8 @@ def header_places(lines: DataFrame, width: int) -> tuple[DataFrame, int]:
         .agg(F.min(POSITION).alias("_head"))
         .withColumnRenamed("source_file", "_file")
     )
+    # Written and counted first: only as a known small side it spares lines the shuffle.
+    heads = known_small(materialize(heads, "heads"), BROADCAST_FILES)
     headers = lines.where(F.col(CHUNK) == 0).join(
         heads, (F.col("source_file") == F.col("_file")) & (F.col(POSITION) == F.col("_head"))
     )
@@ -176,9 +190,11 @@ def header_places(lines: DataFrame, width: int) -> tuple[DataFrame, int]:
     return _with_cells(headers, width, widest).select("source_file", "_head", places), widest
 
 
-def read_csv_logs(spark: SparkSession, data_dir: str) -> DataFrame:
+def read_csv_logs(spark: SparkSession, data_dir: str, files: DataFrame | None = None) -> DataFrame:
     """All rows of a folder's logs, matched by column name, whatever the headers.
 
+    `files` are the folder's files, at least one, where the caller has discovered them.
+
     The text is read once, by position, and written to the shared folder. A file's header
     then tells which position holds which column. Files whose columns stand where they do in
     the first header seen need nothing else; the places of the others are joined by file.
@@ -187,17 +203,16 @@ def read_csv_logs(spark: SparkSession, data_dir: str) -> DataFrame:
     names = [T.StructField(name, T.StringType()) for name in ("source_file", "drive_id")]
     numbers = [T.StructField(name, T.LongType()) for name in (CHUNK, POSITION)]
     empty = spark.createDataFrame([], T.StructType(names + numbers))
-    files = discover_csv_files(spark, data_dir)
-    if files.isEmpty():
+    if files is None and discover_csv_files(spark, data_dir).isEmpty():
         return empty
-    whole = _literal_path(_whole_path(spark, data_dir))
-    text = spark.read.options(**_ONLY_CSV).text(whole)
+    compiled_stages(spark)
+    text = _text_lines(spark, data_dir)
     first = text.where(F.trim("value") != "").take(1)
     if not first:
         return empty
     usual = _header_cells(first[0].value.lstrip())
     width = len(usual)
-    lines = materialize(scan_positions(spark, data_dir, width), "lines")
+    lines = materialize(scan_positions(spark, data_dir, width, text), "lines")
     headers, widest = header_places(lines, width)
 
     usual_places = [usual.index(name) if name in usual else -1 for name in _KNOWN_COLUMNS]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from wheeltrace.llm.common import map_with_ids, text_slices
-from wheeltrace.llm.tokens import word_encoder
+from wheeltrace.llm.tokens import CACHED_WORDS, word_encoder
 
 WINDOW = 2048
 END_OF_DOCUMENT = 1
@@ -35,6 +35,9 @@ FREE_LENGTHS = (512, 1024)
 SHORT_PENALTY = 16
 # The window that a stretch leaves open is closed after this many tokens.
 STRETCH_TOKENS = 1 << 18
+# Texts are tokenized in slices of this many characters for each word that a worker may keep: a
+# word that comes again in its slice is looked up once.
+SLICE_CHARS_A_WORD = 10
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -114,9 +117,9 @@ def _sentence_enders(tokenizer_path: str) -> np.ndarray:
     return enders
 
 
-def _pack(tokenizer_path: str, window: int):
+def _pack(tokenizer_path: str, window: int, cached_words: int = CACHED_WORDS):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, enders = word_encoder(tokenizer_path), _sentence_enders(tokenizer_path)
+        encode, enders = word_encoder(tokenizer_path, cached_words), _sentence_enders(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
         # Open stretch: token arrays and, per document part, (doc_id, start, tokens, length).
         stretch: list[np.ndarray] = []
@@ -176,7 +179,7 @@ def _pack(tokenizer_path: str, window: int):
 
         for batch in batches:
             numbers = batch["doc_id"].tolist()
-            for part in text_slices(batch["text"]):
+            for part in text_slices(batch["text"], SLICE_CHARS_A_WORD * cached_words):
                 ids, counts = encode(batch["text"].iloc[part].tolist())
                 begin = 0
                 for doc_id, n in zip(numbers[part], counts.tolist(), strict=True):
@@ -193,13 +196,16 @@ def _pack(tokenizer_path: str, window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, cached_words: int = CACHED_WORDS
+) -> DataFrame:
     """One row per piece of a document of `docs` (doc_id, text), see SCHEMA.
 
     A document's ids are those of its text without special tokens, then END_OF_DOCUMENT. Null
     and empty texts are that one id. Documents are packed in the order of the rows, repeated
     rows one by one, also with a null doc_id. Sequences are numbered from the partition number
     times 2^40. `closed_by` tells what the window of the piece ends with: document, sentence
-    or split. An empty table gives an empty result; other columns are ignored.
+    or split. An empty table gives an empty result; other columns are ignored. A Python worker keeps
+    the ids of at most `cached_words` words, some 700 bytes each, also between its tasks.
     """
-    return map_with_ids(docs, ["text"], _pack(tokenizer_path, window), SCHEMA)
+    return map_with_ids(docs, ["text"], _pack(tokenizer_path, window, cached_words), SCHEMA)

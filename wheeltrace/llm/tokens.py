@@ -9,12 +9,9 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from wheeltrace.llm.common import utf8
-
 # Words remembered by a Python worker, about 700 bytes each; then it starts afresh.
 CACHED_WORDS = 800_000
 
@@ -55,6 +52,7 @@ class _Words:
     """Ids of the words met so far, and of the pieces they consist of."""
 
     def __init__(self, path: str):
+        self.most = CACHED_WORDS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -127,7 +125,7 @@ class _Words:
         """Numbers of distinct words."""
         found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         if (found < 0).any():
-            if len(self.known) + len(words) > CACHED_WORDS:
+            if len(self.known) + len(words) > self.most:
                 self.forget()
                 found[:] = -1
             missing = found < 0
@@ -145,26 +143,40 @@ def _worker_words(path: str) -> _Words:
     return kept.words
 
 
-def word_encoder(tokenizer_path: str) -> Callable[[list], tuple[np.ndarray, np.ndarray]]:
+def _split(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of all texts the place among the distinct ones, those, and words per text.
+
+    Arrow splits at ASCII white space, as bytes.split() does, but leaves empty words at the
+    ends of a text; only distinct words become Python objects.
+    """
+    whole = [text if isinstance(text, str) else "" for text in texts]
+    parts = pc.ascii_split_whitespace(pa.array(whole, pa.large_string()))
+    words = parts.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    coded = words.filter(real).dictionary_encode()
+    distinct = np.empty(len(coded.dictionary), object)
+    distinct[:] = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    return coded.indices.to_numpy(), distinct, np.diff(before[ends], prepend=0)
+
+
+def word_encoder(
+    tokenizer_path: str, cached_words: int = CACHED_WORDS
+) -> Callable[[list], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (ids of all texts, number of ids per text).
 
     The tokenizer drops white space and never merges across it, so each word is encoded
-    when the worker first meets it, and its ids are put in place by position.
+    when the worker first meets it, and its ids are put in place by position. The worker keeps
+    at most `cached_words` words, or those of one call, from task to task.
     """
     known = _worker_words(tokenizer_path)
+    known.most = cached_words
 
     def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for row, text in enumerate(texts):
-            own = utf8(text).split()
-            counts[row] = len(own)
-            words += own
-        if not words:
+        codes, distinct, counts = _split(texts)
+        if not len(codes):
             return np.zeros(0, np.uint32), counts
-        held = np.empty(len(words), object)
-        held[:] = words
-        codes, distinct = pd.factorize(held)
         numbers = known.indices(distinct)[codes]
         ids, ends = known.word_ids.gather(numbers)
         last = np.cumsum(counts)

@@ -14,6 +14,10 @@ from wheeltrace.llm import minhash, mixing, packing, pii, quality_rules
 from wheeltrace.llm.common import known_small, small_batches, table, tokenizer_path
 from wheeltrace.operators.scale import materialize, stored_order
 
+# A worker lives on with its words beside the stages of the next run, so it keeps some 100 MB of
+# them and not the 560 of packing alone.
+CACHED_WORDS = 150_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail the base rules nor come from a rejected host.
@@ -85,7 +89,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are one token; repeated rows are packed one by one; empty stays empty.
     """
     small_batches(spark)
-    return packing.pack(stored_order(docs), tokenizer_path())
+    return packing.pack(stored_order(docs), tokenizer_path(), cached_words=CACHED_WORDS)
 
 
 STAGES = [

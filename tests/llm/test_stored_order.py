@@ -1,13 +1,17 @@
 """The order of the mixture survives storing: packing numbers its sequences along it."""
 
 import random
+import sys
 from pathlib import Path
+from types import SimpleNamespace
 from urllib.parse import urlparse
 
 import corpus_pipeline
+import pandas as pd
 from pyspark.sql import functions as F
 
-from wheeltrace.llm import mixing
+from wheeltrace.llm import mixing, packing, tokens
+from wheeltrace.llm.common import tokenizer_path
 from wheeltrace.operators.scale import materialize
 
 
@@ -42,3 +46,49 @@ def test_parts_are_ordered_by_number(spark, tmp_path):
     found = stored_order(spark.read.parquet(str(tmp_path / "all")))
     rows = found.withColumn("task", F.spark_partition_id()).collect()
     assert [r.id for r in sorted(rows, key=lambda r: r.task)] == [99999, 100000, 100001, 100000, 100001, 100002]
+
+
+def test_pipeline_workers_keep_few_words(monkeypatch):
+    """What a worker keeps from task to task, and a slice it handles, follow the given limit."""
+    path = tokenizer_path()
+    monkeypatch.delitem(sys.modules, "_words_of_worker", raising=False)
+    encode = tokens.word_encoder(path, 50)
+    texts = [" ".join(f"a{k}b" for k in range(n, n + 40)) for n in range(0, 400, 40)]
+    few = [encode([text])[0].tolist() for text in texts]
+    kept = sys.modules["_words_of_worker"].words
+    assert len(kept.known) <= 50
+    encode = tokens.word_encoder(path)
+    assert [encode([text])[0].tolist() for text in texts] == few
+    assert len(kept.known) == 400
+    assert corpus_pipeline.CACHED_WORDS * 700 < 1.1e8
+
+
+def test_packing_slices_follow_the_cached_words(monkeypatch):
+    """More characters in a slice for packing alone, where a worker may keep more words."""
+    limits = []
+    slices = packing.text_slices
+    monkeypatch.setattr(
+        packing, "text_slices", lambda texts, limit=None: limits.append(limit) or slices(texts, limit)
+    )
+    monkeypatch.setattr(
+        packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+    )
+    rows = pd.DataFrame({"doc_id": ["1", "2", "3"], "text": ["One. Two three.", None, "Four"]})
+    found = []
+    for words in (1, 800_000):
+        found.append(pd.concat(packing._pack(tokenizer_path(), 2048, words)(iter([rows]))))
+    assert limits == [10, 8_000_000]
+    assert found[0].equals(found[1])
+
+
+def test_words_split_as_bytes_do():
+    """Words per text and their order, also with empty, null and padded texts."""
+    draw = random.Random(5)
+    signs = " \t\n\x0b\x0c\r\x1c\x1f\x00\x85\xa0\u2003aé."
+    texts = ["", None, " ", "a", " a  b "]
+    texts += ["".join(draw.choices(signs, k=draw.randrange(12))) for _ in range(400)]
+    codes, distinct, counts = tokens._split(texts)
+    own = [(text or "").encode().split() for text in texts]
+    assert counts.tolist() == [len(words) for words in own]
+    assert distinct[codes].tolist() == [word for words in own for word in words]
+    assert tokens._split([])[2].tolist() == tokens._split([None])[2].tolist()[1:] == []

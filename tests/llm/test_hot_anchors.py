@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -106,3 +107,18 @@ def test_short_stretches_and_memory(monkeypatch, stretch, remembered, hot):
         expected |= {(doc_id, k) for k, string in enumerate(strings) if string in seen}
         seen.update(strings)
     assert starts == expected
+
+
+def test_names_are_ranks_of_tuples():
+    """Also where the parts of a tuple do not fit into one number."""
+    draw = np.random.default_rng(2)
+    wide = draw.integers(0, 1 << 64, 50, dtype=np.uint64)[draw.integers(0, 50, 3000)]
+    small = draw.integers(0, 3, 3000)
+    middle = draw.integers(0, 1 << 30, 40)[draw.integers(0, 40, 3000)]
+    for keys in ((small,), (wide, small), (middle, middle[::-1], middle, small), (wide,) * 4):
+        tuples = list(zip(*(key.tolist() for key in keys)))
+        ranks = {own: rank for rank, own in enumerate(sorted(set(tuples)))}
+        assert suffix_dedup._names(*keys).tolist() == [ranks[own] for own in tuples]
+        # One number is sorted at a time, which numpy does several times faster.
+        assert "lexsort" not in suffix_dedup._names.__code__.co_names
+    assert suffix_dedup._names(wide[:0], small[:0]).tolist() == []

@@ -152,3 +152,13 @@ def test_salted_join_equals_join(spark):
     plain = facts.join(lookup, "k", "left").select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
     assert salted_join(facts, lookup, ["k"], ["id"], "inner").count() == 401
+
+
+def test_lookups_that_grow_are_not_broadcast(spark, tmp_path):
+    """Few bytes on disk, and 32 times the rows once copied: Spark's estimate sees the bytes."""
+    path = str(tmp_path / "lookup")
+    spark.range(40_000).selectExpr("concat('drive_', id) AS k", "id % 2 = 0 AS v").write.parquet(path)
+    facts = spark.range(300).selectExpr("concat('drive_', id * 7) AS k", "id")
+    got = salted_join(facts, spark.read.parquet(path), ["k"], ["id"])
+    assert got.where("v = (id * 7 % 2 = 0)").count() == 300
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

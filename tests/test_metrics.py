@@ -82,3 +82,16 @@ def test_drive_summary_counts_known_states(spark):
     got = drive_summary(telemetry_frame(spark, rows)).first()
     assert (got.samples, got.autopilot_samples) == (4, 2)
     assert got.distance_km == pytest.approx(0.04)
+
+
+def test_intervals_are_not_broadcast(spark, tmp_path):
+    """One row per drive, which metrics look up by shuffle."""
+    rows = telemetry_frame(spark, [sample(f"d{k}", at * 400_000) for k in range(4) for at in range(3)])
+    intervals = drive_intervals(prepare_samples(rows))
+    intervals.write.parquet(str(tmp_path / "intervals"))
+    written = spark.read.parquet(str(tmp_path / "intervals"))
+    events = spark.createDataFrame([], "drive_id string, event_type string")
+    found = drive_metrics(rows, events, intervals=written)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (drive_id" in plan and "rightHint=(strategy=merge)" in plan
+    assert found.count() == 4

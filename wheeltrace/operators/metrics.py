@@ -9,7 +9,7 @@ from wheeltrace.config import DEFAULT_RULES, EVENT_TYPES, FINE_CELL_US, SECOND_U
 from wheeltrace.functions.scalars import per_100_km, percent_of
 from wheeltrace.operators.detection import qualifying_runs
 from wheeltrace.operators.samples import drive_intervals, prepare_samples
-from wheeltrace.operators.scale import materialize
+from wheeltrace.operators.scale import by_shuffle, materialize
 from wheeltrace.schemas import DRIVE_METRIC_SCHEMA
 
 _RATES = (*[(f"{kind}_count", f"{kind}_per_100_km") for kind in EVENT_TYPES],)
@@ -90,7 +90,7 @@ def drive_metrics(
         events = qualifying_runs(telemetry, DEFAULT_RULES, fine_us, intervals=intervals)
     rows = (
         _drive_totals(samples)
-        .join(intervals, "drive_id", "left")
+        .join(by_shuffle(intervals), "drive_id", "left")
         .join(event_counts(events), "drive_id", "left")
         .fillna(0, [count for count, _ in _RATES])
     )

@@ -86,6 +86,15 @@ def stored_order(frame: DataFrame) -> DataFrame:
     return placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
 
 
+def by_shuffle(frame: DataFrame) -> DataFrame:
+    """Mark a side of a join that grows with the data: it must not be broadcast.
+
+    Spark takes the size of a written table's files for that of its rows, and copies by
+    `explode` for nothing. A few megabytes of Parquet may be gigabytes in the driver.
+    """
+    return frame.hint("merge")
+
+
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -97,12 +106,12 @@ def salted_join(
     """Equi-join where many facts may share one key and lookup keys are unique.
 
     Facts of a key are split by a hash of `spread_by`; each lookup row is copied
-    once per salt. A lookup that is small at run time is still broadcast by AQE.
+    once per salt.
     """
     spread = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
     numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     copies = lookup.withColumn(_SALT, F.explode(numbers))
-    return spread.join(copies, [*on, _SALT], how).drop(_SALT)
+    return spread.join(by_shuffle(copies), [*on, _SALT], how).drop(_SALT)
 
 
 def running_total(

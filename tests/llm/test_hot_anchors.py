@@ -1,6 +1,7 @@
 """op7 where many texts hold one anchor: equal surroundings, different ones, periodic texts."""
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -122,3 +123,43 @@ def test_names_are_ranks_of_tuples():
         # One number is sorted at a time, which numpy does several times faster.
         assert "lexsort" not in suffix_dedup._names.__code__.co_names
     assert suffix_dedup._names(wide[:0], small[:0]).tolist() == []
+
+
+def test_settled_starts_travel_as_one_row_of_a_text():
+    """Repeats that a task has met before: one row of each text, with all of their starts."""
+    passage = "".join(random.Random(4).choices("abcdefghijklmnop ", k=300))
+    grams = suffix_dedup._grams([passage])[0].view("int64")
+    rows = [(doc, passage, doc * 10, grams, grams[:0]) for doc in (1, 2, 3)]
+    frame = pd.DataFrame(rows, columns=["doc", "text", "class", "grams", "hot"])
+    sent = pd.concat(suffix_dedup._contexts(iter([frame])))
+    settled = sent[sent["covered"] == suffix_dedup.PACKED]
+    assert sorted(settled["doc"]) == [2, 3] and len(grams) > 5
+    found = suffix_dedup._unpacked(settled)
+    for doc in (2, 3):
+        own = found[found["doc"] == doc]
+        starts = {
+            first + bit
+            for first, bits in zip(own["first"], own["covered"], strict=True)
+            for bit in range(suffix_dedup.REACH)
+            if bits >> bit & 1
+        }
+        assert starts == set(range(len(passage) - 49)) and set(own["class"]) == {doc * 10}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Shuffles of written steps are off the disk before the next step, not at some collection."""
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+        names = blocks.diskBlockManager().getAllFiles()
+        return {n for n in (names.apply(k).getName() for k in range(names.size())) if "shuffle" in n}
+
+    frame = spark.createDataFrame(list(_texts()), "doc_id bigint, text string").repartition(3)
+    before = shuffles()
+    found = suffix_dedup.cut_repeats(frame)
+    until = time.time() + 20
+    # Files go in the background, right after the write.
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert found.count() == 60

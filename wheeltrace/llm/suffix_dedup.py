@@ -40,6 +40,9 @@ MANY_TEXTS = 4_096
 # rows are compared then, the result is the same.
 REMEMBERED = 20_000
 
+# In `covered` of a row that packs the settled starts of a text; other values are not below 0.
+PACKED = -1
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _NO_ID = (1 << 63) - 1
 
@@ -166,8 +169,9 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     `key`: the gram or, for a gram of many texts, the 50 bytes of a single start.
 
     Rows come by doc. Of equal `bytes` only the first document in reach of the task is to be
-    compared: the later ones are covered whatever else there is, so they go on without bytes and
-    under keys of their own. What was met more than once is remembered up to REMEMBERED.
+    compared: the later ones are covered whatever else there is. They go on as one row of a text,
+    under a key of its own: `covered` is PACKED, `bytes` holds pairs (first, covered). What was
+    met more than once is remembered up to REMEMBERED.
     """
     known: dict[bytes, int] = {}
     for batch in batches:
@@ -219,19 +223,53 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             settled = docs > smallest[codes]
             keys = hashes.copy()
             keys[many] = pd.util.hash_array(held[many], categorize=False)
-            own_keys = mix(docs[settled].view(np.uint64) + keys[settled])
-            keys[settled] = own_keys
-            held[settled] = None
+            firsts = first - begins[owner]
             yield pd.DataFrame(
                 {
                     "key": keys.view(np.int64),
                     "doc": docs,
                     "class": classes,
-                    "first": first - begins[owner],
-                    "covered": np.where(settled, _bits(low, high), 0),
+                    "first": firsts,
+                    "covered": 0,
                     "bytes": held,
                 }
-            )
+            )[~settled]
+            if settled.any():
+                bits = _bits(low[settled], high[settled])
+                yield _packed(docs[settled], classes[settled], firsts[settled], bits, owner[settled])
+
+
+def _packed(
+    docs: np.ndarray, classes: np.ndarray, firsts: np.ndarray, bits: np.ndarray, owner: np.ndarray
+) -> pd.DataFrame:
+    """Settled starts as one row of each text; rows of a text, told by `owner`, stand together."""
+    begin = np.nonzero(np.append(True, owner[1:] != owner[:-1]))[0]
+    pairs = np.stack([firsts, bits], axis=1).astype("<i8")
+    keys = mix(docs[begin].view(np.uint64) + mix(classes[begin].view(np.uint64)))
+    return pd.DataFrame(
+        {
+            "key": keys.view(np.int64),
+            "doc": docs[begin],
+            "class": classes[begin],
+            "first": 0,
+            "covered": PACKED,
+            "bytes": [own.tobytes() for own in np.split(pairs, begin[1:])],
+        }
+    )
+
+
+def _unpacked(rows: pd.DataFrame) -> pd.DataFrame:
+    """(doc, class, first, covered) of each start in packed rows."""
+    pairs = np.frombuffer(b"".join(rows["bytes"]), "<i8").reshape(-1, 2)
+    each = rows["bytes"].map(len).to_numpy() // 16
+    return pd.DataFrame(
+        {
+            "doc": np.repeat(rows["doc"].to_numpy(), each),
+            "class": np.repeat(rows["class"].to_numpy(), each),
+            "first": pairs[:, 0],
+            "covered": pairs[:, 1],
+        }
+    )
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
@@ -347,9 +385,9 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return work(whole), whole
 
     for batch in batches:
-        settled = batch["bytes"].isna()
+        settled = batch["covered"] == PACKED
         if settled.any():
-            yield batch.loc[settled, results]
+            yield _unpacked(batch[settled])
         batch = batch[~settled].assign(fresh=True)
         for start in range(0, len(batch), STRETCH):
             held.append(batch.iloc[start : start + STRETCH])
@@ -418,7 +456,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("class"),
     )
     first = materialize(
-        rows.groupBy("copies", "class").agg(F.min("doc").alias("_first")), "first-copies"
+        rows.groupBy("copies", "class").agg(F.min("doc").alias("_first")),
+        "first-copies",
+        free_shuffles=True,
     )
     grams = materialize(
         rows.select("class", "text")
@@ -427,6 +467,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("gram", "class")
         .mapInPandas(_shared_anchors, "gram bigint, class bigint, many boolean"),
         "anchors",
+        free_shuffles=True,
     )
     # At most one gram per byte of a text.
     per_class = grams.groupBy("class").agg(
@@ -435,14 +476,21 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     leaders = first.join(per_class, "class").select(
         F.col("_first").alias("doc"), "copies", "grams", "hot"
     )
-    # Texts that share a doc_id, or have none, are told apart by their class.
-    covered = (
+    # Texts that share a doc_id, or have none, are told apart by their class. They are written,
+    # so their shuffle is off the disk before that of the contexts, and a repeated task does the
+    # same.
+    followed = materialize(
         rows.join(leaders, ["doc", "copies"])
         .select("doc", "text", "copies", "class", "grams", "hot")
         .dropDuplicates(["doc", "copies"])
-        # Already so, which makes a repeated task do the same.
+        # Already so.
         .sortWithinPartitions("doc", "copies")
-        .mapInPandas(
+        .drop("copies"),
+        "followed",
+        free_shuffles=True,
+    )
+    covered = (
+        followed.mapInPandas(
             _contexts,
             "key bigint, doc bigint, class bigint, first bigint, covered bigint, bytes binary",
         )
@@ -455,6 +503,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             F.collect_list("first").alias("firsts"), F.collect_list("covered").alias("masks")
         ),
         "cuts",
+        free_shuffles=True,
     )
     fate = rows.select("doc", "copies").join(first, "copies").select(
         "doc", "copies", "class", (F.col("_first") < F.col("doc")).alias("copied")

@@ -50,15 +50,27 @@ def compiled_stages(spark: SparkSession) -> None:
         spark.conf.set(name, str(COMPILED_METHOD_BYTES))
 
 
-def materialize(frame: DataFrame, label: str) -> DataFrame:
+# Spark removes the shuffle files of a query when it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(frame: DataFrame, label: str, free_shuffles: bool = False) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
     Downstream branches then scan Parquet instead of repeating the work, and a
     lost executor costs a re-read. Row positions become fixed by the write.
+
+    The write's shuffle files lie on disk until the driver happens to collect its garbage;
+    with `free_shuffles` they go when the write ends.
     """
     spark = frame.sparkSession
     path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, str(free_shuffles or before == "true").lower())
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -403,3 +403,20 @@ def test_logs_get_their_names_without_being_moved(spark, tmp_path):
     # Event 1 has a copy of its sample.
     assert [row[place] for row in even[1:]] == ["0.51", "0.51", "1.02"]
     assert len(odd) == 3
+
+
+def test_short_logs_share_tasks_and_the_listing_is_not_kept(spark, tmp_path):
+    """Hundreds of logs are read by a few tasks; the result's files are a written table."""
+    spark.conf.set("spark.sql.files.openCostInBytes", str(4 << 20))
+    for k in range(200):
+        (tmp_path / f"d{k:03d}.csv").write_text("Time (epoch)\n1\n")
+    text = csv_logs._text_lines(spark, str(tmp_path))
+    assert text.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    assert int(spark.conf.get("spark.sql.files.openCostInBytes")) == csv_logs.LOG_OPEN_BYTES
+    folder = tmp_path / "one"
+    write_log(folder, "e.csv", [source_row(0)])
+    size = (folder / "e.csv").stat().st_size
+    result = ingest.ingest_folder(spark, str(folder), TelemetryStore(spark, str(tmp_path / "store")))
+    (folder / "e.csv").unlink()
+    assert [(row.source_file, row.bytes) for row in result.files.collect()] == [("e.csv", size)]
+    assert result.files_processed == 1

@@ -57,7 +57,8 @@ def ingest_folder(spark: SparkSession, data_dir: str, store: TelemetryStore) ->
     counters of that step are observed by the write that follows it. Its tasks end the job, so
     a task that runs again after a lost executor is not counted twice.
     """
-    files = discover_csv_files(spark, data_dir)
+    # Written, as a listed folder is held in the driver as long as its frame.
+    files = materialize(discover_csv_files(spark, data_dir), "files")
     files_processed = files.count()
     if not files_processed:
         empty = spark.createDataFrame([], TELEMETRY_SCHEMA)

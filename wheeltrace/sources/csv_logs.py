@@ -42,6 +42,10 @@ _CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE"}
 # than these are joined by shuffle.
 BROADCAST_FILES = 100_000
 
+# Besides its length a log counts as this many bytes when logs are dealt out to tasks. Spark's own
+# 4 MB make a task, and a file of each table written from it, of some four logs.
+LOG_OPEN_BYTES = 128 << 10
+
 
 def _literal_path(path: str) -> str:
     """Escape the characters a path pattern treats specially."""
@@ -56,12 +60,19 @@ def _whole_path(spark: SparkSession, data_dir: str) -> str:
     return system.makeQualified(folder).toString().rstrip("/")
 
 
+def many_logs_a_task(spark: SparkSession) -> None:
+    """Have Spark deal out short logs by their length, in this session."""
+    if spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() > LOG_OPEN_BYTES:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(LOG_OPEN_BYTES))
+
+
 def discover_csv_files(spark: SparkSession, data_dir: str) -> DataFrame:
     """The CSV files directly in a folder: `path`, `source_file`, `bytes`.
 
     Spark lists the folder; file contents are not read. A missing folder has no files. Spark
     passes over names that begin with "_" or "."; such logs are an error, not a silent loss.
     """
+    many_logs_a_task(spark)
     whole = _whole_path(spark, data_dir)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     system = hadoop.Path(whole).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -91,6 +102,7 @@ def _cell_columns(count: int) -> list[str]:
 
 def _text_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     """All lines of a folder's logs as text. The folder is listed here, once per frame."""
+    many_logs_a_task(spark)
     whole = _whole_path(spark, data_dir)
     return spark.read.options(**_ONLY_CSV).text(_literal_path(whole))
 
